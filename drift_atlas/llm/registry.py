@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drift_atlas.llm import exact_dedup, quality_rules
+from drift_atlas.llm import exact_dedup, near_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of whole texts; the smallest doc_id of each stays."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of whole texts; the largest doc_id of a group stays."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
@@ -39,7 +44,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_exact_dedup": op4_exact_dedup, "op8_quality_rules": op8_quality_rules}
+    return {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
