@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from drift_atlas.llm import exact_dedup, near_dedup, quality_rules
+from drift_atlas.llm import exact_dedup, line_dedup, near_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that occur in three documents or more stay in the largest doc_id only."""
+    out = line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of whole texts; the largest doc_id of a group stays."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
@@ -32,6 +39,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SPACE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+_OP3_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+k AS (SELECT doc_id, line, i,
+             translate(trim(line, {_SPACE_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM l),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20
+      GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT k.doc_id, count(*) AS n_lines,
+       count(*) FILTER (WHERE f.last > k.doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE f.last IS NULL OR f.last = k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key
+GROUP BY k.doc_id
+"""
+
 _OP4_SQL = f"""
 WITH d AS (SELECT doc_id, {_LOWER_AZ} AS norm FROM documents)
 SELECT doc_id,
@@ -44,8 +68,8 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_exact_dedup": op4_exact_dedup, "op8_quality_rules": op8_quality_rules}
+    return {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4_SQL}
+    return {"op3_line_dedup": _OP3_SQL, "op4_exact_dedup": _OP4_SQL}
