@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_atlas.llm import exact_dedup, line_dedup, near_dedup, quality_rules
+from drift_atlas.llm import bpe, exact_dedup, line_dedup, near_dedup, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again, as digests."""
+    path = tokenizer_path()
+    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _SPACE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -68,7 +81,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op8_quality_rules": op8_quality_rules}
+    return {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
