@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_atlas.llm import bpe, exact_dedup, line_dedup, near_dedup, quality_rules
+from drift_atlas.llm import bpe, common, exact_dedup, line_dedup, near_dedup, quality_rules, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from the compacted, committed shards."""
+    rows = sharding.shard_table(_table(spark, sf_dir, "documents")).read()
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through the index."""
+    folder = common.new_folder(spark, "warc")
+    index = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_records(index, folder).drop("payload")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of whole texts; the smallest doc_id of each stays."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -54,6 +68,31 @@ _LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdef
 
 _SPACE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_OP1_SQL = """
+SELECT doc_id, lang, source, n_chars, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
+
+# DuckDB has no base32: each group of five bits of the digest is looked up in its alphabet.
+_OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS sha1 FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(40), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+             4 * (strpos('0123456789abcdef', substr(sha1, CAST(i + 1 AS INTEGER), 1)) - 1) + 1, 4)), '') AS bits FROM h),
+d AS (SELECT page_id, payload_bytes, sha1,
+             array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + CAST(substr(bits, CAST(5 * i + 1 AS INTEGER), 1) AS INTEGER) * 16 + CAST(substr(bits, CAST(5 * i + 2 AS INTEGER), 1) AS INTEGER) * 8
+                 + CAST(substr(bits, CAST(5 * i + 3 AS INTEGER), 1) AS INTEGER) * 4 + CAST(substr(bits, CAST(5 * i + 4 AS INTEGER), 1) AS INTEGER) * 2
+                 + CAST(substr(bits, CAST(5 * i + 5 AS INTEGER), 1) AS INTEGER), 1)), '') AS payload_digest,
+             min(page_id) OVER (PARTITION BY sha1) AS first
+      FROM b)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
+
 _OP3_SQL = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
@@ -81,8 +120,8 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
+    return {"op1_sharding": op1_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op7_warc": op7_warc, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": _OP3_SQL, "op4_exact_dedup": _OP4_SQL}
+    return {"op1_sharding": _OP1_SQL, "op3_line_dedup": _OP3_SQL, "op4_exact_dedup": _OP4_SQL, "op7_warc": _OP7_SQL}
