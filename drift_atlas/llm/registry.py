@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_atlas.llm import bpe, common, exact_dedup, line_dedup, near_dedup, quality_rules, sharding, warc
+from drift_atlas.llm import bpe, common, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality_rules, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from three quarters of the documents."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    train = docs.where(~held_out & F.col("lang").isNotNull())
+    model = language_id.train(train)
+    out = language_id.predict(docs, model, reject_below=0.0)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back through the index."""
     folder = common.new_folder(spark, "warc")
@@ -51,6 +66,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that bring the labels' domains to their target weights."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return mixing.mix(docs, labels, F.expr(mixing.LABEL_DOMAIN), mixing.LABEL_TARGETS)[0]
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -59,11 +80,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again, as digests."""
+    return bpe_digests(_table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
     path = tokenizer_path()
-    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    out = bpe.decode(bpe.encode(docs, path), path)
     return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _SPACE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -120,7 +152,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_sharding": op1_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op7_warc": op7_warc, "op8_quality_rules": op8_quality_rules, "op10_bpe": op10_bpe}
+    return {"op1_sharding": op1_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_html_extraction": op5_html_extraction, "op6_language_id": op6_language_id, "op7_warc": op7_warc, "op8_quality_rules": op8_quality_rules, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
