@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from drift_atlas.plans import distance_queries, note_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+FAMILIES = [note_queries, distance_queries]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the distance family lands: the size of every embedding set."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+    """Every pair of embedding sets ranked by Fréchet distance."""
+    return queries()["m07_rank_by_distance"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
