@@ -76,7 +76,7 @@ def read_csv_tags(spark: SparkSession, path: str) -> DataFrame:
 
 def split_tags(rows: DataFrame) -> DataFrame:
     """Tags separated by comma or semicolon, one row each."""
-    tags = F.filter(F.transform(F.split(F.replace("genre", F.lit(";"), F.lit(",")), ","), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.replace("genre", F.lit(";"), F.lit(",")), ","), lambda t: F.trim(t)), lambda t: t != "")
     return rows.select(F.explode(tags).alias("tag"), "location")
 
 
