@@ -16,9 +16,9 @@ from drift_atlas.llm import common, exact_dedup, mixing, near_dedup, quality_rul
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is among ``ids``, a table of one column."""
-    chosen = common.materialize(ids.select(F.col("doc_id").alias("__id")).distinct(), "stage-ids")
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """Rows whose doc_id is among ``ids``; rows that share an id, or have none, share one fate."""
+    chosen = common.materialize(ids.select(F.col("doc_id").alias("kept_id")).distinct(), "stage-ids")
+    return common.rows_with_ids(docs, "doc_id", chosen)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_dedup.exact_duplicates(docs, keep="largest", digest=False).where("kept"))
+    """Also of rows that repeat an id and its text one stays; such rows are rare, so only they are compared once more."""
+    verdict = common.materialize(exact_dedup.exact_duplicates(docs, keep="largest", digest=False), "exact-verdict")
+    kept = _keep(docs, verdict.where("kept"))
+    again = verdict.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("repeated_id"))
+    again = common.materialize(again, "repeated-ids")
+    if again.isEmpty():
+        return kept
+    once = common.rows_with_ids(kept, "doc_id", again).dropDuplicates(["doc_id", "text"])
+    return common.rows_with_ids(kept, "doc_id", again, among=False).unionByName(once)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

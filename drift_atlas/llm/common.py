@@ -69,3 +69,12 @@ def partitions(spark: SparkSession) -> int:
 def fold_case(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+def rows_with_ids(rows: DataFrame, id_col: str, ids: DataFrame, among: bool = True) -> DataFrame:
+    """Rows whose id is (or is not) in the one column of a written table; null equals null.
+
+    The condition names both sides' own columns, so any column name of ``rows`` is harmless.
+    """
+    same = rows[id_col].eqNullSafe(ids[ids.columns[0]])
+    return rows.join(ids, same, "left_semi" if among else "left_anti")

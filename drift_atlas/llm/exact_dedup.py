@@ -112,5 +112,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     their id survives; give each row an id of its own to have them dropped.
     """
     verdict = exact_duplicates(docs, id_col, text_col, keep, digest=False)
-    gone = verdict.groupBy(F.col(id_col).alias("__id")).agg(F.max("kept").alias("__stays")).where("__stays")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    stays = verdict.where("kept").select(F.col(id_col).alias("kept_id")).distinct()
+    return common.rows_with_ids(docs, id_col, common.materialize(stays, "kept-ids"))

@@ -231,5 +231,5 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is its component's smallest, with all their columns."""
     verdict = near_duplicates(docs, id_col, text_col)
-    stays = common.materialize(verdict.where("kept").select(F.col(id_col).alias("__id")).distinct(), "kept-ids")
-    return docs.join(stays, docs[id_col] == F.col("__id"), "left_semi")
+    stays = verdict.where("kept").select(F.col(id_col).alias("kept_id")).distinct()
+    return common.rows_with_ids(docs, id_col, common.materialize(stays, "kept-ids"))
