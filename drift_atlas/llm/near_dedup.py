@@ -9,11 +9,14 @@ Plan
  3. In each band bucket every member is paired with the bucket's smallest id. The
     population count of the XOR of two odd sketches estimates the similarity;
     pairs far below the threshold go, the rest are confirmed on full sets.
- 4. Confirmed links are contracted to components. What is left to compare in a
-    bucket are members of different components: all such pairs are met in a
-    join whose condition holds the size bound and the sketch estimate, and are
-    confirmed too. So every pair that shares a bucket is either already in one
-    component or has been compared; a bucket has no cap.
+    Confirmed links are contracted to components. In buckets that hold more than
+    one component, other hubs are drawn for another round, and members of
+    other components are paired with them.
+ 4. What is left to compare in a bucket are members of different components: all
+    such pairs are met in a join whose condition holds the size bound and the
+    estimate of a longer odd sketch, made for these members only, and are
+    confirmed too. So every pair that shares a bucket is
+    either already in one component or has been compared; a bucket has no cap.
  5. Components over all confirmed links give each class its component.
 
 A large group of near copies therefore costs one pair per member and band, not
@@ -42,25 +45,29 @@ THRESHOLD_PERCENT = 75
 BANDS, BAND_ROWS = 40, 5
 SAMPLES = BANDS * BAND_ROWS
 SKETCH_BITS = 1024
-SKETCH_LONGS = SKETCH_BITS // 64
-#: The estimate's standard deviation at the threshold is about 0.035; this is over five of them lower.
-ESTIMATE_MARGIN = 0.19
+#: Samples and bits of the longer sketch.
+FINE_SAMPLES, FINE_BITS = 1024, 4096
+#: The estimates' standard deviations at the threshold are about 0.033 and 0.0145; these are over four of them.
+ESTIMATE_MARGIN, FINE_MARGIN = 0.14, 0.063
+#: Rounds in which buckets of several components get another hub.
+HUB_ROUNDS = 3
 
 _rng = np.random.Generator(np.random.PCG64(5_000_011))
-_XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
-_MUL = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint64).astype(np.uint32)
+_MUL = _rng.integers(0, 1 << 31, FINE_SAMPLES, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _BAND_MUL = _rng.integers(1, 1 << 63, (BANDS, BAND_ROWS), dtype=np.uint64) * U64(2) + U64(1)
 _BAND_ADD = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
-_SKETCH_ADD = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
+_SKETCH_ADD = _rng.integers(1, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
 _DIGEST_MUL = _rng.integers(1, 1 << 63, 2, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def minhash(shingle_set: np.ndarray, rows: int = 128) -> np.ndarray:
+def minhash(shingle_set: np.ndarray, samples: int = SAMPLES, cells: int = 25_600) -> np.ndarray:
     """The smallest value of the set under each sample's hash, in blocks that stay in the cache."""
     low = shingle_set.astype(np.uint32)
-    best = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    best = np.full(samples, 0xFFFFFFFF, np.uint32)
+    rows = max(1, cells // samples)
     for k in range(0, len(low), rows):
-        block = (low[k : k + rows, None] ^ _XOR) * _MUL
+        block = (low[k : k + rows, None] ^ _XOR[:samples]) * _MUL[:samples]
         np.minimum(best, block.min(axis=0), out=best)
     return best
 
@@ -71,17 +78,17 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return textkit.mix((grouped * _BAND_MUL).sum(axis=1, dtype=U64) + _BAND_ADD)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
     """Parity of the samples that fall on each bit, as 64-bit words."""
-    bits = textkit.mix(samples.astype(U64) + _SKETCH_ADD) % U64(SKETCH_BITS)
-    parity = (np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    bits = textkit.mix(samples.astype(U64) + _SKETCH_ADD[: len(samples)]) % U64(size)
+    parity = (np.bincount(bits.astype(np.int64), minlength=size) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.int64)
 
 
-def sketch_limit(threshold: float, margin: float = ESTIMATE_MARGIN) -> int:
+def sketch_limit(threshold: float, margin: float, samples: int = SAMPLES, size: int = SKETCH_BITS) -> int:
     """Differing bits up to which a pair's estimated similarity reaches the threshold less the margin."""
-    apart = 2 * SAMPLES * (1 - (threshold - margin))
-    return int(np.ceil(SKETCH_BITS * (1 - (1 - 2 / SKETCH_BITS) ** apart) / 2))
+    apart = 2 * samples * (1 - (threshold - margin))
+    return int(np.ceil(size * (1 - (1 - 2 / size) ** apart) / 2))
 
 
 def _sets(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
@@ -120,6 +127,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [odd_sketch(minhash(own, FINE_SAMPLES), FINE_BITS) for own in _sets(*textkit.buffers(batch.column(1)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "fine"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets reach the threshold. A text met again in the batch is hashed once."""
     for batch in batches:
@@ -144,13 +157,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _apart(a: str, b: str) -> Column:
-    """Differing bits of two sketches."""
+    """Differing bits of two short sketches, as straight-line code."""
     total = F.lit(0)
-    for k in range(SKETCH_LONGS):
+    for k in range(SKETCH_BITS // 64):
         total = total + F.bit_count(F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k))))
     return total
 
 
+def _apart_long(a: str, b: str) -> Column:
+    """Differing bits of two long sketches, as a loop: unrolled, the method would be too long to be compiled."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+
+
 def _sizes_fit(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= THRESHOLD_PERCENT * F.greatest(a, b)
 
@@ -163,8 +181,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     U+0020 and U+0009-U+000D with A-Z lowered; a text of fewer words is one shingle;
     null and blank texts have no shingles and no link. Ids are longs; rows that
     repeat an id are each returned, and link as documents of that id. Rows with a
-    null id are returned with a null component and are not kept. Further columns
-    are ignored.
+    null id take the component of the rows with an equal set, null if none of them
+    has an id; they link nothing and are not kept. Further columns are ignored.
 
     Columns: the id, ``n_shingles`` long, ``component_id`` (the smallest id
     reachable), ``kept`` boolean (the id is its component's).
@@ -183,25 +201,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = common.materialize(hubs, "bucket-hubs")
     shared = common.materialize(entries.join(hubs, "bucket"), "bucket-members")
 
-    first = shared.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = common.materialize(_confirmed(common.materialize(_estimated(first, reps), "star-pairs"), texts), "star-links")
-    joined = common.materialize(components.connected_components(first), "star-components")
+    pairs = shared.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    links = _confirmed(_estimated(pairs, reps), texts)
+    joined = common.materialize(components.connected_components(links), "components")
+    for turn in range(1, HUB_ROUNDS + 1):
+        open_members = _open_members(shared, joined)
+        if open_members.isEmpty():
+            break
+        drawn = open_members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("drawn"))
+        met = open_members.join(common.materialize(drawn, "drawn-hubs"), "bucket").where("component <> drawn.component")
+        pairs = met.select(F.least("id", "drawn.id").alias("a"), F.greatest("id", "drawn.id").alias("b"))
+        joined = _contracted(joined, _confirmed(_estimated(pairs, reps), texts))
 
     # Members of one bucket in different components have not been compared yet.
-    placed = shared.join(joined, "id", "left").select("bucket", "hub", "id", F.coalesce("component", "id").alias("component"))
-    placed = common.materialize(placed, "placed-members")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    mixed = common.materialize(mixed, "mixed-buckets")
-    open_members = placed.where("id != hub").join(mixed, "bucket", "left_semi")
-    open_members = common.materialize(open_members.join(reps.select("id", "n_shingles", "sketch"), "id"), "open-members")
-    x, y = (open_members.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "sketch")]) for s in "xy")
-    near = (F.col("component_x") < F.col("component_y")) & _sizes_fit("n_shingles_x", "n_shingles_y") & (_apart("sketch_x", "sketch_y") <= sketch_limit(THRESHOLD_PERCENT / 100))
-    second = x.join(y, "bucket").where(near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-    second = common.materialize(second, "cross-pairs")
-    links = joined.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    if not second.isEmpty():
-        links = links.unionByName(_confirmed(second, texts))
-        joined = common.materialize(components.connected_components(links), "components")
+    open_members = _open_members(shared, joined).where("id <> hub")
+    fine = _texts_of(open_members.select("id"), texts).mapInArrow(_fine_sketches, "id long, fine array<long>")
+    fine = common.materialize(fine.join(reps.select("id", "n_shingles", "sketch"), "id"), "fine-sketches")
+    open_members = common.materialize(open_members.join(fine, "id"), "cross-members")
+    x, y = (open_members.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "sketch", "fine")]) for s in "xy")
+    likely = _apart("sketch_x", "sketch_y") <= sketch_limit(THRESHOLD_PERCENT / 100, ESTIMATE_MARGIN)
+    near = (F.col("component_x") < F.col("component_y")) & _sizes_fit("n_shingles_x", "n_shingles_y") & likely
+    near = near & (_apart_long("fine_x", "fine_y") <= sketch_limit(THRESHOLD_PERCENT / 100, FINE_MARGIN, FINE_SAMPLES, FINE_BITS))
+    pairs = x.join(y, "bucket").where(near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    joined = _contracted(joined, _confirmed(common.materialize(pairs, "cross-pairs"), texts))
 
     labelled = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
     labelled = common.materialize(labelled, "class-components")
@@ -210,22 +232,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def _open_members(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, with their components."""
+    placed = shared.join(joined, "id", "left").select("bucket", "hub", "id", F.coalesce("component", "id").alias("component"))
+    placed = common.materialize(placed, "placed-members")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
+    return common.materialize(placed.join(common.materialize(mixed, "mixed-buckets"), "bucket", "left_semi"), "open-members")
+
+
+def _contracted(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links."""
+    if links.isEmpty():
+        return joined
+    stars = joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return common.materialize(components.connected_components(stars.unionByName(links)), "components")
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose sizes and sketches allow the threshold."""
-    pairs = common.materialize(pairs, "candidate-pairs")
+    """Distinct pairs whose sizes and sketches allow the threshold, written."""
+    pairs = common.materialize(pairs.distinct(), "candidate-pairs")
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a")
-    return met.where(_sizes_fit("n_a", "n_b") & (_apart("sketch_a", "sketch_b") <= sketch_limit(THRESHOLD_PERCENT / 100))).select("a", "b")
+    near = _sizes_fit("n_a", "n_b") & (_apart("sketch_a", "sketch_b") <= sketch_limit(THRESHOLD_PERCENT / 100, ESTIMATE_MARGIN))
+    return common.materialize(met.where(near).select("a", "b"), "estimated-pairs")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b), written, whose full shingle sets are linked."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = texts.join(common.materialize(ids, "pair-ids"), "id", "left_semi").dropDuplicates(["id"])
-    needed = common.materialize(needed, "pair-texts")
+    """Of written pairs (a, b) those whose full shingle sets are linked, written."""
+    needed = _texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), texts)
     with_b = pairs.join(needed.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(needed.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
+    return common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "links")
+
+
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row per id with its text, written."""
+    ids = common.materialize(ids.distinct(), "chosen-ids")
+    return common.materialize(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "chosen-texts")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
