@@ -6,6 +6,7 @@ an operator of this package with its DuckDB statement.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from drift_atlas.plans import distance_queries as dq
 from drift_atlas.sources import fixtures as fx
 from drift_atlas.sources import listing as ls
 from drift_atlas.sources import metadata as md
+from drift_atlas.sources import midi
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -239,6 +241,7 @@ def p15(spark, sf):
 
 both("p16_infer_format", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ABC' WHEN c_mktsegment = 'MACHINERY' THEN 'MTF' ELSE 'MIDITOK' END AS fmt FROM {customer}")
 both("p17_requires_notes", "SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AS needs FROM {orders}")
+both("p20_meta_filter", "SELECT event_id, event_type FROM {events} WHERE event_type NOT IN ('signup', 'error')")
 both("p22_nan_removal", "SELECT count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT CASE WHEN event_id % 9 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS v FROM {events}) t WHERE NOT isnan(v)")
 both("p23_isolated_failures", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id AS STRING) END AS BIGINT) AS parsed FROM {events}")
 
@@ -258,6 +261,23 @@ def p19(spark, sf):
     return dq.q02_agreement(spark, sf).select("config_a", "config_b", "interpretable")
 
 
+@query("s07_midi_round_trip", f"WITH {fx.NOTES_CTE} SELECT file_id, count(*) AS n_notes, CAST(sum(pitch) AS BIGINT) AS pitches, CAST(sum(velocity) AS BIGINT) AS velocities FROM n GROUP BY file_id")
+def s07(spark, sf):
+    """Notes written as a MIDI file per item and parsed again: nothing is lost."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        # A channel sounds a pitch once at a time, so notes that overlap on a pitch go to tracks of their own.
+        rows, free = [], {}
+        for r in group.sort_values(["start_s", "note_id"]).itertuples():
+            track = next(k for k in range(len(group)) if free.get((k, r.pitch), -1.0) <= r.start_s)
+            free[track, r.pitch] = r.end_s + 0.01
+            rows.append({"track_idx": track, "program": 0, "is_drum": False, "pitch": int(r.pitch), "velocity": int(r.velocity), "start_s": r.start_s, "end_s": r.end_s})
+        parsed = midi.parse(midi.write(rows))
+        return pd.DataFrame({"file_id": [group["file_id"].iloc[0]], "n_notes": [len(parsed)], "pitches": [sum(n["pitch"] for n in parsed)], "velocities": [sum(n["velocity"] for n in parsed)]})
+
+    return fx.notes(spark, sf).groupBy("file_id").applyInPandas(run, "file_id long, n_notes long, pitches long, velocities long")
+
+
 # Joins ----------------------------------------------------------------------
 
 both("j01_dataset_pairs", "SELECT a.r_name AS dataset_a, b.r_name AS dataset_b FROM {region} a JOIN {region} b ON a.r_regionkey < b.r_regionkey")
