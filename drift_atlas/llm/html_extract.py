@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Elements of HTML by their role in the layout.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "template", "noscript", "svg", "canvas", "object", "video", "audio", "head", "figure", "datalist", "map", "math"}
+CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "template", "noscript", "svg", "canvas", "object", "video", "audio", "head", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CONTAINERS = {"article", "main"}
@@ -34,6 +34,9 @@ CHROME_WORDS = {
     "footer", "form", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup",
     "promo", "promotion", "related", "recommended", "replies", "reply", "respond", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe",
     "subscription", "signup", "login", "toolbar", "topbar", "widget", "widgets", "complementary", "contentinfo", "search", "alert", "disclaimer", "copyright", "tags",
+    "aside", "discussion", "responses", "announcement", "announcements", "overlay", "lightbox", "tooltip", "topnav", "subnav", "sidenav", "mainnav", "sitenav", "mainmenu",
+    "navmenu", "rail", "siderail", "leftbar", "rightbar", "teaser", "teasers", "trending", "adbox", "adslot", "adunit", "adwrap", "adcontainer", "commentlist", "commentform",
+    "sitefooter", "siteheader", "pagefooter", "pageheader", "legal", "privacy",
 }
 
 #: Of these, the ones that also an article element may carry.
@@ -63,6 +66,17 @@ def _is_chrome(name: str, attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
+def _ends_early(skip: list[str], name: str, closing: bool) -> bool:
+    """Whether a tag ends a dropped element whose own end tag is missing."""
+    if skip[0] == "p":
+        return name not in INLINE and name not in VOID and not (closing and name == "p")
+    if len(skip) > 1:
+        return False
+    if closing:
+        return name in ("body", "html", *CONTAINERS) and name != skip[0]
+    return name in CONTAINERS and skip[0] in ("head", "header", "nav", "menu") or name == skip[0] == "li" or name == "body" and skip[0] == "head"
+
+
 class Block:
     """Text between line breaks: its parts, the characters inside links, and the container it stands in."""
 
@@ -117,15 +131,15 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             if name not in INLINE:
                 flush()
             continue
-        if skip:
+        if skip and _ends_early(skip, name, bool(closing)):
+            skip.clear()
+        elif skip:
             # Only the kind of element that is being dropped can end it, nested ones of its kind first.
             if name == skip[0] and name not in VOID:
                 if closing:
                     skip.pop()
                 elif not attributes.rstrip().endswith("/"):
                     skip.append(name)
-            elif closing and name in ("body", "html") or not closing and name in CONTAINERS and skip[0] not in CONTAINERS and skip[0] in ("head", "p"):
-                skip.clear()
             continue
         if name == "a":
             links = 0 if closing else 1

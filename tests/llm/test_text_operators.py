@@ -142,6 +142,8 @@ PAGES = [
     ("<body><header>site</header><div id='sidebar'>side<div>in</div></div><article class='post'><p>a<b>b</b>c</p><aside>no</aside><form><p>f</p></form><div class='comments'><p>first!</p></div><p>end</p></article>", "abc end"),
     ("<div class='cookie-notice'>We use cookies</div><main><p>Hi &lt;b&gt;</p><!-- <p>x</p> --></main><section class='comment-list'>me too</section>", "Hi <b>"),
     ("<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><p>" + "Body text goes on and on. " * 4 + "</p><p>Short.</p><p>" + "More text to the end. " * 4 + "</p><p><a href=x>next page</a></p>", " ".join((("Body text goes on and on. " * 4).strip(), "Short.", ("More text to the end. " * 4).strip()))),
+    ("<article><p class=ad>Buy<p>One<figure><figcaption>Caption</figcaption></figure><ul><li class='promo'>x<li>Two</ul></article>", "One Caption Two"),
+    ("<nav><a href=x>menu</a><article><p>Text</article><div class='sidebar'>never closed<p>x", "Text"),
     ("plain text only", "plain text only"), (None, ""), ("", ""), ("<p>", ""), ("<", "<"), ("<script>never closed", ""), ("<!-- never closed", ""),
 ]
 
