@@ -118,14 +118,25 @@ def test_abc_of_an_empty_file_and_names(spark):
     assert [r[0] for r in got] == ["C", "^C", "C,", "c", "c'"]
 
 
-def brute_bars(body):
-    import re
-
-    marks = ["|:", "::", ":|", "[|", "||", "|]", "|"]
-    pieces = [p for p in re.split("(" + "|".join(map(re.escape, marks)) + ")", body) if p]
-    if pieces and pieces[0] in marks:
-        pieces = [pieces[0] + pieces[1], *pieces[2:]] if len(pieces) > 1 else []
-    return pieces if len(pieces) < 2 else [pieces[k] + pieces[k + 1] for k in range(0, len(pieces) - 1, 2)]
+def brute_bars(line):
+    """Scan for marks, longest meaning first; then join what belongs together."""
+    pieces, word, at = [], "", 0
+    while at < len(line):
+        mark = next((m for m in rendering.DELIMITER_LIST if line.startswith(m, at)), None)
+        if mark is None:
+            word, at = word + line[at], at + 1
+            continue
+        pieces += [word, mark] if word else [mark]
+        word, at = "", at + len(mark)
+    pieces += [word] if word else []
+    if pieces and pieces[0] in rendering.DELIMITER_LIST:
+        head = pieces.pop(0)
+        if pieces:
+            pieces[0] = head + pieces[0]
+    if len(pieces) < 2:
+        return pieces
+    halves = iter(pieces)
+    return [content + mark for content, mark in zip(halves, halves, strict=False)]
 
 
 def test_split_bars(spark):
