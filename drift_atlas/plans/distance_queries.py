@@ -248,7 +248,7 @@ def a11(spark, sf):
 @query("m14_normalized_shift", f"{_SHIFT}{_SCALE} SELECT sh.set_id, row_id, round(CASE WHEN scale > 1e-12 THEN shift / scale END, 6) AS normalized_shift FROM sh JOIN sc ON sh.set_id = sc.set_id")
 def m14(spark, sf):
     rows = _sets(spark, sf)
-    met = cosine_shifts(rows, perturbed(rows)).join(F.broadcast(corpus_scale(rows)), "set_id")  # one row a set
+    met = cosine_shifts(rows, perturbed(rows)).join(corpus_scale(rows), "set_id")
     return met.select("set_id", "row_id", F.round(F.when(F.col("scale") > 1e-12, F.col("shift") / F.col("scale")), 6).alias("normalized_shift"))
 
 
