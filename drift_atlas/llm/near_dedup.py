@@ -50,7 +50,7 @@ FINE_SAMPLES, FINE_BITS = 1024, 4096
 #: The estimates' standard deviations at the threshold are about 0.033 and 0.0145; these are over four of them.
 ESTIMATE_MARGIN, FINE_MARGIN = 0.14, 0.063
 #: Rounds in which buckets of several components get another hub.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 
 _rng = np.random.Generator(np.random.PCG64(5_000_011))
 _XOR = _rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint64).astype(np.uint32)
