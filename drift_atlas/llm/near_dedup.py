@@ -9,13 +9,11 @@ Plan
  3. In each band bucket every member is paired with the bucket's smallest id. The
     population count of the XOR of two odd sketches estimates the similarity;
     pairs far below the threshold go, the rest are confirmed on full sets.
-    Confirmed links are contracted to components. In buckets that hold more than
-    one component, other hubs are drawn for another round, and members of
-    other components are paired with them.
+    Confirmed links are contracted to components.
  4. What is left to compare in a bucket are members of different components: all
     such pairs are met in a join whose condition holds the size bound and the
-    estimate of a longer odd sketch, made for these members only, and are
-    confirmed too. So every pair that shares a bucket is
+    estimate of a longer odd sketch, made for these members only, and that yields
+    a pair in the first of its common buckets only; they are confirmed too. So every pair that shares a bucket is
     either already in one component or has been compared; a bucket has no cap.
  5. Components over all confirmed links give each class its component.
 
@@ -49,8 +47,6 @@ SKETCH_BITS = 1024
 FINE_SAMPLES, FINE_BITS = 1024, 4096
 #: The estimates' standard deviations at the threshold are about 0.033 and 0.0145; these are over four of them.
 ESTIMATE_MARGIN, FINE_MARGIN = 0.14, 0.063
-#: Rounds in which buckets of several components get another hub.
-HUB_ROUNDS = 1
 
 _rng = np.random.Generator(np.random.PCG64(5_000_011))
 _XOR = _rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint64).astype(np.uint32)
@@ -180,7 +176,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Jaccard similarity of 0.75 or more; words are runs of characters other than
     U+0020 and U+0009-U+000D with A-Z lowered; a text of fewer words is one shingle;
     null and blank texts have no shingles and no link. Ids are longs; rows that
-    repeat an id are each returned, and link as documents of that id. Rows with a
+    repeat an id are each returned, with one component if their texts are equal; of
+    different texts under one id, one decides what the id links to. Rows with a
     null id take the component of the rows with an equal set, null if none of them
     has an id; they link nothing and are not kept. Further columns are ignored.
 
@@ -204,25 +201,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = shared.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     links = _confirmed(_estimated(pairs, reps), texts)
     joined = common.materialize(components.connected_components(links), "components")
-    for turn in range(1, HUB_ROUNDS + 1):
-        open_members = _open_members(shared, joined)
-        if open_members.isEmpty():
-            break
-        drawn = open_members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("drawn"))
-        met = open_members.join(common.materialize(drawn, "drawn-hubs"), "bucket").where("component <> drawn.component")
-        pairs = met.select(F.least("id", "drawn.id").alias("a"), F.greatest("id", "drawn.id").alias("b"))
-        joined = _contracted(joined, _confirmed(_estimated(pairs, reps), texts))
 
     # Members of one bucket in different components have not been compared yet.
-    open_members = _open_members(shared, joined).where("id <> hub")
+    open_members = _open_members(shared, joined)
     fine = _texts_of(open_members.select("id"), texts).mapInArrow(_fine_sketches, "id long, fine array<long>")
-    fine = common.materialize(fine.join(reps.select("id", "n_shingles", "sketch"), "id"), "fine-sketches")
+    fine = common.materialize(fine.join(reps.select("id", "n_shingles", "bands", "sketch"), "id"), "fine-sketches")
     open_members = common.materialize(open_members.join(fine, "id"), "cross-members")
-    x, y = (open_members.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "sketch", "fine")]) for s in "xy")
+    x, y = (open_members.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "bands", "sketch", "fine")]) for s in "xy")
     likely = _apart("sketch_x", "sketch_y") <= sketch_limit(THRESHOLD_PERCENT / 100, ESTIMATE_MARGIN)
     near = (F.col("component_x") < F.col("component_y")) & _sizes_fit("n_shingles_x", "n_shingles_y") & likely
     near = near & (_apart_long("fine_x", "fine_y") <= sketch_limit(THRESHOLD_PERCENT / 100, FINE_MARGIN, FINE_SAMPLES, FINE_BITS))
-    pairs = x.join(y, "bucket").where(near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    near = near & (F.col("bucket") == F.array_min(F.array_intersect("bands_x", "bands_y")))
+    pairs = x.join(y, "bucket").where(near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
     joined = _contracted(joined, _confirmed(common.materialize(pairs, "cross-pairs"), texts))
 
     labelled = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
