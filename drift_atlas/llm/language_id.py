@@ -30,6 +30,8 @@ SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 4_096
 EPOCHS, RATE = 12, 0.5
 UNDETERMINED = "und"
 
+#: Hashes of ids are taken modulo this.
+_HASHES = 1 << 52
 #: Code points hashed at once.
 _PIECE = 1 << 19
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -175,10 +177,18 @@ def _temperature(logits: np.ndarray, kinds: np.ndarray) -> float:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a bounded sample: the ``sample_rows`` rows of smallest id hash, the first ``SAMPLE_BYTES`` of each."""
+    """Fit on a bounded sample: the ``sample_rows`` rows of smallest id hash, the first ``SAMPLE_BYTES`` of each.
+
+    The rows are counted first, and only those below a hash that admits about half
+    as many again as are wanted are sorted. So what the tasks send to the driver
+    together is bounded by the sample, however many tasks there are.
+    """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    total = known.count()
+    if total > 2 * sample_rows:
+        known = known.where(F.pmod(F.xxhash64(id_col), F.lit(_HASHES)) < int(_HASHES * 1.5 * sample_rows / total))
     chosen = known.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_BYTES).alias("text"), F.col(lang_col).alias("lang"))
-    rows = chosen.orderBy("h", "id", "lang", "text").limit(sample_rows).collect()
+    rows = chosen.orderBy(F.pmod("h", F.lit(_HASHES)), "id", "lang", "text").limit(sample_rows).collect()
     return fit([r["text"].encode()[:SAMPLE_BYTES] for r in rows], [r["lang"] for r in rows])
 
 
