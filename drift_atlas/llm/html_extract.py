@@ -6,7 +6,8 @@ styles, menus, headers, footers, asides, forms, adverts, notices, comments), by
 element name or by the words of its class, id or role. Over the blocks that are
 left, text lengths outside links are summed in a sliding window; the text starts at
 the first surge of that sum and ends at its last dive. Where the page names an
-article or main element, its blocks are the candidates; else all of the body's.
+article or main element, text outside it weighs less and must surge by itself, and
+an element with a surge is text to its own ends.
 
 One pass over the page, no tree: an open element's fate is a depth counter, so
 missing and crossed end tags cost nothing.
@@ -45,6 +46,8 @@ COMMENT_WORDS = {"comment", "comments", "reply", "replies", "ad", "ads", "advert
 #: Blocks on each side that a window sums, and the length of a window that counts as a surge.
 REACH = 2
 SURGE_CHARS = 40
+#: What a character in an article or main element, or on a page without them, weighs against one outside.
+INSIDE = 4
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _MARKS = re.compile(r"""(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -92,7 +95,7 @@ class Block:
 
 
 def blocks(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters inside links, container) of every block that is not page chrome; container 0 is none."""
+    """(text, characters inside links, outermost container) of every block that is not page chrome; container 0 is none."""
     out: list[tuple[str, int, int]] = []
     now = Block(0)
     skip: list[str] = []  # open elements inside dropped structure, the dropped one first
@@ -157,40 +160,54 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             else:
                 while open_containers and open_containers.pop()[0] != name:
                     pass
-            container = open_containers[-1][1] if open_containers else 0
+            container = open_containers[0][1] if open_containers else 0
             now = Block(container)
     flush()
     return out
 
 
-def surge_and_dive(lengths: list[int], reach: int = REACH, surge: int = SURGE_CHARS) -> tuple[int, int]:
-    """First and last + 1 block of the text: where the windowed sums rise to the surge and fall from it for good."""
+def _sums(lengths: list[int], reach: int) -> list[int]:
     n = len(lengths)
     total = [0]
     for x in lengths:
         total.append(total[-1] + x)
-    sums = [total[min(n, k + reach + 1)] - total[max(0, k - reach)] for k in range(n)]
+    return [total[min(n, k + reach + 1)] - total[max(0, k - reach)] for k in range(n)]
+
+
+def surge_and_dive(lengths: list[int], reach: int = REACH, surge: int = SURGE_CHARS, inside: list[int] | None = None) -> tuple[int, int]:
+    """First and last + 1 block of the text: where the windowed sums rise to the surge and fall from it for good.
+
+    ``inside`` has the outermost container of every block. If there is one, blocks
+    outside it count a quarter and bound the text only where they surge without its
+    help; a container that surges by itself is text to its ends.
+    """
+    n = len(lengths)
     if not n:
         return 0, 0
-    level = min(surge, max(sums))
-    risen = [k for k in range(n) if sums[k] >= level]
+    named = inside if inside and any(inside) else [1] * n
+    weighed = [x * (INSIDE if c else 1) for x, c in zip(lengths, named)]
+    sums = _sums(weighed, reach)
+    sides = [_sums([x if bool(c) == side else 0 for x, c in zip(weighed, named)], reach) for side in (False, True)]
+    own = [sides[bool(c)][k] for k, c in enumerate(named)]
+    level = min(surge * INSIDE, max(own))
+    risen = [k for k, c in enumerate(named) if (sums[k] if c else own[k]) >= level]
     first, last = risen[0], risen[-1]
     while first < last and not lengths[first]:
         first += 1
     while last > first and not lengths[last]:
         last -= 1
+    if named is inside:
+        surging = {c for c, x in zip(named, own) if c and x >= level}
+        ends = [k for k, c in enumerate(named) if c in surging]
+        if ends:
+            first, last = min(first, ends[0]), max(last, ends[-1])
     return first, last + 1
 
 
 def main_text(page: str | None) -> str:
     """The article's text, its blocks joined by one space; empty if there is none."""
     found = blocks(page or "")
-    if any(container for _, _, container in found):
-        # The page says where the text is: any text there is a surge. Several articles are the text together.
-        found = [b for b in found if b[2]]
-        first, last = surge_and_dive([len(text) for text, _, _ in found], surge=1)
-    else:
-        first, last = surge_and_dive([max(0, len(text) - linked) for text, linked, _ in found])
+    first, last = surge_and_dive([max(0, len(text) - linked) for text, linked, _ in found], inside=[c for _, _, c in found])
     return " ".join(text for text, _, _ in found[first:last])
 
 

@@ -153,6 +153,13 @@ def test_main_text(page, want):
     assert html_extract.main_text(page) == want
 
 
+def test_text_outside_an_article_is_judged_by_length():
+    words, tail = ("word " * 2000).strip(), "".join(f"<p>{x}</p>" for x in "uvwxyz")
+    assert words in html_extract.main_text(f"<article class='teaser'>short</article><div class='content'>{words}</div>")
+    assert html_extract.main_text(f"<main><h1>Title</h1></main><div>{words[:99]}</div>") == f"Title {words[:99]}"
+    assert html_extract.main_text(f"<p>Our site</p><article><p>{words}</p>{tail}</article><p>Made by us</p>") == f"{words} u v w x y z"
+
+
 def test_extract_text_rows(spark):
     rows = [(k, f"u{k}", p) for k, (p, _) in enumerate(PAGES)] + [(0, None, PAGES[0][0]), (None, None, None), (99, "u", "<p>" + "word " * 60_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'c' as text", "1 as n_chars")
