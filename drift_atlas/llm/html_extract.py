@@ -2,9 +2,9 @@
 
 A page is cut into blocks: the text between two tags that break the line.
 Structure that can never be article text is dropped while cutting (scripts,
-styles, menus, headers, footers, asides, forms, adverts, notices, comments), by
-element name or by the words of its class, id or role. Over the blocks that are
-left, text lengths outside links are summed in a sliding window; the text starts at
+styles, menus, headers, footers, asides) by element name. Forms, and elements whose
+class, id or role has a word of adverts, notices, comments and the like, are only
+suspects: their own text and links decide. Over the blocks that are left, text lengths outside links are summed in a sliding window; the text starts at
 the first surge of that sum and ends at its last dive. Where the page names an
 article or main element, text outside it weighs less and must surge by itself, and
 an element with a surge is text to its own ends.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 #: Elements of HTML by their role in the layout.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "template", "noscript", "svg", "canvas", "object", "video", "audio", "head", "datalist"}
+CHROME = {"nav", "header", "footer", "aside", "menu", "dialog", "select", "button", "template", "noscript", "svg", "canvas", "object", "video", "audio", "head", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CONTAINERS = {"article", "main"}
-#: Words of a class, id or role that mark what is not the article.
+#: Words of a class, id or role that make an element a suspect.
 CHROME_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus",
     "footer", "form", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup",
@@ -43,6 +44,19 @@ CHROME_WORDS = {
 #: Of these, the ones that also an article element may carry.
 COMMENT_WORDS = {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "advertisement", "sponsored", "promo"}
 
+#: Of these, the ones that name sections of articles as well, and those that hardly ever do.
+SECTION_WORDS = {"sidebar", "header", "search", "discussion", "privacy", "legal", "form", "tags", "aside", "responses", "notice", "notices", "disclaimer", "copyright", "announcement", "announcements"}
+STRONG_WORDS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "adbox", "adslot", "adunit", "adwrap", "adcontainer", "sponsor", "sponsored", "promo", "comment", "comments",
+    "commentlist", "commentform", "disqus", "replies", "reply", "respond", "cookie", "cookies", "consent", "gdpr", "newsletter", "subscribe", "subscription", "signup", "login",
+    "modal", "overlay", "lightbox", "popup", "tooltip",
+}
+#: What a word speaks of instead of naming the element: no-sidebar, content-with-sidebar.
+MODIFIERS = {"no", "non", "not", "has", "have", "with", "without"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: A suspect of a strong word stays where it has more than so many times the text of the rest of the page.
+SUSPECT_SHARE = 3
+
 #: Blocks on each side that a window sums, and the length of a window that counts as a surge.
 REACH = 2
 SURGE_CHARS = 40
@@ -57,16 +71,60 @@ _SPACE = re.compile(r"\s+")
 
 
 def _is_chrome(name: str, attributes: str) -> bool:
-    if name in CHROME:
-        return True
-    if not attributes or name in ("body", "html"):
-        return False
+    return name in CHROME or bool(attributes and name not in ("body", "html") and _HIDDEN.search(attributes))
+
+
+def _suspicion(name: str, attributes: str) -> int:
+    """How an element's words look: 0 no suspicion, 1 a word that articles use as well, 3 a strong one, 2 any other."""
+    if name == "form":
+        return 3
+    if not attributes or name in ("body", "html") or name in HEADINGS:
+        return 0
     words = COMMENT_WORDS if name in CONTAINERS else CHROME_WORDS
+    found: set[str] = set()
     for _, *values in _MARKS.findall(attributes):
-        text = "".join(values)
-        if text and words & set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower())):
+        for part in re.sub(r"([a-z])([A-Z])", r"\1-\2", "".join(values)).lower().split():
+            own = _WORD.findall(part)
+            found.update(own[: next((k for k, w in enumerate(own) if w in MODIFIERS), len(own))])
+    found &= words
+    return 3 if found & STRONG_WORDS else 2 if found - SECTION_WORDS else int(bool(found))
+
+
+class Suspect:
+    """An open or closed element that may not be article text, and the text in it."""
+
+    __slots__ = ("outer", "open", "suspicion", "inside", "depth", "encloses", "chars", "linked", "dense")
+
+    def __init__(self, outer: Suspect | None, name: str, suspicion: int, depth: int):
+        self.outer, self.open, self.suspicion, self.inside, self.depth = outer, [name], suspicion, depth > 0, depth
+        self.encloses = False
+        self.chars = self.linked = self.dense = 0
+
+    def add(self, size: int, linked: int) -> None:
+        self.chars += size
+        self.linked += linked
+        self.dense += _dense(size, linked)
+
+    def is_text(self, rest: int) -> bool:
+        """Whether its text stays, given the dense text of the page that is not suspect."""
+        if self.encloses:
+            return True
+        if 2 * self.linked > self.chars:
+            return False
+        if self.suspicion == 1 and self.inside:
             return True
-    return bool(_HIDDEN.search(attributes))
+        return 2 * self.dense >= self.chars and (self.suspicion < 3 or self.dense > SUSPECT_SHARE * rest)
+
+    def chain(self) -> Iterator[Suspect]:
+        at: Suspect | None = self
+        while at is not None:
+            yield at
+            at = at.outer
+
+
+def _dense(size: int, linked: int) -> int:
+    """Characters of a block outside links, if it is long enough to be text."""
+    return size - linked if size - linked >= SURGE_CHARS and 2 * linked <= size else 0
 
 
 def _ends_early(skip: list[str], name: str, closing: bool) -> bool:
@@ -81,14 +139,15 @@ def _ends_early(skip: list[str], name: str, closing: bool) -> bool:
 
 
 class Block:
-    """Text between line breaks: its parts, the characters inside links, and the container it stands in."""
+    """Text between line breaks: its parts, the characters inside links and inside suspect inline elements, and where it stands."""
 
-    __slots__ = ("parts", "linked", "container")
+    __slots__ = ("parts", "linked", "marked", "solid", "container", "suspect")
 
-    def __init__(self, container: int):
+    def __init__(self, container: int, suspect: Suspect | None):
         self.parts: list[str] = []
-        self.linked = 0
+        self.linked = self.marked = self.solid = 0
         self.container = container
+        self.suspect = suspect
 
     def text(self) -> str:
         return _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
@@ -96,11 +155,15 @@ class Block:
 
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, characters inside links, outermost container) of every block that is not page chrome; container 0 is none."""
-    out: list[tuple[str, int, int]] = []
-    now = Block(0)
+    out: list[tuple[str, int, int, Suspect | None]] = []
+    now = Block(0, None)
+    suspect: Suspect | None = None  # the innermost open one
+    marks: list[tuple[str, int]] = []  # open suspect inline elements
     skip: list[str] = []  # open elements inside dropped structure, the dropped one first
+    within: Counter[str] = Counter()  # elements opened inside it that could end an open suspect
     links = containers = container = 0
     open_containers: list[tuple[str, int]] = []
+    now_marks: list[tuple[str, int]] = []  # all suspect inline elements of the block
     at, size = 0, len(page)
 
     def flush() -> None:
@@ -108,15 +171,48 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if now.parts:
             text = now.text()
             if text:
-                out.append((text, now.linked, now.container))
-        now = Block(container)
+                if now.marked and now.marked == now.solid:
+                    # An inline element is part of its block's text unless it is all of it.
+                    now.suspect = Suspect(now.suspect, "", max(x for _, x in now_marks), len(open_containers))
+                for one in now.suspect.chain() if now.suspect else ():
+                    one.add(len(text), min(now.linked, len(text)))
+                out.append((text, now.linked, now.container, now.suspect))
+        marks.clear()
+        now_marks.clear()
+        now = Block(container, suspect)
 
     def text(part: str) -> None:
         if part and not skip:
             now.parts.append(part)
+            now.solid += len(part.strip())
+            if marks:
+                now.marked += len(part.strip())
             if links:
                 now.linked += len(part)
 
+    def close(one: Suspect | None) -> None:
+        """What lies in a closed suspect is closed with it."""
+        nonlocal suspect
+        flush()
+        suspect = one.outer if one else None
+        now.suspect = suspect
+
+    def end_suspects(name: str, closing: bool) -> None:
+        for one in tuple(suspect.chain()) if suspect else ():
+            if one.open[0] == "p" and name not in INLINE and name not in VOID and not (closing and name == "p") or len(one.open) == 1 and name == "li" == one.open[0] and not closing:
+                close(one)
+            elif closing and name in ("body", "html"):
+                close(one)
+        for one in suspect.chain() if suspect else ():
+            if name in one.open and name not in VOID:
+                if closing:
+                    one.open.pop()
+                    if not one.open:
+                        close(one)
+                else:
+                    one.open.append(name)
+                break
+
     while at < size:
         match = _TAG.search(page, at)
         if match is None:
@@ -134,7 +230,10 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             if name not in INLINE:
                 flush()
             continue
-        if skip and _ends_early(skip, name, bool(closing)):
+        single = name in VOID or attributes.rstrip().endswith("/")
+        if skip and name != skip[0] and not single and any(name in one.open for one in (suspect.chain() if suspect else ())):
+            within[name] += -1 if closing else 1
+        if skip and (_ends_early(skip, name, bool(closing)) or within[name] < 0):
             skip.clear()
         elif skip:
             # Only the kind of element that is being dropped can end it, nested ones of its kind first.
@@ -147,23 +246,44 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if name == "a":
             links = 0 if closing else 1
             continue
-        if name in INLINE and not (not closing and attributes and _is_chrome(name, attributes)):
-            continue
+        if name in INLINE:
+            if closing or single:
+                if closing and marks and marks[-1][0] == name:
+                    marks.pop()
+                continue
+            if not _is_chrome(name, attributes):
+                look = _suspicion(name, attributes)
+                if look or marks and marks[-1][0] == name:
+                    marks.append((name, look or marks[-1][1]))
+                    now_marks.append(marks[-1])
+                continue
         flush()
-        if not closing and name not in VOID and not attributes.rstrip().endswith("/") and _is_chrome(name, attributes):
+        if not closing and not single and _is_chrome(name, attributes):
             skip.append(name)
+            within.clear()
             continue
+        if closing or not single:
+            end_suspects(name, bool(closing))
+        look = 0 if closing or single else _suspicion(name, attributes)
         if name in CONTAINERS:
             if not closing:
+                for one in suspect.chain() if suspect and not look else ():
+                    one.encloses = True
                 containers += 1
                 open_containers.append((name, containers))
             else:
                 while open_containers and open_containers.pop()[0] != name:
                     pass
+                for one in tuple(suspect.chain()) if suspect else ():
+                    if one.depth > len(open_containers):
+                        close(one)
             container = open_containers[0][1] if open_containers else 0
-            now = Block(container)
+        if look:
+            suspect = Suspect(suspect, name, look, len(open_containers))
+        now = Block(container, suspect)
     flush()
-    return out
+    rest = sum(_dense(len(text), linked) for text, linked, _, one in out if one is None or all(x.encloses for x in one.chain()))
+    return [(text, linked, held) for text, linked, held, one in out if one is None or all(x.is_text(rest) for x in one.chain())]
 
 
 def _sums(lengths: list[int], reach: int) -> list[int]:

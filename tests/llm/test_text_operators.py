@@ -160,6 +160,28 @@ def test_text_outside_an_article_is_judged_by_length():
     assert html_extract.main_text(f"<p>Our site</p><article><p>{words}</p>{tail}</article><p>Made by us</p>") == f"{words} u v w x y z"
 
 
+LONG = ("Sentences of an article go on. " * 9).strip()
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<div class='content no-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='hasSidebar'><p>{LONG}</p></div>", LONG),
+        (f"<form id='search'><div class='comments'><main><p>{LONG}</p></main></div></form>", LONG),
+        (f"<article><p>{LONG}</p><section id='discussion'><h2>Discussion</h2><p>It works.</p></section><h2 id='privacy'>Privacy</h2><p>{LONG}</p></article>", f"{LONG} Discussion It works. Privacy {LONG}"),
+        (f"<article><p>{LONG}</p><p class='teaser'>{LONG}</p><div class='tags'><a href=x>one</a> <a href=y>two</a></div></article>", f"{LONG} {LONG}"),
+        (f"<article><p>{LONG}</p></article><div class='comments'><p>{LONG}</p></div><div class='cookie-notice'>We use cookies to improve your visit to this site.</div>", LONG),
+        (f"<div class='promo-page'><p>{LONG}</p></div><p>Made by us</p>", f"{LONG} Made by us"),
+        (f"<p>{LONG} The <span class='search'>query</span> box.</p><p><span class='ad'>Buy</span></p>", f"{LONG} The query box."),
+        (f"<div class='sidebar'>x<nav>never closed<div>y</div></div><p>{LONG}</p>", LONG),
+        (f"<div class='comments'><p>One.<div>Two.</div></p>Three.</div><p>{LONG}</p>", LONG),
+    ],
+)
+def test_words_only_make_an_element_suspect(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_extract_text_rows(spark):
     rows = [(k, f"u{k}", p) for k, (p, _) in enumerate(PAGES)] + [(0, None, PAGES[0][0]), (None, None, None), (99, "u", "<p>" + "word " * 60_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'c' as text", "1 as n_chars")
