@@ -52,7 +52,8 @@ def bootstrap(df: DataFrame, reps: int, seed: str, cap: int | None = None) -> Da
     drawn = sizes.select("set_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"), size.cast("long").alias("size"))
     drawn = drawn.select("set_id", "rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("j"))
     drawn = drawn.select("set_id", "rep", (draw(seed, "set_id", "rep", "j") % F.col("n")).alias("idx"))
-    return drawn.join(rows, ["set_id", "idx"]).drop("idx")
+    # Uncapped draws are many times the rows and must not be what is broadcast.
+    return drawn.join(rows.hint("shuffle_hash") if cap is None else rows, ["set_id", "idx"]).drop("idx")
 
 
 def relabel(df: DataFrame, reps: int, seed: str, first_size: Column) -> DataFrame:

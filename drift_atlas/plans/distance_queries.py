@@ -17,7 +17,8 @@ from drift_atlas.sources import fixtures as fx
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 DIMS = 4
-FLOOR_REPS, BOOT_REPS, PERM_REPS = 20, 20, 50
+FLOOR_REPS, BOOT_REPS, PERM_REPS = 100, 100, 200
+STABILITY_REPS = 50
 
 
 def query(name: str, sql: str | None = None):
@@ -392,26 +393,26 @@ def stability_summary(resampled: DataFrame) -> DataFrame:
     )
 
 
-_BS = f"{_boot_sql('e', 'st', BOOT_REPS, 'st', 'least(n, 100)')}, bs AS (SELECT a.set_id AS a, b.set_id AS b, a.rep, {_FR} AS fmd, a.n AS size_a, b.n AS size_b FROM st a JOIN st b ON a.rep = b.rep AND a.set_id < b.set_id)"
+_BS = f"{_boot_sql('e', 'st', STABILITY_REPS, 'st', 'least(n, 100)')}, bs AS (SELECT a.set_id AS a, b.set_id AS b, a.rep, {_FR} AS fmd, a.n AS size_a, b.n AS size_b FROM st a JOIN st b ON a.rep = b.rep AND a.set_id < b.set_id)"
 _BSUM = "a, b, count(*) AS n_resamples, max(size_a) AS sample_size_a, max(size_b) AS sample_size_b, round(avg(fmd), 6) AS fmd_mean, round(stddev_pop(fmd), 6) AS fmd_std, round(quantile_cont(fmd, 0.025), 6) AS fmd_ci_lower, round(quantile_cont(fmd, 0.975), 6) AS fmd_ci_upper, round(stddev_pop(fmd) / greatest(avg(fmd), 1e-8), 6) AS cv"
 _BCOLS = ("fmd_mean", "fmd_std", "fmd_ci_lower", "fmd_ci_upper", "cv")
 
 
 @query("r06_pair_bootstrap", f"{_BS} SELECT a, b, rep, round(fmd, 6) AS fmd FROM bs")
 def r06(spark, sf):
-    return _round(bootstrap_pairs(_plane(spark, sf), BOOT_REPS, 100).select("a", "b", "rep", "fmd"), "fmd")
+    return _round(bootstrap_pairs(_plane(spark, sf), STABILITY_REPS, 100).select("a", "b", "rep", "fmd"), "fmd")
 
 
 @query("a08_bootstrap_summary", f"{_BS} SELECT {_BSUM} FROM bs GROUP BY a, b")
 def a08(spark, sf):
-    return _round(stability_summary(bootstrap_pairs(_plane(spark, sf), BOOT_REPS, 100)), *_BCOLS)
+    return _round(stability_summary(bootstrap_pairs(_plane(spark, sf), STABILITY_REPS, 100)), *_BCOLS)
 
 
 @query("q05_bootstrap_stability", f"{_BS} SELECT {_BSUM} FROM bs WHERE a = 0 AND b = 1 GROUP BY a, b")
 def q05(spark, sf):
     """Stability of one pair of sets: only its two sets are resampled."""
     points = _plane(spark, sf).where("set_id in (0, 1)")
-    return _round(stability_summary(bootstrap_pairs(points, BOOT_REPS, 100)), *_BCOLS)
+    return _round(stability_summary(bootstrap_pairs(points, STABILITY_REPS, 100)), *_BCOLS)
 
 
 @query("r10_shuffle_take_valid", f" SELECT set_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY {_KEY('t', 'row_id')}, row_id) AS k FROM e WHERE x > 0) WHERE k <= 5")

@@ -235,6 +235,13 @@ def test_entry_and_oracle_names(spark):
     assert __spark_entry__.entry(spark).count() == 90
 
 
+def test_resamples_are_as_many_as_the_references(spark):
+    run = lambda name: distance_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert [run(name).agg({"rep": "max"}).first()[0] + 1 for name in ("r03_noise_floor", "r04_perturbation_bootstrap", "r06_pair_bootstrap")] == [100, 100, 50]
+    assert run("q05_bootstrap_stability").first().n_resamples == 50
+    assert all(abs(r.perm_p_value * 201 - round(r.perm_p_value * 201)) < 1e-3 for r in run("r05_permutation_pvalue").collect())
+
+
 def test_retest_shift_is_zero(spark):
     rows = spark.createDataFrame([(0, k, RNG.normal(size=8).tolist()) for k in range(12)], "set_id long, row_id long, embedding array<double>")
     shifts = distance_queries.paired_shifts(rows).where("condition = '__retest__'").collect()
