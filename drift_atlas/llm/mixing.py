@@ -144,7 +144,8 @@ def fit_rates(members: DataFrame, weights: list[float], max_rate: float, iterati
 
     The budget is such that the domain of the largest weight is used once in full.
     A domain's target is its weight of the budget, or, where rates are bounded,
-    ``max_rate`` times what there is of it, if that is less.
+    ``max_rate`` times what there is of it, if that is less; ``asked`` has the weights
+    of the budget without that bound.
     """
     c = len(weights)
     share = np.array(weights, float) / sum(weights)
@@ -154,9 +155,10 @@ def fit_rates(members: DataFrame, weights: list[float], max_rate: float, iterati
     supply = np.array([first[f"s{k}"] or 0.0 for k in range(c)])
     total = supply.sum()
     if not total:
-        return members.withColumn("rate", F.lit(1.0)), {"supply": supply, "target": supply, "reached": supply, "iterations": 0}
+        return members.withColumn("rate", F.lit(1.0)), {"supply": supply, "asked": supply, "target": supply, "reached": supply, "iterations": 0}
     anchor = int(share.argmax())
-    target = np.minimum(share * (supply[anchor] / share[anchor]), supply * max_rate)
+    asked = share * (supply[anchor] / share[anchor])
+    target = np.minimum(asked, supply * max_rate) if np.isfinite(max_rate) else np.where(supply > 0, asked, 0.0)
     gram = np.zeros((c, c))
     for a in range(c):
         for b in range(a, c):
@@ -177,7 +179,7 @@ def fit_rates(members: DataFrame, weights: list[float], max_rate: float, iterati
         before, reached = reached, np.array([sums[f"s{k}"] for k in range(c)])
         if np.abs(reached - target).max() <= TOLERANCE * total or np.abs(reached - before).max() <= TOLERANCE * 1e-2 * total:
             break
-    return table.withColumn("rate", rate), {"supply": supply, "target": target, "reached": reached, "iterations": done}
+    return table.withColumn("rate", rate), {"supply": supply, "asked": asked, "target": target, "reached": reached, "iterations": done}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, domain: Column, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", max_rate: float = 1.0, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict]:

@@ -67,9 +67,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of all documents that bring the labels' domains to their target weights."""
+    """Rates of all documents, above 1 where a domain is scarce, that bring the labels' domains to their target weights."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return mixing.mix(docs, labels, F.expr(mixing.LABEL_DOMAIN), mixing.LABEL_TARGETS)[0]
+    return mixing.mix(docs, labels, F.expr(mixing.LABEL_DOMAIN), mixing.LABEL_TARGETS, max_rate=float("inf"))[0]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

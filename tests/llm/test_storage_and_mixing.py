@@ -127,6 +127,19 @@ def test_mixing_meets_its_targets(spark):
     assert np.abs(rate - out["rate"]).max() < 1e-6
 
 
+def test_scarce_domains_are_repeated_where_rates_are_free(spark):
+    rows, labels = domain_rows()
+    weights = {"clean": 0.5, "toxic": 0.5}
+    for bound in (1.0, float("inf")):
+        table, report = mixing.mix(H.documents(spark, rows), H.labels(spark, labels[::2]), F.expr(mixing.LABEL_DOMAIN), weights, max_rate=bound)
+        toxic = report["domains"].index("toxic")
+        assert report["asked"][toxic] > 2 * report["supply"][toxic]
+        short = report["asked"][toxic] - report["target"][toxic]
+        assert short == 0 if bound > 1 else short > 0
+    assert abs(report["reached"] - report["asked"]).max() < 0.03 * report["supply"].sum()
+    assert table.agg(F.max("copies")).first()[0] > 1
+
+
 def test_mixing_awkward_rows(spark):
     rows = H.awkward_rows()
     table, _ = mixing.mix(H.documents(spark, rows), H.labels(spark), F.expr(mixing.LABEL_DOMAIN), mixing.LABEL_TARGETS)
