@@ -72,12 +72,12 @@ def t19(spark, sf):
 QUERIES["o07_previous_state"], SQL["o07_previous_state"] = QUERIES["t19_abc_text"], SQL["t19_abc_text"]
 
 
-@query("o04_first_groups", f"{_CHORDS} SELECT file_id, onset FROM (SELECT file_id, onset, row_number() OVER (PARTITION BY file_id ORDER BY onset) AS k FROM cg) WHERE k <= 16")
+@query("o04_first_groups", f"{_CHORDS} SELECT file_id, onset FROM (SELECT file_id, onset, row_number() OVER (PARTITION BY file_id ORDER BY onset) AS k FROM cg) WHERE k <= {rd.MAX_GROUPS}")
 def o04(spark, sf):
     from pyspark.sql import Window
 
     groups = rd.chord_groups(*_notes(spark, sf))
-    return groups.withColumn("k", F.row_number().over(Window.partitionBy("file_id").orderBy("onset"))).where("k <= 16").select("file_id", "onset")
+    return groups.withColumn("k", F.row_number().over(Window.partitionBy("file_id").orderBy("onset"))).where(F.col("k") <= rd.MAX_GROUPS).select("file_id", "onset")
 
 
 @query("velocity_invariance", f"{_ABC} SELECT file_id, CAST(0 AS BIGINT) AS changed FROM ab")

@@ -242,6 +242,13 @@ def test_resamples_are_as_many_as_the_references(spark):
     assert all(abs(r.perm_p_value * 201 - round(r.perm_p_value * 201)) < 1e-3 for r in run("r05_permutation_pvalue").collect())
 
 
+def test_first_groups_end_at_the_renderers_cap(spark):
+    from drift_atlas.plans import render_queries
+
+    files = render_queries.QUERIES["o04_first_groups"](spark, "/root/testdata/sf0.001").groupBy("file_id").count()
+    assert 16 < files.agg({"count": "max"}).first()[0] <= render_queries.rd.MAX_GROUPS
+
+
 def test_retest_shift_is_zero(spark):
     rows = spark.createDataFrame([(0, k, RNG.normal(size=8).tolist()) for k in range(12)], "set_id long, row_id long, embedding array<double>")
     shifts = distance_queries.paired_shifts(rows).where("condition = '__retest__'").collect()
