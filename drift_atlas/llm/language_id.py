@@ -26,7 +26,7 @@ from drift_atlas.llm import textkit
 GRAMS = (1, 2, 3)
 BUCKETS, WIDTH = 1 << 14, 16
 #: Labelled rows that are learned from, chosen by the smallest hash of their id, and the bytes of each that are read.
-SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 4_096
+SAMPLE_ROWS = 4_000
 EPOCHS, RATE = 12, 0.5
 UNDETERMINED = "und"
 
@@ -126,21 +126,17 @@ class Model:
         return e / e.sum()
 
 
-def fit(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Train on labelled texts; every eighth calibrates the temperature instead."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+    """Train on labelled texts as (buckets that occur, how often); every eighth calibrates the temperature instead."""
     languages = tuple(sorted(set(labels)))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     rng = np.random.Generator(np.random.PCG64(seed))
     kinds = np.array([languages.index(x) for x in labels])
-    grams = []
-    for text in texts:
-        counts = gram_counts(text)
-        at = np.flatnonzero(counts)
-        grams.append((at, counts[at] / max(counts.sum(), 1.0)))
+    grams = [(at, counts / max(counts.sum(), 1.0)) for at, counts in rows]
     embed = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH))
     layer, bias = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
-    held = np.arange(len(texts)) % 8 == 7 if len(texts) >= 64 else np.zeros(len(texts), bool)
+    held = np.arange(len(rows)) % 8 == 7 if len(rows) >= 64 else np.zeros(len(rows), bool)
     trained = np.flatnonzero(~held)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -177,19 +173,32 @@ def _temperature(logits: np.ndarray, kinds: np.ndarray) -> float:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a bounded sample: the ``sample_rows`` rows of smallest id hash, the first ``SAMPLE_BYTES`` of each.
+    """Fit on a bounded sample: the ``sample_rows`` rows of smallest id hash, whole texts.
 
     The rows are counted first, and only those below a hash that admits about half
     as many again as are wanted are sorted. So what the tasks send to the driver
-    together is bounded by the sample, however many tasks there are.
+    together is bounded by the sample, however many tasks there are. A text is sent
+    as the counts of its buckets, so its length doesn't matter.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     total = known.count()
     if total > 2 * sample_rows:
         known = known.where(F.pmod(F.xxhash64(id_col), F.lit(_HASHES)) < int(_HASHES * 1.5 * sample_rows / total))
-    chosen = known.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_BYTES).alias("text"), F.col(lang_col).alias("lang"))
-    rows = chosen.orderBy(F.pmod("h", F.lit(_HASHES)), "id", "lang", "text").limit(sample_rows).collect()
-    return fit([r["text"].encode()[:SAMPLE_BYTES] for r in rows], [r["lang"] for r in rows])
+    chosen = known.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, often = [], []
+            for k in range(batch.num_rows):
+                counts = gram_counts(batch.column(3)[k].as_py())
+                at = np.flatnonzero(counts)
+                found.append(at.astype("<u2").tobytes()), often.append(counts[at].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary()), pa.array(often, pa.binary())], names=["h", "id", "lang", "buckets", "counts"])
+
+    counted = chosen.mapInArrow(run, f"h long, id {chosen.schema[1].dataType.simpleString()}, lang string, buckets binary, counts binary")
+    rows = counted.orderBy(F.pmod("h", F.lit(_HASHES)), "id", "lang", "buckets", "counts").limit(sample_rows).collect()
+    grams = [(np.frombuffer(r["buckets"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<f4").astype(np.float64)) for r in rows]
+    return fit(grams, [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject_below: float = 0.5) -> DataFrame:

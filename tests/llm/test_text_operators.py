@@ -68,6 +68,13 @@ def test_language_id_held_out_accuracy(spark):
     assert all(0 <= g.score <= 1 for g in got.values())
 
 
+def test_language_id_learns_from_whole_texts(spark):
+    rows = [(k, "lorem ipsum " * 400 + ("bonjour monde entier " if k % 2 else "hello whole world ") * 400, "fr" if k % 2 else "en", None, None) for k in range(40)]
+    model = language_id.train(H.documents(spark, rows).selectExpr("doc_id", "text", "if(doc_id % 2 = 1, 'fr', 'en') AS lang"))
+    got = language_id.predict(H.documents(spark, rows), model, reject_below=0.0).collect()
+    assert all(r.lang_pred == ("fr" if r.doc_id % 2 else "en") for r in got)
+
+
 def test_language_id_awkward_rows_and_rejection(spark):
     docs = H.documents(spark)
     nothing = language_id.train(docs.where("false"))
