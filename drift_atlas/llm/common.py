@@ -2,13 +2,15 @@
 
 Everything that must outlive an executor is written below the folder that the
 session names in ``spark.checkpoint.dir``. Only a session without that setting
-(a test, a notebook) gets a local one.
+whose executors are threads of the driver (a test, a notebook) gets a local one.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +22,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of an Arrow batch that is sent to a Python worker while a table is written.
+BATCH_BYTES = 8 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it; an error on a cluster that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
+    if not named and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="drift-atlas-")
         spark.sparkContext.setCheckpointDir(named)
@@ -46,8 +55,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python workers get batches of few bytes for as long as this lasts, so long texts do not add up in them."""
+    before = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_BYTES) if before is None else spark.conf.set(_BATCH_BYTES, before)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        remove_folder(table.sparkSession, table._written_to)
 
 
 def hadoop_fs(spark: SparkSession, path: str):

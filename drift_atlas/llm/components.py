@@ -31,7 +31,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         own = least.where("u > m").select("u", F.col("m").alias("v"))
         hooked = hooked.where("u > v").unionByName(own)
-    return common.materialize(hooked.distinct(), "star-links")
+    out = common.materialize(hooked.distinct(), "star-links")
+    common.discard(least, links)
+    return out
 
 
 def _all_stars(links: DataFrame) -> bool:

@@ -45,6 +45,8 @@ SAMPLES = BANDS * BAND_ROWS
 SKETCH_BITS = 1024
 #: Samples and bits of the longer sketch.
 FINE_SAMPLES, FINE_BITS = 1024, 4096
+#: Shingle hashes that a task keeps of texts it may meet again.
+HELD_HASHES = 500_000
 #: The estimates' standard deviations at the threshold are about 0.033 and 0.0145; these are over four of them.
 ESTIMATE_MARGIN, FINE_MARGIN = 0.14, 0.063
 
@@ -104,29 +106,37 @@ _SIGNATURE = "id long, n_shingles long, set_hi long, set_lo long, bands array<lo
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One output batch for each slice of texts; blank texts have a size of 0 and nulls."""
     for batch in batches:
         raw, at = textkit.buffers(batch.column(1))
-        count, hi, lo, bands, sketches = [], [], [], [], []
-        for own in _sets(raw, at):
-            count.append(len(own))
-            if not len(own):
-                hi.append(None), lo.append(None), bands.append(None), sketches.append(None)
-                continue
-            digest = [textkit.mix(own ^ m).sum(dtype=U64) for m in _DIGEST_MUL]
-            samples = minhash(own)
-            hi.append(int(digest[0].view(np.int64))), lo.append(int(digest[1].view(np.int64)))
-            bands.append(band_keys(samples).view(np.int64)), sketches.append(odd_sketch(samples))
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bands, longs), pa.array(sketches, longs)],
-            names=["id", "n_shingles", "set_hi", "set_lo", "bands", "sketch"],
-        )
+        ids = batch.column(0).cast(pa.int64())
+        for first, last in textkit.slices(at):
+            n = last - first
+            count, digest = np.zeros(n, np.int64), np.zeros((n, 2), np.int64)
+            bands, sketches = np.zeros((n, BANDS), np.int64), np.zeros((n, SKETCH_BITS // 64), np.int64)
+            for k, own in enumerate(_sets(raw, at[first : last + 1])):
+                count[k] = len(own)
+                if len(own):
+                    digest[k] = np.array([textkit.mix(own ^ m).sum(dtype=U64) for m in _DIGEST_MUL]).view(np.int64)
+                    samples = minhash(own)
+                    bands[k], sketches[k] = band_keys(samples).view(np.int64), odd_sketch(samples)
+            blank = count == 0
+            columns = [pa.array(count), *(pa.array(digest[:, k], mask=blank) for k in (0, 1)), _lists(bands, blank), _lists(sketches, blank)]
+            yield pa.RecordBatch.from_arrays([ids.slice(first, n), *columns], names=["id", "n_shingles", "set_hi", "set_lo", "bands", "sketch"])
+
+
+def _lists(rows: np.ndarray, blank: np.ndarray) -> pa.Array:
+    """A list column of equally long rows, null where blank."""
+    ends = np.concatenate(([0], np.cumsum(~blank))).astype(np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows[~blank].ravel()), mask=pa.array(blank))
 
 
 def _fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [odd_sketch(minhash(own, FINE_SAMPLES), FINE_BITS) for own in _sets(*textkit.buffers(batch.column(1)))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "fine"])
+        made = np.zeros((batch.num_rows, FINE_BITS // 64), np.int64)
+        for k, own in enumerate(_sets(*textkit.buffers(batch.column(1)))):
+            made[k] = odd_sketch(minhash(own, FINE_SAMPLES), FINE_BITS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(made, np.zeros(batch.num_rows, bool))], names=["id", "fine"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +151,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for side in (0, 1):
                 key = ids[side][k]
                 if key not in known:
-                    if held > 4_000_000:
+                    if held > HELD_HASHES:
                         known.clear()
                         held = 0
                     known[key] = shingle_set(batch.column(2 + side)[k].as_py())
@@ -197,6 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
     hubs = common.materialize(hubs, "bucket-hubs")
     shared = common.materialize(entries.join(hubs, "bucket"), "bucket-members")
+    common.discard(hubs)
 
     pairs = shared.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     links = _confirmed(_estimated(pairs, reps), texts)
@@ -204,16 +215,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Members of one bucket in different components have not been compared yet.
     open_members = _open_members(shared, joined)
-    fine = _texts_of(open_members.select("id"), texts).mapInArrow(_fine_sketches, "id long, fine array<long>")
+    common.discard(shared)
+    open_texts = _texts_of(open_members.select("id"), texts)
+    fine = open_texts.mapInArrow(_fine_sketches, "id long, fine array<long>")
     fine = common.materialize(fine.join(reps.select("id", "n_shingles", "bands", "sketch"), "id"), "fine-sketches")
-    open_members = common.materialize(open_members.join(fine, "id"), "cross-members")
-    x, y = (open_members.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "bands", "sketch", "fine")]) for s in "xy")
+    common.discard(open_texts, reps)
+    members = common.materialize(open_members.join(fine, "id"), "cross-members")
+    common.discard(open_members, fine)
+    x, y = (members.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "bands", "sketch", "fine")]) for s in "xy")
     likely = _apart("sketch_x", "sketch_y") <= sketch_limit(THRESHOLD_PERCENT / 100, ESTIMATE_MARGIN)
     near = (F.col("component_x") < F.col("component_y")) & _sizes_fit("n_shingles_x", "n_shingles_y") & likely
     near = near & (_apart_long("fine_x", "fine_y") <= sketch_limit(THRESHOLD_PERCENT / 100, FINE_MARGIN, FINE_SAMPLES, FINE_BITS))
     near = near & (F.col("bucket") == F.array_min(F.array_intersect("bands_x", "bands_y")))
     pairs = x.join(y, "bucket").where(near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
-    joined = _contracted(joined, _confirmed(common.materialize(pairs, "cross-pairs"), texts))
+    pairs = common.materialize(pairs, "cross-pairs")
+    common.discard(members)
+    joined = _contracted(joined, _confirmed(pairs, texts))
 
     labelled = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
     labelled = common.materialize(labelled, "class-components")
@@ -227,7 +244,10 @@ def _open_members(shared: DataFrame, joined: DataFrame) -> DataFrame:
     placed = shared.join(joined, "id", "left").select("bucket", "hub", "id", F.coalesce("component", "id").alias("component"))
     placed = common.materialize(placed, "placed-members")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    return common.materialize(placed.join(common.materialize(mixed, "mixed-buckets"), "bucket", "left_semi"), "open-members")
+    mixed = common.materialize(mixed, "mixed-buckets")
+    out = common.materialize(placed.join(mixed, "bucket", "left_semi").select("bucket", "id", "component"), "open-members")
+    common.discard(placed, mixed)
+    return out
 
 
 def _contracted(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -244,7 +264,9 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a")
     near = _sizes_fit("n_a", "n_b") & (_apart("sketch_a", "sketch_b") <= sketch_limit(THRESHOLD_PERCENT / 100, ESTIMATE_MARGIN))
-    return common.materialize(met.where(near).select("a", "b"), "estimated-pairs")
+    out = common.materialize(met.where(near).select("a", "b"), "estimated-pairs")
+    common.discard(pairs)
+    return out
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -252,13 +274,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     needed = _texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), texts)
     with_b = pairs.join(needed.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(needed.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "links")
+    links = common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "links")
+    common.discard(needed, pairs)
+    return links
 
 
 def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per id with its text, written."""
     ids = common.materialize(ids.distinct(), "chosen-ids")
-    return common.materialize(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "chosen-texts")
+    out = common.materialize(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "chosen-texts")
+    common.discard(ids)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

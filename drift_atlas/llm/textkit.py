@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes of text hashed at once; one word or text may be longer.
-SLICE_BYTES = 1 << 20
+#: Bytes of text hashed at once, which bounds the arrays of a pass to some tens of bytes each; one word may be longer.
+SLICE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -35,30 +35,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, base in enumerate((_BASE, inverse)):
-            factors = np.full(n, base, U64)
-            factors[0] = 1
-            _powers[k] = np.multiply.accumulate(factors)
-    return _powers
-
-
-def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column, nulls as empty, and the n + 1 offsets into them."""
+    """Powers of the base and of its inverse modulo 2**64, at least n of each; only tables of a slice's length are kept."""
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        factors = np.full(max(n, SLICE_BYTES + 2), base, U64)
+        factors[0] = 1
+        made.append(np.multiply.accumulate(factors))
+    if n <= SLICE_BYTES + 2:
+        _powers[:] = made
+    return made
+
+
+def buffers(column: pa.Array, large: pa.DataType | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string (or, with its large type, binary) column, nulls as empty, and the n + 1 offsets into them."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(large or pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw, at
 
 
-def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def slices(at: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes; a longer text is a run of its own."""
+    most = most or SLICE_BYTES
     first = 0
     while first < len(at) - 1:
         last = int(np.searchsorted(at, at[first] + most, "right")) - 1
@@ -73,7 +76,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out_hash, out_start = [], []
     pos = begin
     while pos < end:
-        stop = min(pos + 4 * SLICE_BYTES, end)
+        stop = min(pos + SLICE_BYTES, end)
         if stop < end:  # end at white space or at the end of a text, so no word is cut
             spaces = np.flatnonzero(_SPACE[raw[pos:stop]])
             ends = at[np.searchsorted(at, stop, "right") - 1]
