@@ -106,6 +106,18 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return measured.select(id_col, *[F.col(v).cast("long").alias(k) for k, v in picked.items()])
 
 
+def keep_good_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, **learning) -> DataFrame:
+    """The rows of ``docs`` that the base check and the learned rules keep, with all their columns.
+
+    Every row is judged as it passes, so no row meets its verdict in a join.
+    """
+    rules = learn_rules(labelled_rows(docs, labels, id_col, text_col, label_col, sample_rows), **learning)
+    stats = text_statistics(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("__text")), "row", "__text")
+    # A filter is not moved below a column that isn't deterministic; moved, it would compute the statistics once for each use.
+    stats = stats.withColumn("place", F.monotonically_increasing_id())
+    return stats.where(~base_failed(stats) & verdict(rules) & (F.col("place") >= 0)).select("row.*")
+
+
 def base_failed(stats: DataFrame) -> Column:
     """Too few words, or too large a share of them in repeated windows."""
     return (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > MAX_REPEAT_PERCENT * stats["n_words"])
