@@ -26,7 +26,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, quality_rules.apply_quality_rules(docs, _labels(spark, sf_dir)).where("kept"))
+    return quality_rules.keep_good_rows(docs, _labels(spark, sf_dir))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
