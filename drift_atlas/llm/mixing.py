@@ -3,12 +3,16 @@
 A classifier learned from a labelled table gives every document a posterior over
 the domains; its tokens count towards each domain in that proportion. Nonnegative
 rates, one per document, are fitted so that the expected token totals match the
-targets: weighted least squares by projected gradient from the rate 1.
+targets: least squares by projected gradient from the rate 1.
 
-The gradient of a document's rate depends on its posterior and on one error per
-domain only. So an iteration is one distributed sum of a few numbers, and the rates
-are an expression over the posteriors and the errors so far; nothing per document
-ever reaches the driver.
+The gradient of a document's rate is its posterior times the domains' errors. The
+projection is lazy: gradients are accumulated in one number per domain, and a rate
+is 1 less the posterior times those numbers, projected to its bounds. A step scales
+the gradient by the inverse Gram matrix of the rates that no bound holds, and is
+shortened while the objective does not fall. So an iteration is one distributed sum
+of a few numbers, and nothing per document ever reaches the driver or is written.
+The fit ends at the optimum, whether the totals can match or not; not to reach it is
+an error.
 """
 
 from __future__ import annotations
@@ -27,7 +31,12 @@ from drift_atlas.llm import common, textkit
 BUCKETS, KEPT_WORDS, SAMPLE_ROWS = 1 << 16, 256, 6_000
 #: Dense features: shares of the 256 bytes, of distinct words, and of words equal to the one before.
 DENSE = 258
-ITERATIONS, WRITE_EVERY, TOLERANCE = 24, 8, 1e-4
+#: Totals match within this share of all tokens.
+TOLERANCE = 1e-5
+#: Weights of the squared distance of the rates from 1, tried in turn until the totals match; the last makes no matter.
+RIDGES = (1e-2, 1e-4, 1e-6)
+#: Shares of a step that are tried in one distributed sum, and sums beyond which the fit is given up as an error.
+STEP_SIZES, MOST_SUMS = np.array([1.0, 1 / 3, 1 / 9, 1 / 27]), 200
 SEED = 17
 
 
@@ -106,9 +115,9 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domain: Column, id_col:
                 cuts = np.searchsorted(who, np.arange(len(counts) + 1))
                 words = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bucket.astype(np.int32)))
                 shares = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * DENSE, pa.int32()), pa.array(dense.astype(np.float32).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)).cast(pa.int64()), batch.column(1).slice(first, len(counts)), words, shares], names=["id", "domain", "words", "dense"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), batch.column(1).slice(first, len(counts)), words, shares], names=["id", "domain", "words", "dense"])
 
-    rows = met.mapInArrow(run, "id long, domain string, words array<int>, dense array<float>").collect()
+    rows = met.mapInArrow(run, f"id {met.schema[0].dataType.simpleString()}, domain string, words array<int>, dense array<float>").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["id"], r["domain"]))
@@ -139,47 +148,89 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, n_tokens long, {kinds}")
 
 
-def fit_rates(members: DataFrame, weights: list[float], max_rate: float, iterations: int = ITERATIONS) -> tuple[DataFrame, dict]:
+def _rate(slopes: np.ndarray, max_rate: float) -> Column:
+    """The rates of accumulated gradients."""
+    free = F.lit(1.0)
+    for k, x in enumerate(slopes):
+        free = free - F.col(f"p{k}") * F.lit(float(x))
+    return F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), free))
+
+
+@dataclass(frozen=True)
+class _State:
+    """At the rates of ``slopes``: tokens of each domain, Gram matrix of the rates within their bounds, and the sum whose gradient those tokens are."""
+
+    slopes: np.ndarray
+    reached: np.ndarray
+    gram: np.ndarray
+    level: float
+
+    def worth(self, target: np.ndarray, ridge: float) -> float:
+        return ridge / 2 * float(self.slopes @ self.slopes) + float(target @ self.slopes) + self.level
+
+
+def _measure(members: DataFrame, tried: np.ndarray, max_rate: float) -> list[_State]:
+    """One distributed sum for all rows of ``tried``; a task sends a row of numbers for each batch, and Spark adds them up."""
+    m, c = tried.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, *p = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(c + 1))
+            p = np.stack(p, axis=1)
+            free = 1 - p @ tried.T
+            rate = np.clip(free, 0, max_rate)
+            inside = (free > 0) & (free < max_rate)
+            grams = [(p * (n * inside[:, k])[:, None]).T @ p for k in range(m)]
+            # Half the squared rate, continued as a line beyond an upper bound.
+            sums = np.concatenate(((p * n[:, None]).T @ rate, np.stack(grams, axis=-1).reshape(c * c, m), (n @ (rate * free - rate * rate / 2))[None, :])).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), *(pa.array(np.ascontiguousarray(sums[:, k])) for k in range(sums.shape[1]))], names=names)
+
+    names = ["k", *(f"v{k}" for k in range(c + c * c + 1))]
+    parts = members.select("n_tokens", *(f"p{k}" for k in range(c))).mapInArrow(run, "k long, " + ", ".join(f"{v} double" for v in names[1:]))
+    rows = {r["k"]: np.array(r[1:], float) for r in parts.groupBy("k").agg(*(F.sum(v) for v in names[1:])).collect()}
+    found = [rows.get(k, np.zeros(len(names) - 1)) for k in range(m)]
+    return [_State(at, v[:c], v[c:-1].reshape(c, c), float(v[-1])) for at, v in zip(tried, found, strict=True)]
+
+
+def fit_rates(members: DataFrame, weights: list[float], max_rate: float, most_sums: int = MOST_SUMS) -> tuple[DataFrame, dict]:
     """Add ``rate`` to a table of n_tokens and p0, p1, ...; also what was aimed at and reached.
 
     The budget is such that the domain of the largest weight is used once in full.
     A domain's target is its weight of the budget, or, where rates are bounded,
     ``max_rate`` times what there is of it, if that is less; ``asked`` has the weights
-    of the budget without that bound.
+    of the budget without that bound. ``matched`` tells whether the targets are met
+    within the tolerance; if not, no rates within the bounds come notably nearer.
     """
     c = len(weights)
     share = np.array(weights, float) / sum(weights)
-    p = [F.col(f"p{k}") for k in range(c)]
-    products = [F.sum(F.col("n_tokens") * p[a] * p[b]).alias(f"h{a}_{b}") for a in range(c) for b in range(a, c)]
-    first = members.select(*[F.sum(F.col("n_tokens") * p[k]).alias(f"s{k}") for k in range(c)], *products).first()
-    supply = np.array([first[f"s{k}"] or 0.0 for k in range(c)])
+    now = _measure(members, np.zeros((1, c)), max_rate)[0]
+    supply, sums = now.reached, 1
     total = supply.sum()
     if not total:
-        return members.withColumn("rate", F.lit(1.0)), {"supply": supply, "asked": supply, "target": supply, "reached": supply, "iterations": 0}
+        return members.withColumn("rate", F.lit(1.0)), {"supply": supply, "asked": supply, "target": supply, "reached": supply, "sums": 1, "matched": True}
     anchor = int(share.argmax())
     asked = share * (supply[anchor] / share[anchor])
     target = np.minimum(asked, supply * max_rate) if np.isfinite(max_rate) else np.where(supply > 0, asked, 0.0)
-    gram = np.zeros((c, c))
-    for a in range(c):
-        for b in range(a, c):
-            gram[a, b] = gram[b, a] = first[f"h{a}_{b}"] / total
-    weight = np.linalg.inv(gram + 1e-6 * np.eye(c))  # the metric in which a step of 1 is safe
-    table, rate, reached = members, F.lit(1.0), supply
-    done = 0
-    for done in range(1, iterations + 1):
-        error = weight @ (reached - target) / total
-        slope = F.lit(0.0)
-        for k in range(c):
-            slope = slope + p[k] * F.lit(float(error[k]))
-        rate = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), rate - slope))
-        if done % WRITE_EVERY == 0:  # keep the expression short
-            table = common.materialize(table.drop("rate").withColumn("rate", rate) if done == WRITE_EVERY else table.withColumn("rate", rate), "mixing-rates")
-            rate = F.col("rate")
-        sums = table.select(*[F.sum(F.col("n_tokens") * p[k] * rate).alias(f"s{k}") for k in range(c)]).first()
-        before, reached = reached, np.array([sums[f"s{k}"] for k in range(c)])
-        if np.abs(reached - target).max() <= TOLERANCE * total or np.abs(reached - before).max() <= TOLERANCE * 1e-2 * total:
+    for ridge in (r * total for r in RIDGES):
+        while np.abs(gradient := ridge * now.slopes + target - now.reached).max() > TOLERANCE / 10 * total:
+            move = np.linalg.solve(now.gram + ridge * np.eye(c), gradient)
+            before, length = now.worth(target, ridge), 1.0
+            while True:
+                if sums == most_sums:
+                    raise RuntimeError(f"the rates did not settle in {most_sums} sums")
+                sums += 1
+                sizes = length * STEP_SIZES
+                tried = _measure(members, now.slopes - sizes[:, None] * move, max_rate)
+                better = [t for t, size in zip(tried, sizes, strict=True) if t.worth(target, ridge) <= before - 1e-4 * size * float(gradient @ move) + 1e-12 * abs(before)]
+                if better:
+                    now = min(better, key=lambda t: t.worth(target, ridge))  # noqa: B023
+                    break
+                length *= STEP_SIZES[-1] / 3
+        matched = bool(np.abs(now.reached - target).max() <= TOLERANCE * total)
+        if matched:
             break
-    return table.withColumn("rate", rate), {"supply": supply, "asked": asked, "target": target, "reached": reached, "iterations": done}
+    report = {"supply": supply, "asked": asked, "target": target, "reached": now.reached, "sums": sums, "matched": matched}
+    return members.withColumn("rate", _rate(now.slopes, max_rate)), report
 
 
 def mix(docs: DataFrame, labelled: DataFrame, domain: Column, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text", max_rate: float = 1.0, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict]:
@@ -190,7 +241,8 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: Column, targets: Mapping[s
     the id, so that its expectation is the rate; rows of one id agree. Domains
     without a target weight get weight 0. Null and empty texts have no tokens, and
     a rate all the same. Without labels, or where no label has a positive weight,
-    every rate is 1. Further columns are ignored.
+    every rate is 1. Ids may be of any type that Arrow carries; further columns are
+    ignored.
     """
     model = learn_domains(docs, labelled, domain, id_col, text_col, sample_rows)
     weights = [float(targets.get(d, 0.0)) for d in model.domains] if model else []
