@@ -1,19 +1,23 @@
 """Line deduplication on levelled sorted runs of line hashes.
 
 The state is a set of runs: tables of (128-bit line hash, number of documents,
-largest document), sorted by hash within hash partitions. A batch of documents
-adds a run at level 0; when a level holds ``fanout`` runs they are merged into one
-run of the next level. A hash is thus rewritten once per level, and reading the
-state touches a logarithmic number of runs.
-
-A document's lines are hashed in one pass. What follows moves hashes only: counts
-are combined before they are shuffled, so a line that stands in a third of all
-documents costs one row per task. The texts are shuffled once, to meet the lines
-they lose.
+largest document), bucketed and sorted by hash. A batch of documents is brought into
+that order once; then it merge-anti-joins every run, and the lines that no run holds
+become a run of level 0, so each hash stands in one run only. Lines that a run holds
+already go to a table of repeats with the batch's counts. When a level holds
+``fanout`` runs they are merged into one run of the next level. A hash is thus
+rewritten once per level, and a batch meets a logarithmic number of runs; neither
+joins nor merges move the runs, as all tables share buckets and order.
+
+A line's documents are its run's count and its repeats. A document's lines are hashed
+in one pass, and what follows moves hashes only: counts are combined before they are
+shuffled, so a line that stands in a third of all documents costs one row per task.
+The texts are shuffled once, to meet the lines they lose.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,55 +83,98 @@ def line_postings(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -
 
 
 class LineRuns:
-    """Levelled sorted runs of line statistics below one folder of the shared storage."""
+    """Levelled sorted runs of line statistics below one folder of the shared storage.
+
+    Runs are tables of the session's catalog, because only those keep their buckets; ``drop`` ends them.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+        self.spark, self.fanout, self.buckets = spark, fanout, common.partitions(spark)
         self.folder = folder or common.new_folder(spark, "line-runs")
         self.levels: list[list[str]] = []
+        self.repeats: list[str] = []
+        self._name = f"line_run_{uuid.uuid4().hex}"
         self._made = 0
 
-    def _write(self, stats: DataFrame, level: int) -> None:
-        path = f"{self.folder}/level-{level}/run-{self._made}"
+    def _write(self, stats: DataFrame) -> str:
+        """Write a run. Its rows come in the partitions of the buckets, so a bucket is one file."""
+        name = f"{self._name}_{self._made}"
         self._made += 1
-        stats.sortWithinPartitions("h1", "h2").write.parquet(path)
-        while len(self.levels) <= level:
+        stats.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            common.remove_folder(self.spark, f"{self.folder}/{name}")
+
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def _new(self, batch: DataFrame) -> DataFrame:
+        """Rows of a batch whose hash no run holds: a merge anti-join with run after run."""
+        for run in self.runs():
+            batch = batch.join(self.spark.table(run).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return batch
+
+    def add(self, postings: DataFrame) -> DataFrame:
+        """Admit a batch: its lines that no run holds become a run and are returned, with their counts in the batch."""
+        made = self._write(postings.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("id").alias("last")))
+        if self.runs():
+            batch, made = made, self._write(self._new(self.spark.table(made)))
+            seen = self.spark.table(batch).join(self.spark.table(made).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            self.repeats.append(self._write(seen))
+            self._drop([batch])
+        admitted = common.materialize(self.spark.table(made), "fresh-lines")
+        self._level(0).append(made)
+        self._compact()
+        return admitted
+
+    def _level(self, k: int) -> list[str]:
+        while len(self.levels) <= k:
             self.levels.append([])
-        self.levels[level].append(path)
-
-    def add(self, postings: DataFrame) -> None:
-        """Append a batch as a run of level 0 and compact the levels that are full."""
-        self._write(postings.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("id").alias("last")), 0)
-        level = 0
-        while level < len(self.levels):
-            if len(self.levels[level]) >= self.fanout:
-                merged, self.levels[level] = self.levels[level], []
-                self._write(self._merge(self.spark.read.schema(_RUN).parquet(*merged)), level + 1)
-                for path in merged:
-                    common.remove_folder(self.spark, path)
-            level += 1
-
-    @staticmethod
-    def _merge(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+        return self.levels[k]
+
+    def _compact(self) -> None:
+        for k in range(len(self.levels)):
+            if len(self.levels[k]) >= self.fanout:
+                full, self.levels[k] = self.levels[k], []
+                self._level(k + 1).append(self._merge(full))
+        if len(self.repeats) >= self.fanout:
+            self.repeats = [self._merge(self.repeats)]
+
+    def _merge(self, names: list[str]) -> str:
+        """Merge tables into one, two at a time, and drop them."""
+        while len(names) > 1:
+            made = self._write(_both(self.spark.table(names[0]), self.spark.table(names[1])))
+            self._drop(names[:2])
+            names = [*names[2:], made]
+        return names[0]
 
     def totals(self) -> DataFrame:
-        """All hashes with the number of documents and the largest that holds each."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], _RUN)
-        runs = self.spark.read.schema(_RUN).parquet(*paths)
-        return runs if len(paths) == 1 else self._merge(runs)
-
-    def admit(self, postings: DataFrame, min_docs: int = 1) -> DataFrame:
-        """The lines of a new batch that fewer than ``min_docs`` earlier documents hold; then add the batch.
-
-        The verdict is written before the runs change, so a repeated read gives the same rows.
-        """
-        seen = self.totals().where(F.col("docs") >= min_docs).select("h1", "h2")
-        fresh = common.materialize(postings.join(seen, ["h1", "h2"], "left_anti"), "fresh-lines")
-        self.add(postings)
-        return fresh
+        """All hashes with the number of documents and the largest that holds each: every run with its repeats."""
+        out = None
+        for run in self.runs():
+            stats = self.spark.table(run)
+            for name in self.repeats:
+                again = self.spark.table(name).select("h1", "h2", F.col("docs").alias("more"), F.col("last").alias("later"))
+                stats = stats.join(again.hint("merge"), ["h1", "h2"], "left")
+                stats = stats.select("h1", "h2", (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs"), F.greatest("last", "later").alias("last"))
+            out = stats if out is None else out.unionAll(stats)
+        return self.spark.createDataFrame([], _RUN) if out is None else out
+
+    def drop(self) -> None:
+        """End all tables."""
+        self._drop(self.runs() + self.repeats)
+        self.levels, self.repeats = [], []
+
+
+def _both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two tables of line statistics as one, by a merge of their sorted buckets."""
+    b = b.select("h1", "h2", F.col("docs").alias("more"), F.col("last").alias("later"))
+    nothing = F.lit(0)
+    met = a.join(b.hint("merge"), ["h1", "h2"], "full")
+    return met.select("h1", "h2", (F.coalesce("docs", nothing) + F.coalesce("more", nothing)).alias("docs"), F.greatest("last", "later").alias("last"))
 
 
 def _rewrite(min_chars: int):
@@ -170,8 +217,9 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     postings = spark.read.schema("id long, h1 long, h2 long, batch int").parquet(folder)
     runs = LineRuns(spark)
     for batch in range(batches):
-        runs.add(postings.where(F.col("batch") == batch))
+        common.discard(runs.add(postings.where(F.col("batch") == batch)))
     frequent = common.materialize(runs.totals().where(F.col("docs") >= min_docs).select("h1", "h2", "last"), "frequent-lines")
+    runs.drop()
     lost = postings.join(frequent, ["h1", "h2"]).where("id < last").select("id", "h1", "h2")
     lost = common.materialize(lost, "lost-lines").groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
