@@ -8,8 +8,9 @@ Skew. The range key is a short prefix of the normalised text followed by a
 64-bit hash of a coarser form of it, so texts that merely begin alike are still
 spread, and splitters stay a few bytes long. A text with very many copies would
 still fill one range. Such hot texts are found first by a count with map-side
-combine, and their rows are spread over salts of ``slice_rows`` rows each; one
-row of every salted slice carries the text on to a second full comparison.
+combine, and their rows are spread over salts of ``slice_rows`` rows each, by their
+place in the input, so rows that share an id are spread too; one row of every salted
+slice carries the text on to a second full comparison.
 
 Bounds. ``slice_rows`` grows with rows / partitions, so there are at most
 ``4 * partitions`` hot texts and, with ``rows / slice_rows + hot`` slices, at
@@ -34,7 +35,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per input row: its id, the id that survives, the group's size and whether it survives.
 
     Equality is that of texts after lower-casing A-Z; null counts as empty.
-    ``keep`` is ``smallest`` or ``largest``. Null ids sort behind all others. Of
+    ``keep`` is ``smallest`` or ``largest``, in the order of the ids' type, which may
+    be any that sorts. Null ids sort behind all others. Of
     rows that repeat an id and its text exactly one survives, and each counts in
     ``group_size``. An empty table gives an empty result; columns other than the
     two named are ignored, so clashing names do no harm.
@@ -56,8 +58,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot = common.materialize(hot, "hot-texts")
 
     head = common.fold_case(F.substring("text", 1, PREFIX_CHARS)).alias("head")
-    salt = F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64(F.col("id")), F.col("slices"))).otherwise(F.lit(-1)).cast("int").alias("salt")
-    dealt = rows.join(F.broadcast(hot), "h", "left").select("id", head, "h", salt, "text")
+    salt = F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64("place"), F.col("slices"))).otherwise(F.lit(-1)).cast("int").alias("salt")
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(hot), "h", "left").select("id", head, "h", salt, "text")
     dealt = dealt.repartitionByRange(width, "head", "h", "salt")
     content = dealt.select("id", "head", "h", "salt", common.fold_case(F.col("text")).alias("norm"))
 
@@ -81,7 +83,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     heads = slices.where("norm is not null")
     best = F.min_by("best", F.struct(F.col("best").isNull(), "best")) if keep == "smallest" else F.max("best")
-    groups = heads.groupBy("norm").agg(best.alias("group_best"), F.sum("n").alias("group_n"), F.first("sha").alias("sha"), F.min_by("salt", _key(keep)).alias("best_salt"))
+    groups = heads.groupBy("norm").agg(best.alias("group_best"), F.sum("n").alias("group_n"), F.first("sha").alias("sha"), _best_salt(keep).alias("best_salt"))
     groups = common.materialize(groups.select("sha", "group_best", "group_n", "best_salt"), "hot-groups")
     joined = slices.drop("norm").join(F.broadcast(groups), "sha", "left")
     cold = F.col("salt") < 0
@@ -99,10 +101,10 @@ def _id_order(column: Column, keep: str) -> Column:
     return column.asc_nulls_last() if keep == "smallest" else column.desc_nulls_last()
 
 
-def _key(keep: str) -> Column:
-    """A key whose minimum picks the slice with the surviving id; of equal ids, the smallest salt."""
+def _best_salt(keep: str) -> Column:
+    """The slice with the surviving id; of equal ids, the smallest salt."""
     best = F.col("best")
-    return F.struct(best.isNull(), best if keep == "smallest" else -best, "salt")
+    return F.min_by("salt", F.struct(best.isNull(), best, "salt")) if keep == "smallest" else F.max_by("salt", F.struct(best.isNotNull(), best, -F.col("salt")))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
