@@ -32,6 +32,8 @@ UNDETERMINED = "und"
 
 #: Hashes of ids are taken modulo this.
 _HASHES = 1 << 52
+#: Ranges of hashes whose rows are counted before the sample is taken.
+HASH_RANGES = 1 << 12
 #: Code points hashed at once.
 _PIECE = 1 << 19
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -75,15 +77,15 @@ def _gram_buckets(letters: np.ndarray) -> np.ndarray:
         if m <= 0:
             continue
         h = np.full(m, n, np.uint32)
-        solid = np.zeros(m, bool)
+        solid, inner = np.zeros(m, bool), np.ones(m, bool)
         for k in range(n):
             part = edged[k : k + m]
             h = (h ^ part) * _MUL[k]
             h ^= h >> np.uint32(15)
             solid |= part != 0
             if 0 < k < n - 1:
-                solid &= part != 0  # a gram crosses no boundary
-        out.append((h[solid] & np.uint32(BUCKETS - 1)).astype(np.int64))
+                inner &= part != 0  # a gram crosses no boundary
+        out.append((h[solid & inner] & np.uint32(BUCKETS - 1)).astype(np.int64))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
@@ -175,16 +177,22 @@ def _temperature(logits: np.ndarray, kinds: np.ndarray) -> float:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample: the ``sample_rows`` rows of smallest id hash, whole texts.
 
-    The rows are counted first, and only those below a hash that admits about half
-    as many again as are wanted are sorted. So what the tasks send to the driver
-    together is bounded by the sample, however many tasks there are. A text is sent
-    as the counts of its buckets, so its length doesn't matter.
+    The hash is that of the id and the text, so rows that share an id are sampled like
+    others, and rows that share both stand or fall together. The rows are counted by
+    hash range first, and only those of the ranges that hold the sample are sorted and
+    sent as the counts of their buckets; ties come in the order of id, language and
+    counts. Texts without a letter teach nothing, as they have no bucket.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = known.count()
-    if total > 2 * sample_rows:
-        known = known.where(F.pmod(F.xxhash64(id_col), F.lit(_HASHES)) < int(_HASHES * 1.5 * sample_rows / total))
-    chosen = known.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    place = F.pmod(F.xxhash64(id_col, text_col), F.lit(_HASHES))
+    ranges = known.groupBy(F.floor(place / (_HASHES / HASH_RANGES)).cast("int").alias("k")).count().orderBy("k").collect()
+    held = 0
+    for r in ranges:
+        held += r["count"]
+        if held >= sample_rows:
+            known = known.where(place < (r["k"] + 1) * (_HASHES // HASH_RANGES))
+            break
+    chosen = known.select(F.xxhash64(id_col, text_col).alias("h"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
