@@ -6,9 +6,11 @@ size, again without a shuffle: the scan packs the small shards' bytes into tasks
 and each task writes its own file. A file is rewritten about once per tier.
 
 A version is a manifest: a JSON file that lists the shards with their bytes and
-rows. It is written aside and renamed to its number; the rename fails if the
-number is taken, so of two writers one wins and the other commits on top of the
-winner's version. Readers see a version whole or not at all, and files that a
+rows. It is written aside and then given its number in one step that fails if the
+number is taken (a hard link on a local file system, elsewhere Hadoop's rename
+without overwriting), so of two writers one wins and the other commits on top of the
+winner's version. Object stores whose rename is a copy need a committer of their own.
+Readers see a version whole or not at all, and files that a
 failed job left behind are in no manifest. All data passes through Spark's own
 readers and writers.
 """
@@ -20,6 +22,7 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,11 +113,26 @@ class ShardStore:
             stream.write(bytearray(body.encode()))
         finally:
             stream.close()
-        if self.fs.exists(final) or not self.fs.rename(aside, final):
+        try:
+            self._publish(aside, final)
+        except Py4JJavaError as problem:
+            if self.fs.exists(final):
+                raise CommitConflict(f"version {made.version} exists") from None
+            raise problem
+        finally:
             self.fs.delete(aside, False)
-            raise CommitConflict(f"version {made.version} exists")
         return made
 
+    def _publish(self, aside, final) -> None:
+        """Give a finished file its name; an error if the name is taken, also by a writer at the same time."""
+        jvm = self.spark._jvm
+        if self.fs.getUri().getScheme() == "file":
+            local = lambda p: jvm.java.io.File(self.fs.makeQualified(p).toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(final), local(aside))
+        else:
+            options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri()).rename(aside, final, options)
+
     def _write(self, rows: DataFrame, **options: int) -> tuple[Shard, ...]:
         """Write rows as new files; they belong to no version yet."""
         name = f"data/{uuid.uuid4().hex}"
@@ -139,15 +157,19 @@ class ShardStore:
                 continue
 
     def compact(self) -> Manifest | None:
-        """Merge tiers until none is due; each merge is a version of its own."""
+        """Merge the tiers that are due, all in one job and one version, until none is due."""
         current = self.manifest()
         while current is not None and (plan := merge_plan(current.shards, self.target, self.fanout, self.least)):
-            group = plan[0]
-            rows, size = sum(s.rows for s in group), sum(s.bytes for s in group)
-            files = max(1, round(size / self.target))
-            source = self._scan(current, group)
-            per_file = max(1, math.ceil(rows / max(files, size / self.target)))
-            merged = self._write(source.coalesce(files), maxRecordsPerFile=per_file)
+            group = [s for tier in plan for s in tier]
+            rows = sum(s.rows for s in group)
+            source, per_file = None, 1
+            for tier in plan:
+                tier_rows, tier_size = sum(s.rows for s in tier), sum(s.bytes for s in tier)
+                files = max(1, round(tier_size / self.target))
+                part = self._scan(current, tier).coalesce(files)
+                source = part if source is None else source.unionAll(part)
+                per_file = max(per_file, math.ceil(tier_rows / max(files, tier_size / self.target)))
+            merged = self._write(source, maxRecordsPerFile=per_file)
             if sum(s.rows for s in merged) != rows:
                 raise RuntimeError("a merge must keep every row")
             gone = {s.path for s in group}
@@ -193,7 +215,10 @@ def _names(schema: str) -> list[tuple[str, str]]:
 
 
 def arrivals(rows: DataFrame, id_col: str, parts: int) -> list[DataFrame]:
-    """Deal a table into ranges of its ids, as if it came in order; null ids come first."""
+    """Deal a table into ranges of its ids, as if it came in order, null ids first; ids that are no integers are dealt by hash."""
+    if not isinstance(rows.select(id_col).schema[0].dataType, T.IntegralType):
+        place = F.pmod(F.xxhash64(id_col), F.lit(parts))
+        return [rows.where(place == k) for k in range(parts)]
     ends = rows.select(F.min(id_col), F.max(id_col)).first()
     if ends[0] is None:
         return [rows]
