@@ -29,6 +29,18 @@ def test_exact_duplicates(spark, keep, monkeypatch):
     assert all(g.doc_id == g.keep_id for g in got if g.kept)
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+@pytest.mark.parametrize("copies", [10, 64, 65, 300])
+def test_exact_duplicates_with_string_ids_and_repeated_ids(spark, keep, copies):
+    """At sizes on both sides of a slice: ids that are strings, one of them many times, and null ids."""
+    rows = [(f"k{k:03}", "same") for k in range(copies)] + [("k000", "same")] * copies + [(None, "same")] * copies + [("z", "other")]
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), keep=keep).collect()
+    same = [g for g in got if g.doc_id != "z"]
+    best = "k000" if keep == "smallest" else f"k{copies - 1:03}"
+    assert {(g.keep_id, g.group_size) for g in same} == {(best, 3 * copies)}
+    assert [g.doc_id for g in same if g.kept] == [best] and len(got) == len(rows)
+
+
 def test_exact_duplicates_empty(spark):
     out = exact_dedup.exact_duplicates(H.documents(spark, []))
     assert out.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"] and out.count() == 0
@@ -140,13 +152,29 @@ def test_line_runs_are_levelled_and_admit_new_lines(spark):
     docs = spark.createDataFrame([(k, f"a line that is shared by all\na line of document {k} alone") for k in range(8)], "doc_id long, text string")
     postings = line_dedup.line_postings(docs, "doc_id", "text", 20)
     runs = line_dedup.LineRuns(spark, fanout=2)
-    fresh = [runs.admit(postings.where(F.col("id") % 4 == k)).count() for k in range(4)]
-    assert fresh == [4, 2, 2, 2]
-    assert [len(level) for level in runs.levels] == [0, 0, 1]
-    totals = {r.docs for r in runs.totals().collect()}
-    assert totals == {1, 8}
-    stored = spark.read.parquet(runs.levels[2][0])
-    assert stored.count() == 9
+    fresh = [runs.add(postings.where(F.col("id") % 4 == k)).count() for k in range(4)]
+    assert fresh == [3, 2, 2, 2]
+    assert [len(level) for level in runs.levels] == [0, 0, 1] and len(runs.repeats) <= 2
+    assert {r.docs for r in runs.totals().collect()} == {1, 8}
+    stored = spark.table(runs.levels[2][0])
+    assert stored.count() == stored.select("h1", "h2").distinct().count() == 9
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_a_batch_meets_the_runs_without_moving_them(spark):
+    """Only new hashes are admitted, and the anti-join and the merge have no exchange."""
+    docs = spark.createDataFrame([(k, f"a line that is shared by all\nline number {k % 5} of the documents") for k in range(40)], "doc_id long, text string")
+    postings = line_dedup.line_postings(docs, "doc_id", "text", 20)
+    runs = line_dedup.LineRuns(spark, fanout=9)
+    for k in range(3):
+        runs.add(postings.where(F.col("id") % 3 == k))
+    a, b, c = (spark.table(n) for n in runs.runs())
+    assert (a.count(), b.count(), c.count()) == (6, 0, 0)
+    for plan in (runs._new(a), line_dedup._both(a, b), runs.totals()):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.docs for r in runs.totals().collect()) == [8] * 5 + [40]
+    runs.drop()
 
 
 def test_word_hashes_do_not_depend_on_the_cut(monkeypatch):

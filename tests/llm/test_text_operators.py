@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,6 +47,25 @@ def test_quality_rules_learn_and_leave_clean_documents(spark):
     assert all(got[r[0]] for r in clean) and not any(got[r[0]] for r in junk)
 
 
+def test_quality_verdict_against_brute_force(spark):
+    """The list read rule by rule in Python gives the verdict of the CASE expression, and rows that stay are those it keeps."""
+    rng = random.Random(16)
+    rows = [(k, H.prose(rng, rng.randint(5, 80)) + rng.choice(["", " ## **", " a b c d e f g h a b c d e f g h"]) * rng.randint(0, 6), None, None, None) for k in range(160)]
+    docs, labels = H.documents(spark, rows), H.labels(spark, [(k, int("#" not in r[1]), 0) for k, r in enumerate(rows) if k % 2])
+    sample = quality_rules.labelled_rows(docs, labels, "doc_id", "text", "quality", 1000)
+    rules = quality_rules.learn_rules(sample)
+    assert rules
+    got = {r.doc_id: r for r in quality_rules.apply_quality_rules(docs, labels).collect()}
+    for k, text, *_ in rows:
+        n, chars, symbols, again, covered = brute_statistics(text)
+        lines = [x for x in text.split("\n") if x.strip()]
+        f = {"symbols_per_word": symbols / max(n, 1), "repeat_share": covered / max(n, 1), "dup_line_share": again / max(len(lines), 1), "word_length": chars / max(n, 1), "capital_share": 0.0, "distinct_share": len(set(text.split())) / max(n, 1), "words": float(n), "words_per_line": n / max(len(lines), 1)}
+        fires = any(all((f[c.feature] > c.threshold) == c.above for c in rule) for rule in rules)
+        failed = n < 20 or 100 * covered > 30 * n
+        assert (got[k].base_failed, got[k].kept) == (failed, not failed and not fires)
+    assert sorted(r.doc_id for r in quality_rules.keep_good_rows(docs, labels).collect()) == sorted(k for k, g in got.items() if g.kept)
+
+
 def test_quality_rules_without_labels_or_documents(spark):
     out = quality_rules.apply_quality_rules(H.documents(spark), H.labels(spark, []))
     assert all(r.kept == (not r.base_failed) for r in out.collect())
@@ -75,6 +95,68 @@ def test_language_id_learns_from_whole_texts(spark):
     assert all(r.lang_pred == ("fr" if r.doc_id % 2 else "en") for r in got)
 
 
+def test_language_id_sample_does_not_depend_on_ids(spark):
+    """Many rows of one id, on both sides of the size at which rows are left out."""
+    for n in (60, 900):
+        rows = [(7, f"bonjour monde entier {k}" if k % 2 else f"hello whole world {k}", "fr" if k % 2 else "en", None, None) for k in range(n)]
+        docs = H.documents(spark, rows)
+        model = language_id.train(docs, sample_rows=200)
+        assert model.languages == ("en", "fr")
+        got = language_id.predict(docs, model, reject_below=0.0).select("lang_pred").toPandas()["lang_pred"]
+        assert (got == ["fr" if k % 2 else "en" for k in range(n)]).mean() > 0.99
+
+
+def test_language_id_predictions_against_brute_force(spark):
+    """Scores text by text, with grams cut out of the words, and a tie that goes to the first language."""
+    rng = random.Random(3)
+    rows = [(k, H.prose(rng, 30) + ("ß über" if k % 2 else "où été"), "de" if k % 2 else "fr", None, None) for k in range(80)] + [(90, "A1 é-B", None, None, None)]
+    docs = H.documents(spark, rows)
+    model = language_id.train(docs)
+    got = {r.doc_id: r for r in language_id.predict(docs, model, reject_below=0.0).collect()}
+    for k, text, *_ in rows:
+        grams = []
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            edged = f"\0{word}\0"
+            grams += [edged[i : i + n] for n in (1, 2, 3) for i in range(len(edged) - n + 1) if edged[i : i + n].strip("\0")]
+        # Neighbouring words share their boundary mark, so a gram over it is none; marks alone count for nothing.
+        counts = np.zeros(language_id.BUCKETS)
+        for g in grams:
+            codes = np.array([0 if c == "\0" else ord(c) for c in g], np.uint32)
+            h = np.array([len(g)], np.uint32)
+            for i, c in enumerate(codes):
+                h = (h ^ c) * language_id._MUL[i]
+                h ^= h >> np.uint32(15)
+            counts[int(h[0]) & (language_id.BUCKETS - 1)] += 1
+        z = (counts @ model.table / counts.sum() + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        assert abs(got[k].score - p.max()) < 1e-6 and got[k].lang_pred == model.languages[int(p.argmax())]
+    flat = language_id.Model(("aa", "bb"), np.zeros((language_id.BUCKETS, 2), np.float32), np.zeros(2), 1.0)
+    tied = language_id.predict(docs, flat, reject_below=0.5).collect()
+    assert {(r.lang_pred, r.score) for r in tied} == {("aa", 0.5)}
+
+
+def test_language_id_rejection_is_calibrated(spark):
+    """Scores of held-out texts of mixed difficulty match how often they are right, and what is rejected is wrong more often."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(3000):
+        lang = rng.choice(["x", "y"])
+        share = rng.choice([0.5, 0.6, 0.75, 1.0])
+        own, other = ("abcd", "bcde") if lang == "x" else ("bcde", "abcd")
+        rows.append((k, " ".join("".join(rng.choice(own if rng.random() < share else other) for _ in range(4)) for _ in range(6)), lang, None, None))
+    docs = H.documents(spark, rows)
+    model = language_id.train(docs.where("doc_id % 3 > 0"))
+    truth = {r[0]: r[2] for r in rows}
+    got = [r for r in language_id.predict(docs.where("doc_id % 3 = 0"), model, reject_below=0.0).collect()]
+    score, right = np.array([r.score for r in got]), np.array([r.lang_pred == truth[r.doc_id] for r in got])
+    bins = np.minimum((score * 5).astype(int), 4)
+    error = sum(abs(score[bins == b].mean() - right[bins == b].mean()) * (bins == b).mean() for b in set(bins))
+    assert error < 0.08
+    kept = [r for r in language_id.predict(docs.where("doc_id % 3 = 0"), model, reject_below=0.8).collect() if r.lang_pred != "und"]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in kept]) > right.mean() + 0.02 and len(kept) < len(got)
+
+
 def test_language_id_awkward_rows_and_rejection(spark):
     docs = H.documents(spark)
     nothing = language_id.train(docs.where("false"))
@@ -115,17 +197,57 @@ def test_bpe_equals_the_library(merges, library):
         assert "".join(parts) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_tokens_fit_where_merging_leaves_both(merges):
+    """The walk along two edges against merging the symbols of both tokens."""
+    rng = random.Random(11)
+    whole = [i for i in rng.sample(sorted(merges.names), 4000) if i not in merges.special.values() and merges.whole(i)]
+    left = [i for i in whole if not merges.names[i].endswith(merges.suffix)]
+    seen = Counter()
+    texts = [merges.names[i] for i in left]
+    for k in range(6000):
+        a, b = rng.choice(left), rng.choice(whole)
+        if k % 2:  # neighbours that were cut out of one token
+            t = rng.choice(texts)
+            cut = rng.randint(1, max(1, len(t) - 1))
+            a, b = merges.vocab.get(t[:cut]), merges.vocab.get(t[cut:])
+            if a is None or b is None or not (merges.whole(a) and merges.whole(b)):
+                continue
+        want = merges.merge(merges._initial(a) + merges._initial(b)) == [a, b]
+        assert merges.fits(a, b) == want
+        seen[want] += 1
+    assert min(seen[True], seen[False]) > 200
+
+
+def test_every_word_passes_the_transducer(merges, monkeypatch):
+    fed = []
+    plain = bpe.WordTransducer.feed
+    monkeypatch.setattr(bpe.WordTransducer, "feed", lambda self, letters: fed.append(letters) or plain(self, letters))
+    bpe.Encoder(merges).encode("a few short words " + "x" * 500)
+    assert fed == ["a", "few", "short", "words", "x" * 500]
+
+
+def test_windows_hold_bounded_stretches(merges, library, monkeypatch):
+    """Windows join to the text, stay short where a word may end, and the ids do not depend on them."""
+    rng = random.Random(12)
+    monkeypatch.setattr(bpe, "WINDOW", 64)
+    for kind in (["a", "中", "。", "é", "1", "'s", "-", "한", "  "], ["中", "文", "、"], ["ab ", "c\n"]):
+        text = "".join(rng.choice(kind) for _ in range(3000))
+        parts = list(bpe.Encoder.windows(memoryview(text.encode())))
+        assert "".join(parts) == text and max(len(p.encode()) for p in parts) <= 64 * 10
+        assert np.frombuffer(bpe.Encoder(merges).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_transducer_equals_merging_with_bounded_memory(merges):
     rng = random.Random(4)
     for _ in range(60):
         kind = rng.choice(["ab", "abcdefghijklmnopqrstuvwxyz", "a", "thein", "😂🇺", "éèç"])
-        letters = "".join(bpe.LETTERS[b] for b in "".join(rng.choice(kind) for _ in range(rng.choice([1, 2, 40, 900]))).encode())
+        letters = "".join(bpe.LETTERS[b] for b in "".join(rng.choice(kind) for _ in range(rng.choice([1, 2, 40, 300, 1500]))).encode())
         transducer, out, held = bpe.WordTransducer(merges), [], 0
         for c in letters:
             out += transducer.feed(c)
             held = max(held, len(transducer.text))
         assert out + transducer.close() == merges.merge(merges.symbols(letters))
-        assert held <= 2 * merges.longest + transducer.check_every
+        assert held <= merges.lookahead + merges.longest + 2 * transducer.check_every
 
 
 def test_decoder_gives_text_back(merges):
