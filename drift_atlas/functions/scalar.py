@@ -24,3 +24,27 @@ def ascii_fold(text: Column) -> Column:
     """Common accented letters without their accents; other characters beyond ASCII become ?."""
     plain = F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
     return F.regexp_replace(F.replace(plain, F.lit("ß"), F.lit("ss")), r"[^\x00-\x7F]", "?")
+
+
+def half_even(value: Column) -> Column:
+    """The nearest integer, halves to the even one."""
+    return F.rint(value).cast("long")
+
+
+def floor_div(value: Column, by: int) -> Column:
+    """Integer division towards minus infinity."""
+    return F.floor(value / F.lit(by)).cast("long")
+
+
+def at_least(value: Column, least: float) -> Column:
+    return F.greatest(value, F.lit(least))
+
+
+def finite_or(value: Column, default: float = 0.0) -> Column:
+    """A number that is neither NaN nor infinite, or the default; null counts as NaN."""
+    finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    return F.when(F.coalesce(finite, F.lit(False)), value).otherwise(F.lit(default))
+
+
+def norm(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))

@@ -14,7 +14,8 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,6 +24,14 @@ class Encoder(Protocol):
 
     def encode(self, codes: np.ndarray) -> np.ndarray: ...
 
+    def encode_batch(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray: ...
+
+
+#: Items whose codes are counted in one table.
+ITEMS_AT_ONCE = 128
+#: Projections drawn so far in this process, by encoder and position.
+_MATRICES: dict[tuple, np.ndarray] = {}
+
 
 @dataclass(frozen=True)
 class ProjectionEncoder:
@@ -34,18 +43,36 @@ class ProjectionEncoder:
     normalize: bool = False
 
     def matrix(self, position: int) -> np.ndarray:
+        """The projection of one position, drawn once for a worker."""
+        key = (self.name, self.dim, self.classes, position)
+        if key not in _MATRICES:
+            _MATRICES[key] = self._draw(position)
+        return _MATRICES[key]
+
+    def _draw(self, position: int) -> np.ndarray:
         seed = int(hashlib.md5(f"{self.name}|{position}".encode()).hexdigest()[:8], 16)
         return np.random.Generator(np.random.PCG64(seed)).normal(0, 1 / np.sqrt(self.dim), (self.classes, self.dim))
 
     def encode(self, codes: np.ndarray) -> np.ndarray:
         """codes: patches x positions. An item without patches is the zero vector."""
-        total = np.zeros(self.dim)
-        for p in range(codes.shape[1] if codes.size else 0):
-            counts = np.bincount(np.clip(codes[:, p], 0, self.classes - 1), minlength=self.classes)
-            total += counts @ self.matrix(p)
-        out = total / max(len(codes), 1)
-        norm = np.linalg.norm(out)
-        return out / norm if self.normalize and norm > 0 else out
+        return self.encode_batch(codes, np.array([0, len(codes)]))[0]
+
+    def encode_batch(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Vectors of many items at once: their patches one below the other, and the n + 1 bounds of the items.
+
+        Each position counts every item's codes and multiplies the counts once.
+        """
+        total = np.zeros((len(ends) - 1, self.dim))
+        for first in range(0, len(total), ITEMS_AT_ONCE):
+            last = min(first + ITEMS_AT_ONCE, len(total))
+            owner = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1])) * self.classes
+            own = codes[ends[first] : ends[last]]
+            for p in range(codes.shape[1] if len(own) else 0):
+                counts = np.bincount(owner + np.clip(own[:, p], 0, self.classes - 1), minlength=(last - first) * self.classes)
+                total[first:last] += counts.reshape(last - first, self.classes) @ self.matrix(p)
+        out = total / np.maximum(np.diff(ends), 1)[:, None]
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(length > 0, length, 1) if self.normalize else out
 
 
 #: Name to encoder: the token-like ones keep the scale, the patch-like ones are on the unit sphere.
@@ -68,6 +95,20 @@ def encoder(name: str) -> Encoder:
 RULES = {"tokens": ("MIDITOK",), "tokens-large": ("MIDITOK",), "text": ("TEXT",), "patches-bars": ("ABC",), "patches-messages": ("MTF", "ABC")}
 
 
+#: Formats that ask for the notes themselves and not for tokens.
+NOTE_FORMATS = ("MTF", "ABC")
+
+
+def default_format(model: Column) -> Column:
+    """The format a model takes if none is named; null for a model that is not known."""
+    named = F.create_map(*[F.lit(x) for name, formats in RULES.items() for x in (name, formats[0])])
+    return F.try_element_at(named, model)
+
+
+def requires_notes(input_format: Column) -> Column:
+    return F.coalesce(input_format.isin(*NOTE_FORMATS), F.lit(False))
+
+
 def validate(model: str, input_format: str, tokenizer: str | None, tokenizers: tuple[str, ...]) -> tuple[str, str, str | None]:
     """Check a configuration; a format that names a tokenizer is rewritten. Raises ValueError."""
     if model not in RULES:
@@ -89,11 +130,16 @@ def encode(items: DataFrame, name: str, id_col: str = "file_id", codes_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for patches in batch.column(1).to_pylist():
-                codes = np.array(patches, np.int64) if patches else np.zeros((0, 0), np.int64)
-                out.append(model.encode(codes).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], names=[id_col, "embedding"])
+            column = batch.column(1)
+            sizes = np.array(pc.fill_null(pc.list_value_length(column), 0))
+            patches = column.flatten()  # null items have none
+            widths = np.unique(np.array(pc.list_value_length(patches)))
+            if len(widths) > 1:
+                raise ValueError("code arrays must be equally long")
+            codes = np.array(patches.flatten(), np.int64).reshape(len(patches), -1) if len(patches) else np.zeros((0, 0), np.int64)
+            out = model.encode_batch(codes, np.concatenate(([0], np.cumsum(sizes)))).astype(np.float32)
+            ends = np.arange(len(out) + 1, dtype=np.int32) * model.dim
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], names=[id_col, "embedding"])
 
     rows = items.select(F.col(id_col).alias(id_col), F.col(codes_col).cast("array<array<int>>").alias("codes"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, embedding array<float>")

@@ -1,8 +1,4 @@
-"""Queries of the listing, metadata, join, aggregation, set, sort, scalar and report families.
-
-``both`` registers a statement that Spark and DuckDB run alike; ``query`` pairs
-an operator of this package with its DuckDB statement.
-"""
+"""Queries of the listing, metadata, aggregation, scalar and report families; each pairs an operator with its DuckDB statement."""
 
 from __future__ import annotations
 
@@ -20,7 +16,6 @@ from drift_atlas.sources import midi
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def query(name: str, sql: str | None = None):
@@ -33,16 +28,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def both(name: str, statement: str) -> None:
-    """Register one statement for both engines; tables are written as {name}."""
-    SQL[name] = statement.format(**{t: t for t in TABLES})
-
-    def run(spark, sf):
-        return spark.sql(statement.format(**{t: f"parquet.`{sf}/{t}.parquet`" for t in TABLES}))
-
-    QUERIES[name] = run
-
-
 # Listings and metadata ------------------------------------------------------
 
 _F = f"WITH {fx.FILES_CTE.strip()}"
@@ -221,10 +206,6 @@ def u05(spark, sf):
     return md.merge_mapping(_mapping(spark), spark.createDataFrame([("building", "home"), ("household", "home")], "tag string, canonical string"))
 
 
-both("p12_minimum_samples", "SELECT source, count(*) AS n FROM {documents} GROUP BY source HAVING count(*) >= 10")
-both("p13_optional_admission", "SELECT n_nationkey FROM {nation} n WHERE n_nationkey < 5 OR EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey)")
-
-
 @query("p15_validate_configuration", """WITH m(model, fmt) AS (VALUES ('tokens', 'MIDITOK'), ('text', 'TEXT'), ('patches-bars', 'ABC'), ('patches-messages', 'MTF'), ('patches-messages', 'ABC'))
 SELECT a.model, b.fmt, CAST(count(*) FILTER (WHERE m.fmt = b.fmt) > 0 AS BOOLEAN) AS valid FROM (SELECT DISTINCT model FROM m) a, (SELECT DISTINCT fmt FROM m) b, m WHERE m.model = a.model GROUP BY a.model, b.fmt""")
 def p15(spark, sf):
@@ -239,13 +220,6 @@ def p15(spark, sf):
     return spark.createDataFrame(rows, "model string, fmt string, valid boolean")
 
 
-both("p16_infer_format", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ABC' WHEN c_mktsegment = 'MACHINERY' THEN 'MTF' ELSE 'MIDITOK' END AS fmt FROM {customer}")
-both("p17_requires_notes", "SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AS needs FROM {orders}")
-both("p20_meta_filter", "SELECT event_id, event_type FROM {events} WHERE event_type NOT IN ('signup', 'error')")
-both("p22_nan_removal", "SELECT count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT CASE WHEN event_id % 9 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS v FROM {events}) t WHERE NOT isnan(v)")
-both("p23_isolated_failures", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id AS STRING) END AS BIGINT) AS parsed FROM {events}")
-
-
 @query("p18_detected", f"WITH q AS ({dq.SQL['q03_perturbation_sensitivity']}) SELECT dataset, significant FROM q")
 def p18(spark, sf):
     return dq.q03(spark, sf).select("dataset", "significant")
@@ -278,24 +252,8 @@ def s07(spark, sf):
     return fx.notes(spark, sf).groupBy("file_id").applyInPandas(run, "file_id long, n_notes long, pitches long, velocities long")
 
 
-# Joins ----------------------------------------------------------------------
-
-both("j01_dataset_pairs", "SELECT a.r_name AS dataset_a, b.r_name AS dataset_b FROM {region} a JOIN {region} b ON a.r_regionkey < b.r_regionkey")
-both("j02_configuration_pairs", "SELECT a.c AS config_a, b.c AS config_b FROM (SELECT DISTINCT c_mktsegment AS c FROM {customer}) a JOIN (SELECT DISTINCT c_mktsegment AS c FROM {customer}) b ON a.c < b.c")
-both("j03_model_pairs", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-both("j04_key_lookup", "SELECT o_orderkey, l_linenumber, round(l_extendedprice / o_totalprice, 6) AS share FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey")
-both("j05_ranking_alignment", """WITH r AS (SELECT l_suppkey, l_shipmode_bin AS c, sum(l_quantity) AS q FROM (SELECT l_suppkey, l_quantity, CASE WHEN l_linenumber <= 3 THEN 'a' ELSE 'b' END AS l_shipmode_bin FROM {lineitem}) t GROUP BY l_suppkey, l_shipmode_bin)
-SELECT x.l_suppkey, x.q AS qa, y.q AS qb FROM r x JOIN r y ON x.l_suppkey = y.l_suppkey AND x.c = 'a' AND y.c = 'b'""")
-both("j06_paired_files", "SELECT d.doc_id, d.n_chars, l.quality FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id")
-both("j08_complete_cases", """SELECT user_id FROM (SELECT DISTINCT user_id, event_type FROM {events}) t GROUP BY user_id HAVING count(*) = (SELECT count(DISTINCT event_type) FROM {events})""")
-both("j10_floor_lookup", "SELECT c_custkey, coalesce(t.total, CAST('NaN' AS DOUBLE)) = t.total AS found, round(t.total, 2) AS total FROM {customer} LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS total FROM {orders} GROUP BY o_custkey) t ON o_custkey = c_custkey")
-both("j14_registry_intersection", "SELECT n_name FROM {nation} n WHERE EXISTS (SELECT 1 FROM {supplier} s WHERE s_nationkey = n_nationkey AND s_acctbal > 5000) OR NOT EXISTS (SELECT 1 FROM {supplier} WHERE s_acctbal > 5000)")
-
 # Aggregations ---------------------------------------------------------------
 
-both("a07_counters", "SELECT event_type, count(*) AS total, count(CASE WHEN value > 50 THEN 1 END) AS successful, count(CASE WHEN NOT value > 50 THEN 1 END) AS failed FROM {events} GROUP BY event_type")
-both("a14_tag_counts", "SELECT p_type AS tag, count(*) AS n FROM {part} GROUP BY p_type")
-
 
 @query("a12_mean_floor", f"WITH q AS ({dq.SQL['q01_self_similarity']}) SELECT configuration, round(avg(split_half_fmd), 6) AS floor FROM q GROUP BY configuration")
 def a12(spark, sf):
@@ -329,20 +287,9 @@ def m16(spark, sf):
 
 # Sorts and sets -------------------------------------------------------------
 
-both("o09_report_order", "SELECT p_brand, round(avg(p_retailprice), 4) AS price FROM {part} GROUP BY p_brand ORDER BY price DESC, p_brand")
-both("o10_multi_key_sort", "SELECT o_orderpriority, o_orderstatus, o_orderkey FROM {orders} ORDER BY o_orderpriority, o_orderstatus, o_orderkey")
-both("u01_concat_frames", "SELECT 'c' AS kind, c_nationkey AS nation, c_acctbal AS bal FROM {customer} UNION ALL SELECT 's', s_nationkey, s_acctbal FROM {supplier}")
-both("u02_pool_sets", "SELECT 'a' AS side, vec_id FROM {embeddings} WHERE label = 0 UNION ALL SELECT 'b', vec_id FROM {embeddings} WHERE label = 1")
-both("u03_key_intersection", "SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}")
-both("u04_distinct", "SELECT DISTINCT source, lang FROM {documents}")
-both("u06_membership_union", "SELECT s_nationkey AS nation FROM {supplier} UNION SELECT c_nationkey FROM {customer}")
-both("u07_difference", "SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}")
 
 # Scalars --------------------------------------------------------------------
 
-both("f05_integer_math", "SELECT event_id, CAST(floor(event_id / 7) AS BIGINT) AS q, event_id % 7 AS r, greatest(1, event_id % 5) AS g FROM {events}")
-both("f06_float_math", "SELECT event_id, round(sqrt(abs(value)), 6) AS s, round(power(value, 2), 4) AS p, greatest(value, CAST(0 AS DOUBLE)) AS clipped FROM {events}")
-
 
 @query("f04_formatting", "SELECT p_partkey, CASE WHEN p_size < 10 THEN '$<$10' ELSE printf('%.2f', CAST(p_size AS DOUBLE)) END AS shown, replace(p_name, '_', '\\_') AS name, CASE WHEN p_size < 5 THEN '\\textbf{' || p_brand || '}' ELSE p_brand END AS brand FROM part")
 def f04(spark, sf):
