@@ -57,12 +57,20 @@ def frechet(mean_a: np.ndarray, cov_a: np.ndarray, mean_b: np.ndarray, cov_b: np
         raise ValueError("the sets differ in dimension")
     if np.array_equal(mean_a, mean_b) and np.array_equal(cov_a, cov_b):
         return 0.0
-    d = len(mean_a)
-    cov_a, cov_b = cov_a + ridge * np.eye(d), cov_b + ridge * np.eye(d)
-    values, vectors = np.linalg.eigh(cov_a)
-    root = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
-    inner = np.linalg.eigvalsh(root @ cov_b @ root)
-    trace = np.trace(cov_a) + np.trace(cov_b) - 2 * np.sqrt(np.maximum(inner, 0)).sum()
+    return frechet_of_root(mean_a, covariance_root(cov_a, ridge), mean_b, cov_b, ridge)
+
+
+def covariance_root(cov: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """The symmetric root of a covariance with its ridge."""
+    values, vectors = np.linalg.eigh(cov + ridge * np.eye(len(cov)))
+    return (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
+
+
+def frechet_of_root(mean_a: np.ndarray, root_a: np.ndarray, mean_b: np.ndarray, cov_b: np.ndarray, ridge: float = RIDGE) -> float:
+    """The distance, where the root of the first covariance is known."""
+    cov_b = cov_b + ridge * np.eye(len(cov_b))
+    inner = np.linalg.eigvalsh(root_a @ cov_b @ root_a)
+    trace = (root_a * root_a).sum() + np.trace(cov_b) - 2 * np.sqrt(np.maximum(inner, 0)).sum()
     return float(((mean_a - mean_b) ** 2).sum() + max(trace, 0.0))
 
 
@@ -83,18 +91,35 @@ def frechet_low_rank(a: np.ndarray, b: np.ndarray, ridge: float = RIDGE) -> floa
     return float(((mean_a - mean_b) ** 2).sum() + spread)
 
 
-def full_pairs(moments: DataFrame) -> DataFrame:
-    """Distance of every pair of sets a < b in full dimension, from their moments."""
-    names = ("set_id", "mean", "cov")
-    a, b = (moments.select(*[F.col(c).alias(f"{s}_{c}") for c in names]) for s in "ab")
+def _square(x) -> np.ndarray:
+    return np.asarray(x).reshape(int(len(x) ** 0.5), -1)
+
 
-    @F.pandas_udf(T.DoubleType())
-    def distance(ma: pd.Series, ca: pd.Series, mb: pd.Series, cb: pd.Series) -> pd.Series:
-        square = lambda x: np.asarray(x).reshape(int(len(x) ** 0.5), -1)
-        return pd.Series([frechet(np.asarray(w), square(x), np.asarray(y), square(z)) for w, x, y, z in zip(ma, ca, mb, cb, strict=True)])
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _roots(cov: pd.Series) -> pd.Series:
+    return pd.Series([covariance_root(_square(c)).ravel() for c in cov])
 
-    met = a.join(b, F.col("a_set_id") < F.col("b_set_id"))
-    return met.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"), distance("a_mean", "a_cov", "b_mean", "b_cov").alias("fmd"))
+
+@F.pandas_udf(T.DoubleType())
+def _distances(ma: pd.Series, ca: pd.Series, ra: pd.Series, mb: pd.Series, cb: pd.Series) -> pd.Series:
+    out = []
+    for mean_a, cov_a, root_a, mean_b, cov_b in zip(ma, ca, ra, mb, cb, strict=True):
+        same = np.array_equal(mean_a, mean_b) and np.array_equal(cov_a, cov_b)
+        out.append(0.0 if same else frechet_of_root(np.asarray(mean_a), _square(root_a), np.asarray(mean_b), _square(cov_b)))
+    return pd.Series(out)
+
+
+def full_distances(a: DataFrame, b: DataFrame, test, keys_a: dict[str, str], keys_b: dict[str, str]) -> DataFrame:
+    """Distance of the moments that meet; the keys are named anew. The root of a set is taken once, before the join."""
+    x = a.select(*[F.col(c).alias(f"a_{c}") for c in dict.fromkeys([*keys_a, "mean", "cov"])], _roots("cov").alias("a_root"), F.col("n").alias("a_n"))
+    y = b.select(*[F.col(c).alias(f"b_{c}") for c in dict.fromkeys([*keys_b, "mean", "cov"])], F.col("n").alias("b_n"))
+    fmd = _distances("a_mean", "a_cov", "a_root", "b_mean", "b_cov").alias("fmd")
+    return x.join(y, test).select(*[F.col(f"a_{c}").alias(n) for c, n in keys_a.items()], *[F.col(f"b_{c}").alias(n) for c, n in keys_b.items()], "a_n", "b_n", fmd)
+
+
+def full_pairs(moments: DataFrame) -> DataFrame:
+    """Distance of every pair of sets a < b in full dimension, from their moments."""
+    return full_distances(moments, moments, F.col("a_set_id") < F.col("b_set_id"), {"set_id": "a"}, {"set_id": "b"}).drop("a_n", "b_n")
 
 
 def diagonal_pairs(vectors: DataFrame) -> DataFrame:

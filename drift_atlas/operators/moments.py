@@ -2,8 +2,8 @@
 
 ``plane_moments`` and ``covariance`` are plain aggregates with map-side combine.
 ``full_moments`` serves any dimension: every task folds its rows to one partial
-(n, mean, centred second moment) per set, and partials are merged pairwise, so a
-set of any size costs one row of d*d numbers per task.
+(n, mean, centred second moment) per set, and partials are merged in a tree, so a
+set of any size costs one row of d*d numbers per task and no process holds them all.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,21 +53,35 @@ def covariance(vectors: DataFrame, dims: int = 8, ridge: float = 0.0) -> DataFra
     return rows.groupBy("set_id", "i", "j").agg(cov.alias("cov"))
 
 
-_PARTIAL = "set_id long, n long, mean array<double>, m2 array<double>"
+_PARTIAL = "key string, part long, n long, mean array<double>, m2 array<double>"
+#: Partials that one merge takes in a level, and keys whose partials a task holds at once.
+FAN_IN, HELD_KEYS = 32, 64
 
 
 def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+    """A task's partial of each key; where keys are many, a key may have several."""
+    task = TaskContext.get().partitionId()
+    held: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
+
+    def send() -> pa.RecordBatch:
+        out = list(held.items())
+        held.clear()
+        lists = [pa.array([v[k].ravel() for _, v in out], pa.list_(pa.float64())) for k in (1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([task] * len(out), pa.int64()), pa.array([v[0] for _, v in out], pa.int64()), *lists], names=["key", "part", "n", "mean", "m2"])
+
     for batch in batches:
-        keys = np.array(batch.column(0))
-        flat = np.array(batch.column(1).flatten(), float).reshape(len(keys), -1) if len(keys) else np.zeros((0, 0))
-        for key in np.unique(keys):
-            rows = flat[keys == key]
+        if not batch.num_rows:
+            continue
+        keys = np.array(batch.column(0).to_pylist(), object)
+        for key in sorted(set(keys)):
+            own = batch.column(1).take(pa.array(np.flatnonzero(keys == key)))
+            rows = np.array(own.flatten(), float).reshape(len(own), -1)
             mean = rows.mean(axis=0)
             part = (len(rows), mean, (rows - mean).T @ (rows - mean))
-            held[int(key)] = part if int(key) not in held else merge_moments(held[int(key)], part)
-    out = list(held.items())
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([v[0] for _, v in out], pa.int64()), pa.array([v[1] for _, v in out], pa.list_(pa.float64())), pa.array([v[2].ravel() for _, v in out], pa.list_(pa.float64()))], names=["set_id", "n", "mean", "m2"])
+            held[key] = part if key not in held else merge_moments(held[key], part)
+            if len(held) >= HELD_KEYS:
+                yield send()
+    yield send()
 
 
 def merge_moments(a: tuple, b: tuple) -> tuple:
@@ -83,10 +98,19 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
         part = (r.n, np.array(r.mean), np.array(r.m2).reshape(d, d))
         total = part if total is None else merge_moments(total, part)
     n, mean, m2 = total
-    return pd.DataFrame({"set_id": [group["set_id"].iloc[0]], "n": [n], "mean": [mean], "cov": [(m2 / (n - 1) if n > 1 else np.zeros_like(m2)).ravel()]})
+    return pd.DataFrame({"key": [group["key"].iloc[0]], "part": [group["part"].iloc[0] // FAN_IN], "n": [n], "mean": [mean], "m2": [m2.ravel()]})
 
 
-def full_moments(vectors: DataFrame) -> DataFrame:
-    """n, mean and row-major sample covariance of every set, in any dimension."""
-    parts = vectors.select("set_id", "embedding").mapInArrow(_partials, _PARTIAL)
-    return parts.groupBy("set_id").applyInPandas(_merged, "set_id long, n long, mean array<double>, cov array<double>")
+def full_moments(vectors: DataFrame, keys: tuple[str, ...] = ("set_id",), levels: int = 3) -> DataFrame:
+    """The keys, n, mean and row-major sample covariance of every group, in any dimension.
+
+    Partials meet in a tree: a merge takes those of ``FAN_IN`` neighbouring tasks, so a
+    group of any size never stands in one Python process.
+    """
+    kinds = vectors.select(*keys).schema
+    parts = vectors.select(F.to_json(F.struct(*keys)).alias("key"), "embedding").mapInArrow(_partials, _PARTIAL)
+    for level in range(levels):
+        place = F.floor(F.col("part") / F.lit(FAN_IN)) if level < levels - 1 else F.lit(0)
+        parts = parts.groupBy("key", place.alias("place")).applyInPandas(_merged, _PARTIAL)
+    cov = F.transform("m2", lambda x: F.when(F.col("n") > 1, x / (F.col("n") - 1)).otherwise(F.lit(0.0)))
+    return parts.select(F.from_json("key", kinds).alias("k"), "n", "mean", cov.alias("cov")).select(*[F.col("k")[c].alias(c) for c in keys], "n", "mean", "cov")
