@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 #: The steps of a full study, each on its own: a failing step does not stop the others.
-STUDY = ["q01_self_similarity", "q02_cross_dataset", "q02_ranking_agreement", "q03_perturbation_sensitivity", "q04_paired_shifts", "q04_paired_tests", "q05_bootstrap_stability", "q06_summary"]
+STUDY = ["q01_self_similarity", "q02_cross_dataset", "q02_ranking_agreement", "q03_perturbation_sensitivity", "q04_paired_shifts", "q04_paired_tests", "q01_self_similarity_full", "q02_cross_dataset_full", "q02_ranking_agreement_full", "q03_sensitivity_full", "q04_contrast_families", "q04_family_tests", "q05_bootstrap_stability", "q06_summary"]
 
 
 def run_steps(spark: SparkSession, folder: str, steps: list[str], out: str | None) -> dict[str, str]:
@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="drift_atlas", description=__doc__)
     parser.add_argument("mode", choices=["study", "query", "list", "demo"])
     parser.add_argument("names", nargs="*", help="queries to run")
-    parser.add_argument("--data", default="/root/testdata/sf0.01")
+    parser.add_argument("--data", help="folder of the tables")
     parser.add_argument("--out")
     args = parser.parse_args(argv)
     if args.mode == "list":
@@ -53,6 +53,8 @@ def main(argv: list[str] | None = None) -> int:
 
         print("\n".join(sorted(catalog.queries())))
         return 0
+    if args.mode in ("study", "query") and not args.data:
+        parser.error("--data names the folder of the tables")
     spark = SparkSession.builder.appName("drift_atlas").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.mode == "demo":
         print(f"{demo(spark):.6f}")

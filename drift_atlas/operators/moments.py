@@ -1,6 +1,6 @@
 """Gaussian moments of vector sets.
 
-``plane_moments`` and ``covariance`` are plain aggregates with map-side combine.
+``plane_moments`` and ``pooled_mean`` are plain aggregates with map-side combine.
 ``full_moments`` serves any dimension: every task folds its rows to one partial
 (n, mean, centred second moment) per set, and partials are merged in a tree, so a
 set of any size costs one row of d*d numbers per task and no process holds them all.
@@ -42,15 +42,21 @@ def vector_statistics(vectors: DataFrame) -> DataFrame:
     return elements(vectors).groupBy("set_id", "i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count("*").alias("n"))
 
 
-def covariance(vectors: DataFrame, dims: int = 8, ridge: float = 0.0) -> DataFrame:
-    """Sample covariance of the first coordinates in long form (i <= j), from one pass over the rows.
+def covariance(vectors: DataFrame, ridge: float = 0.0) -> DataFrame:
+    """Sample covariance of all coordinates of every set in long form (i <= j).
 
-    Each row yields its own upper triangle, so no join of the rows with themselves is needed.
+    The upper triangle is read off the moments, of which there is one row a set.
     """
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.transform(F.sequence(i, F.lit(dims - 1)), lambda j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.get("embedding", i).alias("a"), F.get("embedding", j).alias("b")))))
-    rows = vectors.select("set_id", F.inline(pairs))
-    cov = F.coalesce(F.covar_samp("a", "b"), F.lit(0.0)) + F.when(F.col("i") == F.col("j"), F.lit(ridge)).otherwise(F.lit(0.0))
-    return rows.groupBy("set_id", "i", "j").agg(cov.alias("cov"))
+    m = full_moments(vectors).select("set_id", F.size("mean").alias("d"), F.posexplode("cov").alias("at", "cov"))
+    i, j = F.floor(F.col("at") / F.col("d")), F.col("at") % F.col("d")
+    rows = m.select("set_id", i.cast("long").alias("i"), j.cast("long").alias("j"), "cov").where("i <= j")
+    return rows.withColumn("cov", F.col("cov") + F.when(F.col("i") == F.col("j"), F.lit(ridge)).otherwise(F.lit(0.0)))
+
+
+def pooled_mean(vectors: DataFrame, dims: int, keys: list[str]) -> DataFrame:
+    """Mean vector of every group as one row: an aggregate per coordinate, combined before the shuffle."""
+    means = vectors.groupBy(*keys).agg(*[F.avg(F.get("embedding", F.lit(k))).alias(f"__{k}") for k in range(dims)])
+    return means.select(*keys, F.array(*[f"__{k}" for k in range(dims)]).alias("embedding"))
 
 
 _PARTIAL = "key string, part long, n long, mean array<double>, m2 array<double>"

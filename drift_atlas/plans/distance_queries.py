@@ -16,7 +16,6 @@ from drift_atlas.sources import fixtures as fx
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-DIMS = 4
 FLOOR_REPS, BOOT_REPS, PERM_REPS = 100, 100, 200
 STABILITY_REPS = 50
 
@@ -65,17 +64,17 @@ def a01(spark, sf):
 
 
 def _cov_sql(ridge: str) -> str:
-    return f"{_EL} SELECT p.set_id, p.i, q.i AS j, round(coalesce(covar_samp(p.val, q.val), 0){ridge}, 6) AS cov FROM el p JOIN el q ON p.set_id = q.set_id AND p.row_id = q.row_id AND p.i <= q.i WHERE q.i < {DIMS} GROUP BY p.set_id, p.i, q.i"
+    return f"{_EL} SELECT p.set_id, p.i, q.i AS j, round(coalesce(covar_samp(p.val, q.val), 0){ridge}, 6) AS cov FROM el p JOIN el q ON p.set_id = q.set_id AND p.row_id = q.row_id AND p.i <= q.i GROUP BY p.set_id, p.i, q.i"
 
 
 @query("a02_covariance", _cov_sql(""))
 def a02(spark, sf):
-    return _round(mom.covariance(_sets(spark, sf), DIMS), "cov")
+    return _round(mom.covariance(_sets(spark, sf)), "cov")
 
 
 @query("a03_ridge", _cov_sql(" + CASE WHEN p.i = q.i THEN CAST(0.0001 AS DOUBLE) ELSE 0 END"))
 def a03(spark, sf):
-    return _round(mom.covariance(_sets(spark, sf), DIMS, mom.RIDGE), "cov")
+    return _round(mom.covariance(_sets(spark, sf), mom.RIDGE), "cov")
 
 
 @query("a04_statistics", f"{_EL} SELECT set_id, i, round(avg(val), 6) AS mean, round(stddev_pop(val), 6) AS std, count(*) AS n FROM el GROUP BY set_id, i")

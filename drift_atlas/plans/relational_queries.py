@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from drift_atlas.functions import scalar as sc
 from drift_atlas.operators import encoders as enc
+from drift_atlas.operators import moments as mom
 from drift_atlas.plans import distance_queries as dq
 from drift_atlas.sources import fixtures as fx
 from drift_atlas.sources import listing as ls
@@ -45,8 +46,7 @@ QUERIES["o01_sorted_listing"], SQL["o01_sorted_listing"] = QUERIES["s01_list_fil
 @query("s04_dataset_info", "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) = lower((SELECT min(n_name) FROM nation))")
 def s04(spark, sf):
     nations = fx.load(spark, sf, "nation").select("n_nationkey", "n_name", F.col("n_name").alias("name"))
-    first = nations.agg(F.min("name")).first()[0]
-    return ls.dataset_info(nations, first.swapcase()).drop("name")
+    return ls.datasets_named(nations, nations.agg(F.upper(F.min("name")).alias("name"))).drop("name")
 
 
 _VALID = "regexp_matches(path, '(?i)\\.html?$') AND size_bytes > 0"
@@ -272,11 +272,10 @@ def a15(spark, sf):
     return lists.select("tag", F.size("keys").cast("long").alias("n"), F.get("keys", F.lit(0)).alias("first"), F.md5(F.array_join(F.col("keys").cast("array<string>"), ",").cast("binary")).alias("members"))
 
 
-@query("a19_mean_pooling", f"WITH {fx.SETS_CTE} SELECT set_id, round(avg(x), 6) AS px, round(avg(y), 6) AS py FROM e GROUP BY set_id")
+@query("a19_mean_pooling", f"WITH {fx.SETS_CTE}, el AS (SELECT set_id, unnest(range(64)) AS i, unnest(v) AS val FROM e) SELECT set_id, i, round(avg(val), 6) AS pooled FROM el GROUP BY set_id, i")
 def a19(spark, sf):
-    rows = fx.embedding_sets(spark, sf).groupBy("set_id").agg(F.collect_list(F.slice("embedding", 1, 2)).alias("patches"))
-    pooled = lambda k: F.round(F.aggregate("patches", F.lit(0.0), lambda s, p: s + F.get(p, F.lit(k))) / F.size("patches"), 6)
-    return rows.select("set_id", pooled(0).alias("px"), pooled(1).alias("py"))
+    pooled = mom.pooled_mean(fx.embedding_sets(spark, sf), 64, ["set_id"])
+    return pooled.select("set_id", F.posexplode("embedding").alias("i", "pooled")).select("set_id", F.col("i").cast("long").alias("i"), F.round("pooled", 6).alias("pooled"))
 
 
 @query("m16_separation_ratio", f"WITH q AS ({dq.SQL['q02_cross_dataset']}), f AS ({dq.SQL['q01_self_similarity']}), g AS (SELECT configuration, avg(split_half_fmd) AS floor FROM f GROUP BY configuration) SELECT q.configuration, pair, round(fmd / floor, 3) AS ratio FROM q LEFT JOIN g ON q.configuration = g.configuration")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drift_atlas.operators import chain
 from drift_atlas.operators import distance as dist
 from drift_atlas.operators import encoders as enc
 from drift_atlas.operators import moments as mom
@@ -252,13 +253,11 @@ def t09(spark, sf):
 
 
 def token_items(spark, sf, kind: str = "REMI") -> DataFrame:
-    rows = rd.tokenize(*_notes(spark, sf), kind)
-    return rows.select("file_id", F.transform(F.slice("tokens", 1, 512), lambda t: F.array(t)).alias("patches"))
+    return chain.token_items(*_notes(spark, sf), kind)
 
 
 def abc_items(notes: DataFrame, tempos: DataFrame) -> DataFrame:
-    rows = rd.abc_patches(rd.abc_text(notes, tempos), PATCH)
-    return rows.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("patch_idx", "codes"))), lambda p: p["codes"]).alias("patches"))
+    return chain.patch_items(rd.abc_text(notes, tempos), PATCH)
 
 
 def _shown(embedded: DataFrame) -> DataFrame:
@@ -310,7 +309,17 @@ def e11(spark, sf):
     return pairs.select(F.lit("no_velocity").alias("perturbation"), F.round("fmd", 6).alias("fmd"))
 
 
-@query("s25_embedding_sink")
+@query("e11_study_of_all_perturbations", " SELECT DISTINCT file_id % 2 AS dataset, c AS configuration, p AS perturbation, c = 'bars' AND p = 'no_velocity' AS unmoved FROM n, (SELECT unnest(['bars', 'remi']) AS c) x, (SELECT unnest(['no_velocity', 'quantized_time', 'constant_tempo', 'all_combined']) AS p) y")
+def e11_all(spark, sf):
+    """Every perturbation under two configurations, from notes to distances: only velocity under ABC moves nothing."""
+    rows, tempo = _notes(spark, sf)
+    embedded = chain.perturbed_embeddings(rows, tempo, fx.beats(rows), {"bars": ("patches-bars", None), "remi": ("tokens", "REMI")}, PATCH)
+    sets = tempo.select("file_id", (F.col("file_id") % 2).cast("long").alias("set_id"), F.col("file_id").alias("row_id"))
+    out = chain.perturbation_study(embedded, sets, "original", 5)
+    return out.select("dataset", "configuration", "perturbation", (F.col("fmd_vs_original") < 1e-9).alias("unmoved"))
+
+
+@query("s25_embedding_sink", " SELECT count(DISTINCT file_id) AS total, count(DISTINCT file_id) AS successful FROM n WHERE pitch BETWEEN 21 AND 108")
 def s25(spark, sf):
     """Embeddings with their counters, as they would be written."""
     out = enc.encode(token_items(spark, sf), "tokens")

@@ -53,3 +53,9 @@ def copy_plan(files: DataFrame, present: DataFrame) -> DataFrame:
     target = F.when(twin, F.concat(F.substring(F.md5(F.col("path").cast("binary")), 1, 8), F.lit("_"), F.col("name"))).otherwise(F.col("name"))
     planned = named.withColumn("target", target)
     return planned.join(present.select("dataset", F.col("name").alias("target"), "size_bytes"), ["dataset", "target", "size_bytes"], "left_anti")
+
+
+def datasets_named(datasets: DataFrame, asked: DataFrame) -> DataFrame:
+    """Information on the datasets whose names are asked for, whatever their case. Asked names are few."""
+    wanted = asked.select(F.lower("name").alias("__asked")).distinct()
+    return datasets.join(F.broadcast(wanted), F.lower("name") == F.col("__asked")).drop("__asked")

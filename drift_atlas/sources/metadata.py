@@ -64,14 +64,23 @@ def resolve_paths(locations: DataFrame, files: DataFrame, roots: tuple[str, ...]
     return tried.join(files.select("path").distinct(), "path").groupBy("location").agg(F.min_by("path", "priority").alias("path"))
 
 
-def read_csv_tags(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a genre and a file column under any of their usual names: (tag, location); none without a genre column."""
+def read_csv_tags(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """CSV with a genre and a file column under any of their usual names: (tag, location); none without a genre column.
+
+    With a listing (``path``) only rows whose file exists stay.
+    """
     rows = spark.read.csv(path, header=True)
     pick = lambda names: next((c for c in reversed(rows.columns) if c.lower().strip() in names), None)
     genre, file = pick(GENRE_COLUMNS), pick(FILE_COLUMNS)
     if genre is None or file is None:
         return spark.createDataFrame([], "tag string, location string")
-    return split_tags(rows.select(F.col(f"`{genre}`").alias("genre"), F.trim(F.col(f"`{file}`")).alias("location")).where("location <> ''"))
+    tags = split_tags(rows.select(F.col(f"`{genre}`").alias("genre"), F.trim(F.col(f"`{file}`")).alias("location")).where("location <> ''"))
+    return tags if files is None else existing(tags, files)
+
+
+def existing(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows whose location is in the listing."""
+    return rows.join(files.select(F.col("path").alias("location")), "location", "left_semi").select(*rows.columns)
 
 
 def split_tags(rows: DataFrame) -> DataFrame:
@@ -128,6 +137,30 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
     tokens.select("tokens", F.col("file_id").cast("string").alias("file")).write.mode("overwrite").json(path)
 
 
+def load_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_tokens`` wrote: the file's name and its tokens; a line that is no token list gives none."""
+    lines = spark.read.text(path)
+    return lines.select(F.get_json_object("value", "$.file").alias("file"), parse_tokens(F.col("value")).alias("tokens"))
+
+
+def token_statistics(tokens: DataFrame) -> DataFrame:
+    """Files, tokens, distinct ids, and the mean, least and greatest length of token lists."""
+    sizes = tokens.select(F.size("tokens").cast("long").alias("n"), "tokens")
+    ids = tokens.select(F.explode("tokens").alias("t")).agg(F.count_distinct("t").alias("n_distinct"))
+    counts = sizes.agg(F.count("*").alias("n_files"), F.sum("n").alias("n_tokens"), F.avg("n").alias("mean_length"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return counts.join(F.broadcast(ids))  # one row each
+
+
+def write_statistics(stats: DataFrame, path: str) -> None:
+    """A small table of statistics as one JSON file."""
+    stats.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_results`` wrote, with its types found anew and its partition as a column."""
+    return spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+
+
 def write_results(rows: DataFrame, path: str, partition: str = "configuration") -> None:
     """CSV by partition; only the partitions at hand are replaced, so each finished one is a checkpoint."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", "true").partitionBy(partition).csv(path)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NOTE_SCHEMA = "path string, track_idx int, program int, is_drum boolean, note_idx int, pitch int, velocity int, start_s double, end_s double"
@@ -139,6 +140,33 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(run, NOTE_SCHEMA)
 
 
+def save(notes: DataFrame, folder: str) -> DataFrame:
+    """Write one MIDI file a ``name`` below a folder that all workers share: name, bytes, problem.
+
+    ``notes`` has the columns of the readers and ``name``, relative to the folder, and may
+    have tempo_bpm. Folders are made, a file that fails is reported and does not stop the
+    others, and a task that runs again writes the same bytes.
+    """
+    kept = notes.select("name", "track_idx", "program", "is_drum", "note_idx", "pitch", "velocity", "start_s", "end_s", (F.col("tempo_bpm") if "tempo_bpm" in notes.columns else F.lit(120.0)).alias("tempo_bpm"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        import pyarrow.fs as pafs
+
+        name, size, problem = group["name"].iloc[0], 0, None
+        try:
+            data = write(group.sort_values(["track_idx", "note_idx"]).to_dict("records"), tempo_bpm=float(group["tempo_bpm"].iloc[0]))
+            fs, base = pafs.FileSystem.from_uri(folder)
+            fs.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(f"{base}/{name}") as f:
+                f.write(data)
+            size = len(data)
+        except Exception as error:  # one file's failure must not end the others
+            problem = type(error).__name__
+        return pd.DataFrame({"name": [name], "bytes": [size], "problem": [problem]})
+
+    return kept.groupBy("name").applyInPandas(run, "name string, bytes long, problem string")
+
+
 class _Partition(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)

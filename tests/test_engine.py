@@ -263,5 +263,13 @@ def test_the_rest_works_without_the_corpus_subpackage(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/drift_atlas", tmp_path / "drift_atlas", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op1_') for n in q) and set(e.oracle_sql()) <= set(q)"
+    code = """if True:
+        import __spark_entry__ as e
+        from pyspark.sql import SparkSession
+        q = e.queries()
+        assert len(q) > 100 and not any(n.startswith('op1_') for n in q) and set(e.oracle_sql()) <= set(q)
+        spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+        assert q['m07_rank_by_distance'](spark, '/root/testdata/sf0.001').count() == 90
+        assert q['p13_optional_admission'](spark, '/root/testdata/sf0.001').count() > 0
+    """
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
