@@ -54,7 +54,7 @@ def ranking_agreement(distances: DataFrame) -> DataFrame:
 def noise_floor(vectors: DataFrame, reps: int) -> DataFrame:
     """Mean and 97.5th percentile of the distances of so many random splits of every set."""
     keys = ["configuration", "set_id", "rep"]
-    halves = rs.split_half(rs.repeated(vectors, reps), "f", keys)
+    halves = rs.split_half(vectors, "f", keys[:2], reps=reps).repartition(*keys)
     m = mom.full_moments(halves, (*keys, "half"), levels=1)  # the halves of a key stand in one task
     out = dist.full_distances(m.where("half = 0"), m.where("half = 1"), _same(*keys), {k: k for k in keys}, {k: f"__{k}" for k in keys})
     return out.groupBy("configuration", "set_id").agg(F.avg("fmd").alias("noise_floor_mean"), F.percentile("fmd", 0.975).alias("noise_floor_ci_upper"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drift_atlas.operators import distance as dist
 from drift_atlas.operators import hypothesis as hyp
 from drift_atlas.operators import moments as mom
+from drift_atlas.operators import relations as rel
 from drift_atlas.operators import resample as rs
 from drift_atlas.sources import fixtures as fx
 
@@ -276,7 +277,7 @@ def r02(spark, sf):
 
 def noise_floor(points: DataFrame, reps: int) -> DataFrame:
     """Split-half distances: set_id, rep, fmd."""
-    halves = rs.split_half(rs.repeated(points, reps), "h", ["set_id", "rep"])
+    halves = rs.split_half(points, "h", ["set_id"], reps=reps)
     m = mom.plane_moments(halves, ["set_id", "rep", "half"])
     a, b = (dist.side(m.where(F.col("half") == h), p, "set_id", "rep") for h, p in ((0, "a_"), (1, "b_")))
     met = a.join(b, (F.col("a_set_id") == F.col("b_set_id")) & (F.col("a_rep") == F.col("b_rep")))
@@ -341,7 +342,6 @@ def permutation_test(original: DataFrame, changed: DataFrame, reps: int) -> Data
     """Observed distance and add-one permutation p by set: set_id, fmd, perm_p_value."""
     pool = original.select(F.col("set_id").alias("pair"), F.concat(F.lit("a"), "row_id").alias("pooled_id"), "x", "y", F.lit(0).cast("long").alias("side"))
     pool = pool.unionByName(changed.select(F.col("set_id").alias("pair"), F.concat(F.lit("b"), "row_id").alias("pooled_id"), "x", "y", F.lit(1).cast("long").alias("side")))
-    sized = pool.withColumn("na", F.count_if(F.col("side") == 0).over(Window.partitionBy("pair")))
 
     def distances(rows: DataFrame, keys: list[str]) -> DataFrame:
         m = mom.plane_moments(rows, [*keys, "side"])
@@ -352,7 +352,7 @@ def permutation_test(original: DataFrame, changed: DataFrame, reps: int) -> Data
         return a.join(b, test).select(*[F.col(f"a_{k}").alias(k) for k in keys], F.expr(dist.frechet_sql("a_", "b_")).alias("fmd"))
 
     seen = distances(pool, ["pair"]).withColumnRenamed("fmd", "observed")
-    drawn = distances(rs.relabel(sized.drop("side"), reps, "pm", F.col("na")), ["pair", "rep"])
+    drawn = distances(rs.relabel(pool, reps, "pm", F.count_if(F.col("side") == 0)), ["pair", "rep"])
     out = drawn.join(seen, "pair").groupBy("pair", "observed").agg(((F.count_if(F.col("fmd") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("perm_p_value"))
     return out.select(F.col("pair").alias("set_id"), F.col("observed").alias("fmd"), "perm_p_value")
 
@@ -480,7 +480,7 @@ hv AS ({_HALF('ok', 'configuration, set_id', ['row_id'])}), hm AS ({_moments_sql
 SELECT a.set_id AS dataset, a.configuration, a.n AS n_samples_per_half, round({_FR}, 6) AS split_half_fmd FROM hm a JOIN hm b ON a.configuration = b.configuration AND a.set_id = b.set_id AND a.half = 0 AND b.half = 1""")
 def q01(spark, sf):
     rows = configurations(_sets(spark, sf))
-    enough = rows.withColumn("m0", F.count("*").over(Window.partitionBy("configuration", "set_id"))).where("m0 >= 10")
+    enough = rel.with_enough(rows, ["configuration", "set_id"], 10)
     m = mom.plane_moments(rs.split_half(enough, "h", ["configuration", "set_id"]), ["configuration", "set_id", "half"])
     a, b = (dist.side(m.where(F.col("half") == h), p, "configuration", "set_id") for h, p in ((0, "a_"), (1, "b_")))
     met = a.join(b, (F.col("a_configuration") == F.col("b_configuration")) & (F.col("a_set_id") == F.col("b_set_id")))

@@ -1,5 +1,6 @@
 """Whole-vector studies, contrasts, relational operators, encoders and block distances against brute force."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -80,6 +81,30 @@ def test_self_similarity_and_floor_in_full_dimension(vectors):
     assert all(r.fmd_vs_original == 0 and not r.above_floor for r in unchanged)
 
 
+def test_random_order_against_brute_force(spark):
+    sizes = {1: 700, 2: 41, 3: 1, None: 6}
+    rows = [(g, i, f"r{i}") for g, n in sizes.items() for i in range(n)]
+    table = spark.createDataFrame(rows, "set_id long, row_id long, name string").repartition(3)
+
+    def order(group, *rep):
+        return sorted(range(sizes[group]), key=lambda i: (hashlib.md5("|".join(["s", *map(str, rep), str(i)]).encode()).hexdigest(), i))
+
+    once = {(r.set_id, r.row_id): (r.half, r.name) for r in rs.split_half(table, "s", ["set_id"]).collect()}
+    many = {(r.set_id, r.rep, r.row_id): r.half for r in rs.split_half(table, "s", ["set_id"], reps=3).collect()}
+    halves = {g: n // 2 for g, n in sizes.items()}
+    assert once == {(g, i): (k // halves[g], f"r{i}") for g in sizes for k, i in enumerate(order(g)) if k < 2 * halves[g]}
+    assert many == {(g, p, i): k // halves[g] for g in sizes for p in range(3) for k, i in enumerate(order(g, p)) if k < 2 * halves[g]}
+    asked = {(r.set_id, r.rep, r.row_id): r.half for r in rs.split_half(rs.repeated(table, 3), "s", ["set_id", "rep"]).collect()}
+    assert asked == many
+
+    first = {1: 200, 2: 41, 3: 0, None: 0}
+    pool = table.select(F.col("set_id").alias("pair"), F.col("row_id").alias("pooled_id"))
+    count = F.sum(F.expr("int((pair = 1 and pooled_id < 200) or pair = 2)"))
+    sides = {(r.pair, r.rep, r.pooled_id): r.side for r in rs.relabel(pool, 2, "s", F.coalesce(count, F.lit(0))).collect()}
+    assert sides == {(g, p, i): int(k >= first[g]) for g in sizes for p in range(2) for k, i in enumerate(order(g, p))}
+    assert rs.split_half(table.limit(0), "s", ["set_id"], reps=3).count() == 0 and rs.relabel(pool.limit(0), 2, "s", F.count("*")).count() == 0
+
+
 def test_contrast_families_and_holm_against_brute_force(spark):
     rng = np.random.default_rng(8)
     shifts = {(s, c, d): {k: round(float(rng.gamma(2, 0.1) * (1 + (d == "a") * (c == "x"))), 9) for k in range(14)} for s in (0, 1) for c in ("x", "y") for d in ("__retest__", "a", "b")}
