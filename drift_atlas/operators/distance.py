@@ -44,6 +44,16 @@ def side(moments: DataFrame, prefix: str, *keys: str) -> DataFrame:
     return moments.select(*[F.col(c).alias(f"{prefix}{c}") for c in (*keys, *MOMENT_COLUMNS)])
 
 
+def both_sides(moments: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """One row a key with the moments where ``by`` is 0 and 1 as a_ and b_; keys that lack a side or have a null go.
+
+    An aggregation of the moments, not a join of them with themselves, so the rows behind them are read once.
+    """
+    sides = [F.max(F.when(F.col(by) == k, F.col(c))).alias(f"{p}{c}") for k, p in ((0, "a_"), (1, "b_")) for c in MOMENT_COLUMNS]
+    met = moments.groupBy(*keys).agg(*sides).where("a_n is not null and b_n is not null")
+    return met.dropna(subset=keys)
+
+
 def plane_pairs(moments: DataFrame, inclusive: bool = False) -> DataFrame:
     """Distance of every pair of sets a < b (a <= b): the moments are one row a set, whatever the sets' sizes."""
     a, b = side(moments, "a_", "set_id"), side(moments, "b_", "set_id")

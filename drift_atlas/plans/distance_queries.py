@@ -278,10 +278,8 @@ def r02(spark, sf):
 def noise_floor(points: DataFrame, reps: int) -> DataFrame:
     """Split-half distances: set_id, rep, fmd."""
     halves = rs.split_half(points, "h", ["set_id"], reps=reps)
-    m = mom.plane_moments(halves, ["set_id", "rep", "half"])
-    a, b = (dist.side(m.where(F.col("half") == h), p, "set_id", "rep") for h, p in ((0, "a_"), (1, "b_")))
-    met = a.join(b, (F.col("a_set_id") == F.col("b_set_id")) & (F.col("a_rep") == F.col("b_rep")))
-    return met.select(F.col("a_set_id").alias("set_id"), F.col("a_rep").alias("rep"), F.expr(dist.frechet_sql("a_", "b_")).alias("fmd"))
+    met = dist.both_sides(mom.plane_moments(halves, ["set_id", "rep", "half"]), ["set_id", "rep"], "half")
+    return met.select("set_id", "rep", F.expr(dist.frechet_sql("a_", "b_")).alias("fmd"))
 
 
 def _floor_sql(reps: int) -> str:
@@ -344,12 +342,8 @@ def permutation_test(original: DataFrame, changed: DataFrame, reps: int) -> Data
     pool = pool.unionByName(changed.select(F.col("set_id").alias("pair"), F.concat(F.lit("b"), "row_id").alias("pooled_id"), "x", "y", F.lit(1).cast("long").alias("side")))
 
     def distances(rows: DataFrame, keys: list[str]) -> DataFrame:
-        m = mom.plane_moments(rows, [*keys, "side"])
-        a, b = (dist.side(m.where(F.col("side") == s), p, *keys) for s, p in ((0, "a_"), (1, "b_")))
-        test = F.lit(True)
-        for k in keys:
-            test = test & (F.col(f"a_{k}") == F.col(f"b_{k}"))
-        return a.join(b, test).select(*[F.col(f"a_{k}").alias(k) for k in keys], F.expr(dist.frechet_sql("a_", "b_")).alias("fmd"))
+        met = dist.both_sides(mom.plane_moments(rows, [*keys, "side"]), keys, "side")
+        return met.select(*keys, F.expr(dist.frechet_sql("a_", "b_")).alias("fmd"))
 
     seen = distances(pool, ["pair"]).withColumnRenamed("fmd", "observed")
     drawn = distances(rs.relabel(pool, reps, "pm", F.count_if(F.col("side") == 0)), ["pair", "rep"])
@@ -480,11 +474,10 @@ hv AS ({_HALF('ok', 'configuration, set_id', ['row_id'])}), hm AS ({_moments_sql
 SELECT a.set_id AS dataset, a.configuration, a.n AS n_samples_per_half, round({_FR}, 6) AS split_half_fmd FROM hm a JOIN hm b ON a.configuration = b.configuration AND a.set_id = b.set_id AND a.half = 0 AND b.half = 1""")
 def q01(spark, sf):
     rows = configurations(_sets(spark, sf))
-    enough = rel.with_enough(rows, ["configuration", "set_id"], 10)
-    m = mom.plane_moments(rs.split_half(enough, "h", ["configuration", "set_id"]), ["configuration", "set_id", "half"])
-    a, b = (dist.side(m.where(F.col("half") == h), p, "configuration", "set_id") for h, p in ((0, "a_"), (1, "b_")))
-    met = a.join(b, (F.col("a_configuration") == F.col("b_configuration")) & (F.col("a_set_id") == F.col("b_set_id")))
-    return met.select(F.col("a_set_id").alias("dataset"), F.col("a_configuration").alias("configuration"), F.col("a_n").alias("n_samples_per_half"), F.round(F.expr(dist.frechet_sql("a_", "b_")), 6).alias("split_half_fmd"))
+    keys = ["configuration", "set_id"]
+    enough = rel.with_enough(rows, keys, 10)
+    met = dist.both_sides(mom.plane_moments(rs.split_half(enough, "h", keys), [*keys, "half"]), keys, "half")
+    return met.select(F.col("set_id").alias("dataset"), "configuration", F.col("a_n").alias("n_samples_per_half"), F.round(F.expr(dist.frechet_sql("a_", "b_")), 6).alias("split_half_fmd"))
 
 
 def cross_distances(rows: DataFrame) -> DataFrame:
