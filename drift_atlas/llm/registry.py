@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_atlas.llm import bpe, common, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality_rules, sharding, warc
+from drift_atlas.llm import bpe, common, conversation_repair, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality_rules, sharding, statements, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +89,13 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a hash of its keys, with its faults, cheapest edits and repaired text."""
+    out = conversation_repair.repair_conversations(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+    text = F.concat_ws("\n", F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])))
+    return out.withColumn("repaired_sha256", F.sha2(text, 256)).drop("repaired")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over the documents."""
     import corpus_pipeline
@@ -152,8 +159,8 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_sharding": op1_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_html_extraction": op5_html_extraction, "op6_language_id": op6_language_id, "op7_warc": op7_warc, "op8_quality_rules": op8_quality_rules, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe, "pipeline": pipeline}
+    return {"op1_sharding": op1_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_html_extraction": op5_html_extraction, "op6_language_id": op6_language_id, "op7_warc": op7_warc, "op8_quality_rules": op8_quality_rules, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe, "op11_conversation_repair": op11_conversation_repair, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _OP1_SQL, "op3_line_dedup": _OP3_SQL, "op4_exact_dedup": _OP4_SQL, "op7_warc": _OP7_SQL}
+    return {"op1_sharding": _OP1_SQL, "op3_line_dedup": _OP3_SQL, "op4_exact_dedup": _OP4_SQL, "op7_warc": _OP7_SQL, "op11_conversation_repair": statements.OP11}
