@@ -89,3 +89,24 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
        substr(best, 10) AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
 FROM ids JOIN ends USING (c) LEFT JOIN sums USING (c) LEFT JOIN made USING (c)
 """
+
+
+# Cents and unit prices of the data are positive, so integer division is a floor.
+OP13 = rf"""
+WITH {_CRC_TABLE},
+l AS (
+  SELECT sale_id, line_no, item_id AS line_item_id, (2 * a + quantity) // (2 * quantity) AS u,
+         {_crc("CAST(sale_id AS VARCHAR) || ',' || coalesce(CAST(line_no AS VARCHAR), '') || ',' || CAST(item_id AS VARCHAR)")} AS crc
+  FROM (SELECT *, CAST(floor(100 * amount + 0.5) AS BIGINT) AS a FROM sale_lines
+        WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity IS NOT NULL AND amount IS NOT NULL), crc_table),
+i AS (SELECT row_number() OVER () AS k, item_id, CAST(floor(100 * price + 0.5) AS BIGINT) AS p FROM items),
+pairs AS (
+  SELECT k, item_id, abs(u - p) AS gap, u, sale_id, line_no, line_item_id, crc
+  FROM i JOIN l ON u BETWEEN p - greatest(50, p) AND p + greatest(50, p)
+  WHERE line_item_id <> item_id AND (abs(u - p) <= 50 OR 1000 * abs(u - p) <= 5 * least(u, p))),
+sums AS (SELECT k, count(*) AS n_pairs, CAST(sum(gap) AS BIGINT) AS gap_sum, CAST(sum(crc) AS BIGINT) AS lines_crc FROM pairs GROUP BY k),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gap, u, sale_id, line_no NULLS FIRST, line_item_id) AS rank FROM pairs QUALIFY rank <= 10)
+SELECT i.item_id, CAST(coalesce(rank, 0) AS INTEGER) AS rank, gap, u, sale_id, CAST(line_no AS BIGINT) AS line_no, line_item_id,
+       coalesce(n_pairs, 0) AS n_pairs, coalesce(gap_sum, 0) AS gap_sum, coalesce(lines_crc, 0) AS lines_crc
+FROM i LEFT JOIN sums USING (k) LEFT JOIN ranked USING (k)
+"""
