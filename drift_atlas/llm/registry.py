@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drift_atlas.llm import band_join, bpe, common, conversation_repair, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality_rules, sharding, statements, warc
+from drift_atlas.llm import band_join, bpe, common, conversation_repair, exact_dedup, html_extract, language_id, license_scan, line_dedup, mixing, near_dedup, quality_rules, sharding, statements, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +96,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("repaired_sha256", F.sha2(text, 256)).drop("repaired")
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of licence phrases and licences of every whole text."""
+    return license_scan.scan_licences(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item's nearest ten sale lines of other items, with sums over all lines near its price."""
     return band_join.near_prices(_table(spark, sf_dir, "sale_lines"), _table(spark, sf_dir, "items"))
@@ -164,7 +169,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_sharding": op1_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_html_extraction": op5_html_extraction, "op6_language_id": op6_language_id, "op7_warc": op7_warc, "op8_quality_rules": op8_quality_rules, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe, "op11_conversation_repair": op11_conversation_repair, "op13_band_join": op13_band_join, "pipeline": pipeline}
+    return {"op1_sharding": op1_sharding, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_line_dedup": op3_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op5_html_extraction": op5_html_extraction, "op6_language_id": op6_language_id, "op7_warc": op7_warc, "op8_quality_rules": op8_quality_rules, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe, "op11_conversation_repair": op11_conversation_repair, "op12_license_scan": op12_license_scan, "op13_band_join": op13_band_join, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -70,20 +70,23 @@ def slices(at: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]
         first = last
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of consecutive texts, and the n + 1 offsets of each text's words."""
+def word_hashes(raw: np.ndarray, at: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of consecutive texts, and the n + 1 offsets of each text's words.
+
+    ``space`` tells of each byte whether it separates words; bytes of 128 and more must not.
+    """
     begin, end = int(at[0]), int(at[-1])
     out_hash, out_start = [], []
     pos = begin
     while pos < end:
         stop = min(pos + SLICE_BYTES, end)
         if stop < end:  # end at white space or at the end of a text, so no word is cut
-            spaces = np.flatnonzero(_SPACE[raw[pos:stop]])
+            spaces = np.flatnonzero(space[raw[pos:stop]])
             ends = at[np.searchsorted(at, stop, "right") - 1]
             cut = max(pos + int(spaces[-1]) + 1 if len(spaces) else pos, int(ends))
             while cut <= pos:
                 more = min(stop + SLICE_BYTES, end)
-                spaces = np.flatnonzero(_SPACE[raw[stop:more]])
+                spaces = np.flatnonzero(space[raw[stop:more]])
                 nexts = at[np.searchsorted(at, stop, "left")]
                 cut = min(stop + int(spaces[0]) + 1 if len(spaces) else end, int(nexts)) if len(spaces) or nexts <= more else pos
                 stop = more
@@ -91,7 +94,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
                     cut = end
             stop = cut
         piece = raw[pos:stop]
-        inside = ~_SPACE[piece]
+        inside = ~space[piece]
         start = inside.copy()
         start[1:] &= ~inside[:-1]
         final = inside.copy()
