@@ -114,7 +114,7 @@ def full_moments(vectors: DataFrame, keys: tuple[str, ...] = ("set_id",), levels
     group of any size never stands in one Python process.
     """
     kinds = vectors.select(*keys).schema
-    parts = vectors.select(F.to_json(F.struct(*keys)).alias("key"), "embedding").mapInArrow(_partials, _PARTIAL)
+    parts = vectors.where(F.col("embedding").isNotNull()).select(F.to_json(F.struct(*keys)).alias("key"), "embedding").mapInArrow(_partials, _PARTIAL)
     for level in range(levels):
         place = F.floor(F.col("part") / F.lit(FAN_IN)) if level < levels - 1 else F.lit(0)
         parts = parts.groupBy("key", place.alias("place")).applyInPandas(_merged, _PARTIAL)

@@ -14,6 +14,8 @@ from drift_atlas.operators import hypothesis as hyp
 from drift_atlas.operators import moments as mom
 from drift_atlas.operators import relations as rel
 from drift_atlas.operators import resample as rs
+from drift_atlas.operators import resampled
+from drift_atlas.operators.resampled import Plan
 
 #: Pairs of datasets below which two rankings are not compared, and from which the comparison is called interpretable.
 LEAST_PAIRS, INTERPRETABLE_PAIRS = 6, 10
@@ -53,21 +55,62 @@ def ranking_agreement(distances: DataFrame) -> DataFrame:
 
 def noise_floor(vectors: DataFrame, reps: int) -> DataFrame:
     """Mean and 97.5th percentile of the distances of so many random splits of every set."""
-    keys = ["configuration", "set_id", "rep"]
-    halves = rs.split_half(vectors, "f", keys[:2], reps=reps).repartition(*keys)
-    m = mom.full_moments(halves, (*keys, "half"), levels=1)  # the halves of a key stand in one task
-    out = dist.full_distances(m.where("half = 0"), m.where("half = 1"), _same(*keys), {k: k for k in keys}, {k: f"__{k}" for k in keys})
+    out = resampled.distances(vectors.withColumn("side", F.lit(0)), ["configuration", "set_id"], Plan("halves", reps, "floor"))
     return out.groupBy("configuration", "set_id").agg(F.avg("fmd").alias("noise_floor_mean"), F.percentile("fmd", 0.975).alias("noise_floor_ci_upper"))
 
 
-def sensitivity(original: DataFrame, changed: DataFrame, reps: int) -> DataFrame:
-    """Distance of every set to its changed version, against the noise floor of the unchanged one."""
-    keys = ("configuration", "set_id")
-    a, b = mom.full_moments(original, keys), mom.full_moments(changed, keys)
-    moved = dist.full_distances(a, b, _same(*keys), {k: k for k in keys}, {k: f"__{k}" for k in keys}).select(*keys, "fmd")
-    met = moved.join(noise_floor(original, reps), list(keys))
+def _two_sides(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    return first.select(*keys, "row_id", "embedding", F.lit(0).alias("side")).unionByName(second.select(*keys, "row_id", "embedding", F.lit(1).alias("side")))
+
+
+def interval(fmd: str = "fmd") -> list:
+    """Mean and the 95 % interval of resampled distances."""
+    return [F.avg(fmd).alias("fmd_boot_mean"), F.percentile(fmd, 0.025).alias("fmd_ci_lower"), F.percentile(fmd, 0.975).alias("fmd_ci_upper")]
+
+
+def perturbation_interval(original: DataFrame, changed: DataFrame, reps: int, keys: list[str]) -> DataFrame:
+    """Interval of the distance under independent draws with replacement from both versions of every set."""
+    out = resampled.distances(_two_sides(original, changed, keys), keys, Plan("drawn", reps, "interval"))
+    return out.groupBy(*keys).agg(*interval())
+
+
+def permutation_p(original: DataFrame, changed: DataFrame, seen: DataFrame, reps: int, keys: list[str]) -> DataFrame:
+    """Add-one share of relabelled distances that reach the one that was seen (the keys, fmd)."""
+    drawn = resampled.distances(_two_sides(original, changed, keys), keys, Plan("relabelled", reps, "permutation"))
+    met = drawn.join(seen.select(*keys, F.col("fmd").alias("__seen")), keys)
+    return met.groupBy(*keys).agg(((F.count_if(F.col("fmd") >= F.col("__seen")) + 1) / (F.count("fmd") + 1)).alias("perm_p_value"))
+
+
+def sensitivity(original: DataFrame, changed: DataFrame, floor_reps: int, boot_reps: int, perm_reps: int) -> DataFrame:
+    """Distance of every set to its changed versions: floor, interval, signal-to-noise ratio, permutation p and verdict.
+
+    ``changed`` also has ``perturbation``; every version is tested against the whole
+    original set. A set whose floor is too small to divide by has no ratio and is not
+    detected.
+    """
+    keys, all_keys = ["configuration", "set_id"], ["configuration", "set_id", "perturbation"]
+    a, b = mom.full_moments(original, tuple(keys)), mom.full_moments(changed, tuple(all_keys))
+    moved = dist.full_distances(a, b, _same(*keys), {k: f"__{k}" for k in keys}, {k: k for k in all_keys}).select(*all_keys, "fmd", "a_n", "b_n")
+    every = resampled.sized_join(original, changed.select(*all_keys).distinct(), keys)  # an original set once for each of its few versions
+    met = moved.join(noise_floor(original, floor_reps), keys)
+    met = met.join(perturbation_interval(every, changed, boot_reps, all_keys), all_keys).join(permutation_p(every, changed, moved, perm_reps, all_keys), all_keys)
     snr = F.when(F.col("noise_floor_mean") > 1e-12, F.col("fmd") / F.col("noise_floor_mean"))
-    return met.select(F.col("set_id").alias("dataset"), "configuration", F.col("fmd").alias("fmd_vs_original"), "noise_floor_mean", "noise_floor_ci_upper", snr.alias("snr"), (F.col("fmd") > F.col("noise_floor_ci_upper")).alias("above_floor"))
+    seen = F.coalesce((F.col("perm_p_value") < 0.05) & (snr >= 1.0), F.lit(False))
+    return met.select(
+        F.col("set_id").alias("dataset"), "configuration", "perturbation", F.col("fmd").alias("fmd_vs_original"), "fmd_boot_mean", "fmd_ci_lower", "fmd_ci_upper",
+        "noise_floor_mean", "noise_floor_ci_upper", snr.alias("snr"), (F.col("fmd") > F.col("noise_floor_ci_upper")).alias("above_floor"), "perm_p_value", seen.alias("significant"), F.col("a_n").alias("n_original"), F.col("b_n").alias("n_perturbed"),
+    )
+
+
+def bootstrap_stability(first: DataFrame, second: DataFrame, reps: int, cap: int) -> DataFrame:
+    """Mean, deviation, interval and variation of the distance of two sets under draws of at most ``cap`` rows, by configuration."""
+    keys = ["configuration"]
+    rows = _two_sides(first, second, keys)
+    sizes = rows.groupBy(*keys).agg(*[F.least(F.count_if(F.col("side") == k), F.lit(cap)).alias(f"sample_size_{n}") for k, n in ((0, "a"), (1, "b"))])
+    mean, std = F.avg("fmd"), F.stddev_pop("fmd")
+    out = resampled.distances(rows, keys, Plan("drawn", reps, "stability", cap)).groupBy(*keys).agg(
+        F.count("fmd").alias("n_resamples"), mean.alias("fmd_mean"), std.alias("fmd_std"), F.percentile("fmd", 0.025).alias("fmd_ci_lower"), F.percentile("fmd", 0.975).alias("fmd_ci_upper"), (std / F.greatest(mean, F.lit(1e-8))).alias("cv"))
+    return out.join(sizes, keys)
 
 
 # Paired contrasts -----------------------------------------------------------

@@ -53,10 +53,31 @@ def q02_agreement_full(spark, sf):
     return _shown(study.ranking_agreement(study.cross_distances(_vectors(spark, sf))), "spearman_tau")
 
 
+def _versions(spark, sf):
+    """The sets and their perturbed version, under every pipeline."""
+    sets = fx.embedding_sets(spark, sf)
+    return pipelines(sets), pipelines(dq.perturbed(sets)).withColumn("perturbation", F.lit("halved"))
+
+
 @query("q03_sensitivity_full")
 def q03_full(spark, sf):
-    sets = fx.embedding_sets(spark, sf)
-    return _shown(study.sensitivity(pipelines(sets), pipelines(dq.perturbed(sets)), dq.FLOOR_REPS), "fmd_vs_original", "noise_floor_mean", "noise_floor_ci_upper", "snr")
+    """Distance, interval, floor, ratio, permutation p and verdict on whole vectors."""
+    out = study.sensitivity(*_versions(spark, sf), dq.FLOOR_REPS, dq.BOOT_REPS, dq.PERM_REPS)
+    return _shown(out, "fmd_vs_original", "fmd_boot_mean", "fmd_ci_lower", "fmd_ci_upper", "noise_floor_mean", "noise_floor_ci_upper", "snr", "perm_p_value")
+
+
+@query("r04_perturbation_bootstrap_full")
+def r04_full(spark, sf):
+    original, changed = _versions(spark, sf)
+    return _shown(study.perturbation_interval(original, changed, dq.BOOT_REPS, ["configuration", "set_id"]), "fmd_boot_mean", "fmd_ci_lower", "fmd_ci_upper")
+
+
+@query("q05_bootstrap_stability_full")
+def q05_full(spark, sf):
+    """Stability of the distance of one pair of sets on whole vectors, under every pipeline."""
+    vectors = _vectors(spark, sf)
+    out = study.bootstrap_stability(vectors.where("set_id = 0"), vectors.where("set_id = 1"), dq.STABILITY_REPS, 500)
+    return _shown(out, "fmd_mean", "fmd_std", "fmd_ci_lower", "fmd_ci_upper", "cv")
 
 
 # Paired contrasts -----------------------------------------------------------
