@@ -9,6 +9,7 @@ from drift_atlas.operators import encoders as enc
 from drift_atlas.operators import notes as note_ops
 from drift_atlas.operators import rendering as rd
 from drift_atlas.operators import study
+from drift_atlas.sources.staging import staged
 
 
 def from_midi(parsed: DataFrame) -> DataFrame:
@@ -49,19 +50,11 @@ def perturbed_embeddings(notes: DataFrame, tempos: DataFrame, beats: DataFrame,
     return out.select("configuration", "k.perturbation", "k.file_id", "embedding")
 
 
-def perturbation_study(embeddings: DataFrame, datasets: DataFrame, original: str, reps: int) -> DataFrame:
-    """Distance, floor and signal-to-noise ratio of every perturbation of every dataset under every configuration.
+def perturbation_study(embeddings: DataFrame, datasets: DataFrame, original: str, floor_reps: int, boot_reps: int, perm_reps: int) -> DataFrame:
+    """The study of ``study.sensitivity`` for every perturbation of every dataset under every configuration.
 
-    ``datasets`` has file_id, set_id and a long row_id.
+    ``datasets`` has file_id, set_id and a long row_id. The embeddings are staged, since the study reads them often.
     """
-    rows = embeddings.join(datasets, "file_id").select("configuration", "perturbation", "set_id", "row_id", "embedding")
+    rows = staged(embeddings.join(datasets, "file_id").select("configuration", "perturbation", "set_id", "row_id", "embedding"), "embeddings")
     before = rows.where(F.col("perturbation") == original).drop("perturbation")
-    changed = rows.where(F.col("perturbation") != original)
-    # A configuration and a perturbation are one pipeline; the original stands beside each.
-    pipeline = F.to_json(F.struct("configuration", "perturbation"))
-    names = changed.select("configuration", "perturbation").distinct()
-    one = before.join(F.broadcast(names), "configuration").withColumn("configuration", pipeline).drop("perturbation")
-    two = changed.withColumn("configuration", pipeline).drop("perturbation")
-    out = study.sensitivity(one, two, reps)
-    named = F.from_json("configuration", "configuration string, perturbation string")
-    return out.withColumn("k", named).select("dataset", "k.configuration", "k.perturbation", *[c for c in out.columns if c not in ("dataset", "configuration")])
+    return study.sensitivity(before, rows.where(F.col("perturbation") != original), floor_reps, boot_reps, perm_reps)

@@ -105,6 +105,26 @@ def _square(x) -> np.ndarray:
     return np.asarray(x).reshape(int(len(x) ** 0.5), -1)
 
 
+def root_traces(moments: DataFrame) -> DataFrame:
+    """Trace of the root of the product of two sets' covariances, for all pairs a < b.
+
+    The product has the eigenvalues of the symmetric root-a * cov-b * root-a; a root is
+    taken once a set. What is not finite counts as 0.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def roots(cov: pd.Series) -> pd.Series:
+        return pd.Series([covariance_root(np.nan_to_num(_square(c)), 0.0).ravel() for c in cov])
+
+    @F.pandas_udf(T.DoubleType())
+    def traces(root: pd.Series, cov: pd.Series) -> pd.Series:
+        return pd.Series([float(np.sqrt(np.maximum(np.linalg.eigvalsh(_square(r) @ np.nan_to_num(_square(c)) @ _square(r)), 0)).sum()) for r, c in zip(root, cov, strict=True)])
+
+    a = moments.select(F.col("set_id").alias("a"), roots("cov").alias("root"))
+    b = moments.select(F.col("set_id").alias("b"), "cov")
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", traces("root", "cov").alias("root_trace"))
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _roots(cov: pd.Series) -> pd.Series:
     return pd.Series([covariance_root(_square(c)).ravel() for c in cov])
@@ -170,10 +190,10 @@ def pairwise_distances(a: DataFrame, b: DataFrame, metric: str = "euclidean") ->
 BLOCK_ROWS = 512
 
 
-def blocks(vectors: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def blocks(vectors: DataFrame, rows: int | None = None) -> DataFrame:
     """Vectors packed by set into blocks of about so many: set_id, block, flat (all numbers), n."""
-    sizes = vectors.groupBy("set_id").agg(F.ceil(F.count("*") / F.lit(rows)).alias("parts"))
-    dealt = vectors.join(sizes, "set_id").withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("parts")))
+    sizes = vectors.groupBy(F.col("set_id").alias("__set")).agg(F.ceil(F.count("*") / F.lit(rows or BLOCK_ROWS)).alias("parts"))
+    dealt = vectors.join(sizes, F.col("set_id").eqNullSafe(F.col("__set"))).withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("parts")))
     return dealt.groupBy("set_id", "block").agg(F.flatten(F.collect_list("embedding")).alias("flat"), F.count("*").alias("n"))
 
 

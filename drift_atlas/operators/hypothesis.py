@@ -10,25 +10,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def mid_rank(value: str, *keys: str):
-    """Rank with ties at their mean, as a double."""
-    group = Window.partitionBy(*keys)
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    return F.rank().over(group.orderBy(value)).cast("double") + (ties - 1).cast("double") / F.lit(2.0)
+from drift_atlas.operators import order
 
 
 def signed_rank(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """One-sided signed-rank statistic of a > b: n, n_nonzero, ties, stat and z by key.
 
-    Zero differences are left out; z has no continuity correction and is null where no difference is left.
+    Zero differences are left out; z has no continuity correction and is null where no
+    difference is left. All of it is summed over distinct differences and their ranks.
     """
     marked = pairs.withColumn("__d", F.col(a) - F.col(b))
     sizes = marked.groupBy(*keys).agg(F.count("*").alias("n"))
     nonzero = marked.where("__d <> 0").withColumn("__abs", F.abs("__d"))
-    ranked = nonzero.withColumns({"__r": mid_rank("__abs", *keys), "__t": F.count("*").over(Window.partitionBy(*keys, "__abs")).cast("double")})
-    t = F.col("__t")
-    stats = ranked.groupBy(*keys).agg(F.count("*").alias("n_nonzero"), F.sum(F.when(F.col("__d") > 0, F.col("__r")).otherwise(0.0)).alias("stat"), F.sum(t * t - 1).alias("__tie"), (F.max("__t") > 1).alias("ties"))
+    ranked = order.ranked_values(nonzero.select(*keys, "__d", "__abs"), keys, "__abs", F.count_if(F.col("__d") > 0).alias("__up"))
+    t = F.col("n").cast("double")
+    stats = ranked.groupBy(*keys).agg(F.sum("n").alias("n_nonzero"), F.sum(F.col("__up") * F.col("rank")).alias("stat"), F.sum(t * (t * t - 1)).alias("__tie"), (F.max("n") > 1).alias("ties"))
     m = F.col("n_nonzero").cast("double")
     spread = m * (m + 1) * (2 * m + 1) / 24 - F.col("__tie") / 48
     out = sizes.join(stats, keys, "left").withColumn("z", F.when(spread > 0, (F.col("stat") - m * (m + 1) / 4) / F.sqrt(spread)))
@@ -75,7 +71,7 @@ def holm(tests: DataFrame, p: str, family: list[str], tie_break: list[str]) -> D
 
 def spearman(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Pearson correlation of mid-ranks and the number of pairs, by key."""
-    ranked = pairs.withColumns({"__rx": mid_rank(x, *keys), "__ry": mid_rank(y, *keys)})
+    ranked = order.mid_ranks(pairs.select(*keys, x, y), keys, {x: "__rx", y: "__ry"})
     return ranked.groupBy(*keys).agg(F.corr("__rx", "__ry").alias("rho"), F.count("*").alias("n_pairs"))
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drift_atlas.operators.asof import last_mark
+
 MIN_NOTE, MAX_NOTE = 21, 108
 FLAT_VELOCITY = 64
 STEPS_PER_QUARTER = 8
@@ -49,49 +51,53 @@ def quantize_time(notes: DataFrame, tempos: DataFrame, hard: bool = True, steps:
     return snapped.withColumn("end_s", end).select(*notes.columns)
 
 
-def beat_map(beats: DataFrame) -> DataFrame:
-    """One row per file with its beats as a sorted array; the number of beats bounds its length."""
-    return beats.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda b: b["t"]).alias("beats"))
+def beat_marks(beats: DataFrame) -> DataFrame:
+    """Every beat as a mark of the as-of join: its place from 0, its successor, and what is the same for all beats of the file.
+
+    Times rise with ``k``. A mark at minus infinity, place -1, stands before the first
+    beat of every file, so notes before it know the file's beats too.
+    """
+    order = Window.partitionBy("file_id").orderBy("k")
+    placed = beats.select("file_id", "t", (F.row_number().over(order) - 1).cast("long").alias("place"), F.lead("t").over(order).alias("next_t"))
+    whole = placed.groupBy("file_id").agg(F.count("*").alias("n"), F.min_by("t", "place").alias("first"), F.max_by("t", "place").alias("last"), F.max_by(F.when(F.col("next_t").isNotNull(), F.col("t")), F.when(F.col("next_t").isNotNull(), F.col("place"))).alias("before_last"))
+    before = whole.select("file_id", F.lit(float("-inf")).alias("t"), F.lit(-1).cast("long").alias("place"), F.lit(None).cast("double").alias("next_t"), "n", "first", "last", "before_last")
+    return placed.join(whole, "file_id").unionByName(before)
 
 
-def beat_intervals(beats: DataFrame) -> DataFrame:
-    """Every beat with its successor: the build side of the as-of join."""
-    return beats.withColumn("next_t", F.lead("t").over(Window.partitionBy("file_id").orderBy("k")))
+def _marked(rows: DataFrame, marks: DataFrame, at: str) -> DataFrame:
+    return last_mark(rows, marks, ["file_id"], at, "t", "place", "__beat")
 
 
-def _warp(t: Column, target: float) -> Column:
-    """Time on the even grid, from the file's beat array and the index of the beat at or before t."""
-    beats, n = F.col("beats"), F.size("beats")
-    first, last, before_last = F.get(beats, F.lit(0)), F.get(beats, n - 1), F.get(beats, n - 2)
-    at = _search(t)
-    index = F.least(at, n - 2)
-    here, after = F.get(beats, index), F.get(beats, index + 1)
-    inside = (index + (t - here) / F.greatest(after - here, F.lit(LEAST_INTERVAL))) * F.lit(target)
-    beyond = (n - 1) * F.lit(target) + (t - last) * (F.lit(target) / F.greatest(last - before_last, F.lit(LEAST_LAST_INTERVAL)))
-    return F.when(t <= first, F.lit(0.0)).when(t >= last, beyond).otherwise(inside)
+def _warped(t: Column, target: float) -> Column:
+    """Time on the even grid, from the beat at or before it; unchanged where the file has fewer than two beats."""
+    beat = F.col("__beat")
+    inside = (beat["place"] + (t - beat["t"]) / F.greatest(beat["next_t"] - beat["t"], F.lit(LEAST_INTERVAL))) * F.lit(target)
+    beyond = (beat["n"] - 1) * F.lit(target) + (t - beat["last"]) * (F.lit(target) / F.greatest(beat["last"] - beat["before_last"], F.lit(LEAST_LAST_INTERVAL)))
+    even = F.when(t <= beat["first"], F.lit(0.0)).when(t >= beat["last"], beyond).otherwise(inside)
+    return F.when(beat["n"] >= 2, even).otherwise(t)
 
 
-def _search(t: Column) -> Column:
-    return F.size(F.filter("beats", lambda b: b <= t)) - 1
+def warp_times(rows: DataFrame, beats: DataFrame, columns: list[str], target_bpm: float = TARGET_BPM) -> DataFrame:
+    """Any table of file_id and times, such as control changes and pitch bends, with its times on the even grid."""
+    marks, out = beat_marks(beats), rows
+    for c in columns:
+        out = _marked(out, marks, c).withColumn(c, _warped(F.col(c), 60.0 / target_bpm)).select(*rows.columns)
+    return out
 
 
 def normalize_tempo(notes: DataFrame, beats: DataFrame, target_bpm: float = TARGET_BPM) -> DataFrame:
     """Warp times so that the beats are evenly spaced; files with fewer than two beats stay as they are."""
-    target = 60.0 / target_bpm
-    mapped = notes.join(beat_map(beats), "file_id", "left")
-    enough = F.size("beats") >= 2
-    start = F.when(enough, _warp(F.col("start_s"), target)).otherwise(F.col("start_s"))
-    end = F.when(enough, _warp(F.col("end_s"), target)).otherwise(F.col("end_s"))
-    warped = mapped.withColumns({"start_s": start, "end_s": end})
-    fixed = F.when(enough & (F.col("end_s") <= F.col("start_s")), F.col("start_s") + F.lit(LEAST_DURATION)).otherwise(F.col("end_s"))
-    return warped.withColumn("end_s", fixed).select(*notes.columns)
+    marks, target = beat_marks(beats), 60.0 / target_bpm
+    out = _marked(notes, marks, "start_s").withColumn("start_s", _warped(F.col("start_s"), target)).drop("__beat")
+    out = _marked(out, marks, "end_s").withColumn("end_s", _warped(F.col("end_s"), target))
+    turned = (F.col("__beat")["n"] >= 2) & (F.col("end_s") <= F.col("start_s"))
+    return out.withColumn("end_s", F.when(turned, F.col("start_s") + F.lit(LEAST_DURATION)).otherwise(F.col("end_s"))).select(*notes.columns)
 
 
 def time_to_beat(notes: DataFrame, beats: DataFrame) -> DataFrame:
     """The index of the last beat at or before each note, clamped to the last interval; -1 before the first beat."""
-    mapped = notes.join(beat_map(beats), "file_id")
-    index = F.least(_search(F.col("start_s")), F.size("beats") - 2).cast("long")
-    return mapped.select("file_id", "note_id", index.alias("beat"))
+    found = _marked(notes.select("file_id", "note_id", "start_s"), beat_marks(beats), "start_s").where("__beat is not null")
+    return found.select("file_id", "note_id", F.least(F.col("__beat.place"), F.col("__beat.n") - 2).cast("long").alias("beat"))
 
 
 def normalize_instruments(notes: DataFrame) -> DataFrame:
@@ -122,22 +128,19 @@ PERTURBATIONS = [
 def perturb(notes: DataFrame, tempos: DataFrame, beats: DataFrame) -> DataFrame:
     """All perturbations of every note in one plan: velocity, then grid, then tempo.
 
-    The notes are read, filtered and merged once; each note is multiplied by the
-    five constant perturbations inside its row.
+    Each note is multiplied by the five constant perturbations inside its row; those
+    that even the tempo meet the beats.
     """
     flags = F.array(*[F.struct(F.lit(n).alias("perturbation"), F.lit(v).alias("v"), F.lit(q).alias("q"), F.lit(t).alias("t")) for n, v, q, t in PERTURBATIONS])
-    base = normalize_instruments(filter_note_range(notes)).join(tempos, "file_id", "left").join(beat_map(beats), "file_id", "left")
+    base = normalize_instruments(filter_note_range(notes)).join(tempos, "file_id", "left")
     rows = base.select("*", F.inline(flags))
     rows = rows.withColumn("velocity", F.when(F.col("v"), flat_velocity(F.col("velocity"), F.col("is_drum"))).otherwise(F.col("velocity")))
     step = grid_step(F.col("tempo_bpm"))
     snap = lambda c: F.when(F.col("q"), F.rint(F.col(c) / step) * step).otherwise(F.col(c))
     rows = rows.withColumns({"start_s": snap("start_s"), "end_s": snap("end_s")})
     rows = rows.withColumn("end_s", F.when(F.col("q") & (F.col("end_s") <= F.col("start_s")), F.col("start_s") + step).otherwise(F.col("end_s")))
-    even = F.col("t") & (F.size("beats") >= 2)
-    warp = lambda c: F.when(even, _warp(F.col(c), 60.0 / TARGET_BPM)).otherwise(F.col(c))
-    rows = rows.withColumns({"start_s": warp("start_s"), "end_s": warp("end_s")})
-    rows = rows.withColumn("end_s", F.when(even & (F.col("end_s") <= F.col("start_s")), F.col("start_s") + F.lit(LEAST_DURATION)).otherwise(F.col("end_s")))
-    return rows.select("perturbation", "file_id", "note_id", "track", "is_drum", "pitch", "velocity", "start_s", "end_s")
+    rows = rows.select("perturbation", "file_id", "note_id", "track", "is_drum", "pitch", "velocity", "start_s", "end_s", "t")
+    return rows.where(~F.col("t")).unionByName(normalize_tempo(rows.where("t"), beats)).drop("t")
 
 
 def melodic(notes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ PITCH_CLASSES = ["C", "^C", "D", "^D", "E", "F", "^F", "G", "^G", "A", "^A", "B"
 BAR_DELIMITERS = r"(\|:|::|:\||\[\||\|\||\|\]|\|)"
 DELIMITER_LIST = ["|:", "::", ":|", "[|", "||", "|]", "|"]
 PAD, BOS, EOS, MASK = 0, 1, 2, 3
-MAX_GROUPS, MAX_PATCHES = 4096, 512
+MAX_GROUPS, MAX_PATCHES, PATCH = 4096, 512, 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -102,7 +103,7 @@ def abc_patches(texts: DataFrame, size: int, special: bool = False, truncate: bo
 def pack_messages(text: str, size: int) -> list[str]:
     """Greedy packing of message lines: a line joins the patch that begins with its type while there is room."""
     packed: list[str] = []
-    for line in text.splitlines(keepends=True):
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
         kind, _, payload = line.partition(" ")
         if packed and packed[-1].startswith(kind) and len(packed[-1]) + len(payload) <= size - 2:
             packed[-1] = packed[-1][:-1] + "\t" + payload
@@ -121,19 +122,6 @@ def message_patches(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("file_id", "text").mapInPandas(run, "file_id long, patch_idx long, patch string")
 
 
-def message_text(notes: DataFrame, tempos: DataFrame, ticks: int = 480, velocity: bool = True) -> DataFrame:
-    """One line per note event in time order, after a line with the resolution: file_id, text."""
-    tick = lambda c: F.rint(F.col(c) / (F.lit(60.0) / F.col("tempo_bpm") / F.lit(float(ticks)))).cast("long")
-    rows = notes.join(tempos, "file_id").select("file_id", "note_id", "pitch", "velocity", "is_drum", tick("start_s").alias("on"), tick("end_s").alias("off"))
-    channel = F.when(F.col("is_drum"), 9).otherwise(0)
-    event = lambda at, kind, order, v: F.struct(F.col(at).alias("at"), F.lit(order).alias("kind"), "pitch", "note_id", F.concat_ws(" ", F.lit(kind), channel.cast("string"), F.col("pitch").cast("string"), v).alias("line"))
-    strength = F.col("velocity").cast("string") if velocity else F.lit("64")
-    both = rows.select("file_id", F.explode(F.array(event("on", "note_on", 1, strength), event("off", "note_off", 0, F.lit("0")))).alias("e"))
-    body = both.groupBy("file_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    gaps = F.transform("es", lambda e, i: F.concat_ws(" ", e["line"], (e["at"] - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("es"), i - 1)["at"])).cast("string")))
-    return body.select("file_id", F.concat(F.lit(f"ticks_per_beat {ticks}\n"), F.array_join(gaps, "\n"), F.lit("\n")).alias("text"))
-
-
 # Event tokenizers -----------------------------------------------------------
 
 #: Grid, ranges and bins, and the first id of every event kind of the vocabulary.

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drift_atlas.operators import order
+
 #: Hex digits of a key by which a group's rows are counted before any are put in order.
 CUT_DIGITS = 2
 
@@ -91,7 +93,7 @@ def split_half(df: DataFrame, seed: str, keys: list[str], id_col: str = "row_id"
 
 def indexed(df: DataFrame, keys: list[str], id_col: str = "row_id") -> DataFrame:
     """Rows numbered from 0 within their group."""
-    return df.withColumn("idx", (F.row_number().over(Window.partitionBy(*keys).orderBy(id_col)) - 1).cast("long"))
+    return order.numbered(df, keys, id_col, "idx")
 
 
 def bootstrap(df: DataFrame, reps: int, seed: str, cap: int | None = None) -> DataFrame:

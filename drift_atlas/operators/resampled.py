@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drift_atlas.operators import distance as dist
+from drift_atlas.operators import order
 from drift_atlas.operators.moments import FAN_IN
 from drift_atlas.operators.weights import Counts
 
-#: Bits of the hash that make a bucket; rows of a table that is broadcast; rows folded at once; bytes of a partial.
-BUCKET_BITS, BROADCAST_ROWS, FOLD_ROWS, PARTIAL_BYTES = 10, 200_000, 1024, 4 << 20
+#: Bits of the hash that make a bucket; rows folded at once; bytes of a partial.
+BUCKET_BITS, FOLD_ROWS, PARTIAL_BYTES = 10, 1024, 4 << 20
 
 _PARTIAL = "key string, block int, pop int, part long, reps int, payload binary"
 _DISTANCE = "key string, rep long, fmd double"
@@ -226,9 +227,8 @@ def _dense(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sized_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """A join that broadcasts the table if it has few rows, which is counted first."""
-    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(table) if few else table, on)
+    """A join that broadcasts the table if it has few rows, which is checked."""
+    return rows.join(order.settled(table), on)
 
 
 def distances(rows: DataFrame, keys: list[str], plan: Plan, id_col: str = "row_id") -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drift_atlas.plans import distance_queries, note_queries, relation_queries, relational_queries, render_queries, study_queries
+from drift_atlas.plans import distance_queries, message_queries, note_queries, relation_queries, relational_queries, render_queries, study_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = [note_queries, distance_queries, render_queries, relational_queries, relation_queries, study_queries]
+FAMILIES = [note_queries, message_queries, distance_queries, render_queries, relational_queries, relation_queries, study_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

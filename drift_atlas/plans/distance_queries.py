@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from drift_atlas.operators import distance as dist
 from drift_atlas.operators import hypothesis as hyp
 from drift_atlas.operators import moments as mom
 from drift_atlas.operators import relations as rel
+from drift_atlas.operators import order
 from drift_atlas.operators import resample as rs
 from drift_atlas.sources import fixtures as fx
 
@@ -127,18 +125,7 @@ def m03(spark, sf):
 @query("m04_eigenvalue_trace")
 def m04(spark, sf):
     """Trace of the root of the product of two covariances, from eigenvalues clipped at 0."""
-    @F.pandas_udf(T.DoubleType())
-    def trace(ca: pd.Series, cb: pd.Series) -> pd.Series:
-        def one(x, y):
-            d = int(len(x) ** 0.5)
-            values = np.linalg.eigvals(np.nan_to_num(np.asarray(x).reshape(d, d)) @ np.nan_to_num(np.asarray(y).reshape(d, d))).real
-            return float(np.sqrt(np.clip(values, 0, None)).sum())
-
-        return pd.Series([one(x, y) for x, y in zip(ca, cb, strict=True)])
-
-    m = mom.full_moments(_sets(spark, sf))
-    a, b = (m.select(F.col("set_id").alias(s), F.col("cov").alias(f"cov_{s}")) for s in "ab")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(trace("cov_a", "cov_b"), 6).alias("root_trace"))
+    return _round(dist.root_traces(mom.full_moments(_sets(spark, sf))), "root_trace")
 
 
 _DIST = "sqrt(list_sum(list_transform(range(len(p.v)), lambda i: (p.v[i + 1] - q.v[i + 1]) * (p.v[i + 1] - q.v[i + 1]))))"
@@ -226,9 +213,7 @@ def cosine_shifts(original: DataFrame, changed: DataFrame) -> DataFrame:
 
 def corpus_scale(vectors: DataFrame) -> DataFrame:
     """Median cosine distance between distinct files of a set."""
-    a, b = (vectors.select("set_id", F.col("row_id").alias(f"r{s}"), F.col("embedding").alias(f"v{s}")) for s in "ab")
-    met = a.join(b, "set_id").where("ra < rb")
-    return met.groupBy("set_id").agg(F.median(dist.cosine_distance(F.col("va"), F.col("vb"), dist.PAIRED_EPS)).alias("scale"))
+    return order.median(order.PairDistances(vectors), "scale")
 
 
 _SHIFT = f", c AS (SELECT set_id, row_id, v AS v, {_PV} AS w2 FROM e), p AS (SELECT set_id, row_id, v FROM c), q AS (SELECT set_id, row_id, w2 AS v FROM c), sh AS (SELECT p.set_id, p.row_id, {_COS('p', 'q', '1e-12')} AS shift FROM p JOIN q ON p.set_id = q.set_id AND p.row_id = q.row_id)"
@@ -593,7 +578,7 @@ def q04_tests(spark, sf):
 
 @query("a10_median_shift", f"{_PSHIFT} SELECT set_id, condition, round(median(shift), 6) AS median_shift FROM ss GROUP BY set_id, condition")
 def a10(spark, sf):
-    return _round(paired_shifts(_sets(spark, sf)).groupBy("set_id", "condition").agg(F.median("shift").alias("median_shift")), "median_shift")
+    return _round(order.median(order.Rows(paired_shifts(_sets(spark, sf)), ["set_id", "condition"], "shift"), "median_shift"), "median_shift")
 
 
 @query("j07_control_contrast", f"""{_PSHIFT}, ex AS (SELECT a.set_id, a.row_id, a.condition, a.shift - b.shift AS excess FROM ss a JOIN ss b ON a.set_id = b.set_id AND a.row_id = b.row_id AND b.condition = '__retest__' WHERE a.condition <> '__retest__')

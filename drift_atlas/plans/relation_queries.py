@@ -68,15 +68,6 @@ def p17(spark, sf):
     return _asked(spark, sf).select("c_custkey", enc.requires_notes(enc.default_format(F.col("model"))).alias("needs"))
 
 
-_KINDS = ["note_on", "set_tempo", "track_name", "lyrics", "end_of_track", "marker", "time_signature", "copyright", "text", "program_change", "cue_marker", "instrument_name", "device_name"]
-
-
-@query("p20_meta_filter", f"WITH k AS (SELECT event_id, [{', '.join(repr(k) for k in _KINDS)}][1 + event_id % {len(_KINDS)}] AS type FROM events) SELECT event_id, type FROM k WHERE type IN ('note_on', 'set_tempo', 'end_of_track', 'time_signature', 'program_change')")
-def p20(spark, sf):
-    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % len(_KINDS)).cast("int"))
-    return rel.music_messages(fx.load(spark, sf, "events").select("event_id", kind.alias("type")))
-
-
 @query("p22_nan_removal", f"WITH q AS {_Q2}, v AS (SELECT configuration, CASE WHEN dataset_a = 0 THEN CAST('NaN' AS DOUBLE) ELSE fmd END AS fmd FROM q) SELECT configuration, count(*) AS n, round(avg(fmd), 4) AS mean, round(min(fmd), 4) AS least FROM v WHERE NOT isnan(fmd) GROUP BY configuration")
 def p22(spark, sf):
     """Distances to a broken set are NaN and must not reach the statistics."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from drift_atlas.operators import chain
 from drift_atlas.operators import distance as dist
 from drift_atlas.operators import encoders as enc
+from drift_atlas.operators import messages as ms
 from drift_atlas.operators import moments as mom
 from drift_atlas.operators import notes as note_ops
 from drift_atlas.operators import rendering as rd
@@ -15,7 +16,7 @@ from drift_atlas.sources import fixtures as fx
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-PATCH = 64
+PATCH = rd.PATCH
 
 
 def query(name: str, sql: str | None = None):
@@ -128,16 +129,6 @@ def t23(spark, sf):
     return out.select("file_id", "patch_idx", F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"))
 
 
-@query("t23_message_patches")
-def t23_messages(spark, sf):
-    return rd.message_patches(rd.message_text(*_notes(spark, sf)), PATCH)
-
-
-@query("t18_message_text")
-def t18(spark, sf):
-    return rd.message_text(*_notes(spark, sf))
-
-
 @query("t24_patch_tensor")
 def t24(spark, sf):
     """Patches of a file as one nested array, cut to the limit."""
@@ -278,7 +269,7 @@ def e06(spark, sf):
 
 @query("e07_encode_message_patches")
 def e07(spark, sf):
-    patches = rd.message_patches(rd.message_text(*_notes(spark, sf)), PATCH).withColumn("codes", rd.bar_patch(F.col("patch"), PATCH))
+    patches = rd.message_patches(ms.text(fx.messages(fx.notes(spark, sf))), PATCH).withColumn("codes", rd.bar_patch(F.col("patch"), PATCH))
     items = patches.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("patch_idx", "codes"))), lambda p: p["codes"]).alias("patches"))
     return _shown(enc.encode(items, "patches-messages"))
 
@@ -315,7 +306,7 @@ def e11_all(spark, sf):
     rows, tempo = _notes(spark, sf)
     embedded = chain.perturbed_embeddings(rows, tempo, fx.beats(rows), {"bars": ("patches-bars", None), "remi": ("tokens", "REMI")}, PATCH)
     sets = tempo.select("file_id", (F.col("file_id") % 2).cast("long").alias("set_id"), F.col("file_id").alias("row_id"))
-    out = chain.perturbation_study(embedded, sets, "original", 5)
+    out = chain.perturbation_study(embedded, sets, "original", 5, 5, 9)
     return out.select("dataset", "configuration", "perturbation", (F.col("fmd_vs_original") < 1e-9).alias("unmoved"))
 
 

@@ -42,6 +42,22 @@ def beats(notes_df: DataFrame) -> DataFrame:
     return grid.select("file_id", F.col("k").cast("long").alias("k"), (F.col("k") * F.lit(60.0) / F.col("tempo_bpm") + jitter).alias("t"))
 
 
+def messages(notes_df: DataFrame) -> DataFrame:
+    """The message table of the derived files: their notes, and pedals, bends, lyrics and program changes at some of them."""
+    from drift_atlas.operators import messages as ms
+
+    channel, note = F.when(F.col("is_drum"), ms.DRUM_CHANNEL).otherwise(0), F.col("note_id")
+    some = lambda test, time, m: F.when(test, F.struct(F.col(time).alias("time_s"), m.alias("message")))
+    extra = F.array(
+        some(note % 16 == 0, "start_s", ms.message("control_change", channel=channel, control=64, value=note % 128)),
+        some(note % 24 == 5, "end_s", ms.message("pitchwheel", channel=channel, pitch=note % 4096 - 2048)),
+        some(note % 10 == 3, "start_s", ms.message("lyrics", text=F.concat(F.lit("la"), note))),
+        some(note % 50 == 7, "start_s", ms.message("program_change", channel=channel, program=note % 128)),
+    )
+    rows = notes_df.select("file_id", "track", note.alias("tie"), F.explode(F.filter(extra, lambda x: x.isNotNull())).alias("x")).select("file_id", "track", "tie", "x.*")
+    return ms.of_notes(notes_df, tempos(notes_df), rows)
+
+
 def embedding_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with the set they belong to: set_id, row_id, embedding (doubles)."""
     rows = load(spark, sf_dir, "embeddings")
@@ -74,6 +90,27 @@ beats AS (
   SELECT file_id, k, k * CAST(60 AS DOUBLE) / tempo_bpm + CAST(0.01 AS DOUBLE) * ((k * 7) % 5) AS t
   FROM (SELECT DISTINCT file_id, tempo_bpm FROM n) f, (SELECT unnest(range(64)) AS k) r)"""
 
+_TICK = lambda t: f"CAST(round_even({t} / (CAST(60 AS DOUBLE) / tempo_bpm / CAST(480 AS DOUBLE)), 0) AS BIGINT)"
+
+MESSAGES_CTE = f"""
+nc AS (SELECT *, CASE WHEN is_drum THEN 9 ELSE 0 END AS ch, {_TICK('start_s')} AS on_tick, {_TICK('end_s')} AS off_tick FROM n),
+mr AS (
+  SELECT file_id, track, on_tick AS tick, 8 AS o, note_id AS tie, 'note_on' AS type, false AS is_meta, ch || ' ' || pitch || ' ' || velocity AS vals FROM nc
+  UNION ALL SELECT file_id, track, off_tick, 7, note_id, 'note_on', false, ch || ' ' || pitch || ' 0' FROM nc
+  UNION ALL SELECT DISTINCT file_id, track, 0, 0, 0, 'track_name', true, track FROM nc
+  UNION ALL SELECT DISTINCT file_id, track, 0, 4, 0, 'program_change', false, ch || ' 0' FROM nc
+  UNION ALL SELECT DISTINCT file_id, NULL, 0, 1, 0, 'set_tempo', true, CAST(CAST(round_even(CAST(60000000 AS DOUBLE) / tempo_bpm, 0) AS BIGINT) AS VARCHAR) FROM nc
+  UNION ALL SELECT DISTINCT file_id, NULL, 0, 2, 0, 'time_signature', true, '4 4 24 8' FROM nc
+  UNION ALL SELECT file_id, track, on_tick, 6, note_id, 'control_change', false, ch || ' 64 ' || (note_id % 128) FROM nc WHERE note_id % 16 = 0
+  UNION ALL SELECT file_id, track, off_tick, 5, note_id, 'pitchwheel', false, ch || ' ' || (note_id % 4096 - 2048) FROM nc WHERE note_id % 24 = 5
+  UNION ALL SELECT file_id, track, on_tick, 3, note_id, 'lyrics', true, 'la' || note_id FROM nc WHERE note_id % 10 = 3
+  UNION ALL SELECT file_id, track, on_tick, 4, note_id, 'program_change', false, ch || ' ' || (note_id % 128) FROM nc WHERE note_id % 50 = 7),
+mt AS (SELECT * FROM mr UNION ALL SELECT file_id, track, max(tick), 9, 0, 'end_of_track', true, '' FROM mr GROUP BY file_id, track),
+ms AS (SELECT *, dense_rank() OVER (PARTITION BY file_id ORDER BY track NULLS FIRST) - 1 AS track_idx, row_number() OVER (PARTITION BY file_id, track ORDER BY tick, o, tie) - 1 AS seq FROM mt),
+mg AS (SELECT *, tick - coalesce(lag(tick) OVER (PARTITION BY file_id ORDER BY tick, track_idx, seq), 0) AS delta FROM (
+  SELECT file_id, track_idx, seq, tick, type, is_meta, vals FROM ms WHERE type <> 'end_of_track'
+  UNION ALL SELECT file_id, 1 << 30, 0, max(tick), 'end_of_track', true, '' FROM ms GROUP BY file_id))"""
+
 SETS_CTE = """
 e AS (SELECT CAST(label AS BIGINT) AS set_id, vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS v,
              CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 from collections.abc import Iterator
 
@@ -50,8 +51,8 @@ def _events(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             at += size
 
 
-def parse(data: bytes) -> list[dict]:
-    """Notes of a file in seconds, by track and start. ValueError for what is no MIDI file."""
+def _tracks(data: bytes) -> tuple[int, list[list[tuple[int, int, bytes]]]]:
+    """Ticks of a quarter note, and the events of every track. ValueError for what is no MIDI file."""
     if data[:4] != b"MThd" or len(data) < 14:
         raise ValueError("not a MIDI file")
     size, _, tracks, division = struct.unpack(">IHHH", data[4:14])
@@ -64,15 +65,22 @@ def parse(data: bytes) -> list[dict]:
         length = struct.unpack(">I", data[at + 4 : at + 8])[0]
         parsed.append(list(_events(data[at + 8 : at + 8 + length])))
         at += 8 + length
+    return division, parsed
+
+
+def parse(data: bytes) -> list[dict]:
+    """Notes of a file in seconds, by track and start; a note has the program that its channel has when the note ends."""
+    division, parsed = _tracks(data)
     tempos = sorted((t, int.from_bytes(d[1:4], "big")) for events in parsed for t, s, d in events if s == 0xFF and d[:1] == b"\x51")
     changes, seconds, last, us = [(0, 0.0, DEFAULT_TEMPO_US)], 0.0, 0, DEFAULT_TEMPO_US
     for tick, tempo in tempos:
         seconds += (tick - last) * us / 1e6 / division
         last, us = tick, tempo
         changes.append((tick, seconds, us))
+    ticks = [c[0] for c in changes]
 
     def when(tick: int) -> float:
-        base = next(c for c in reversed(changes) if c[0] <= tick)
+        base = changes[bisect.bisect_right(ticks, tick) - 1]
         return base[1] + (tick - base[0]) * base[2] / 1e6 / division
 
     out = []
@@ -88,12 +96,102 @@ def parse(data: bytes) -> list[dict]:
                 sounding.setdefault((channel, d[0]), []).append((tick, d[1]))
             elif kind in (0x80, 0x90):
                 for start, velocity in sounding.pop((channel, d[0]), []):
-                    notes.append((start, d[0], tick, velocity, channel))
-        for n, (start, pitch, end, velocity, channel) in enumerate(sorted(notes)):
-            out.append({"track_idx": k, "program": program.get(channel, 0), "is_drum": channel == DRUM_CHANNEL, "note_idx": n, "pitch": pitch, "velocity": velocity, "start_s": when(start), "end_s": when(end)})
+                    notes.append((start, d[0], tick, velocity, channel, program.get(channel, 0)))
+        for n, (start, pitch, end, velocity, channel, held) in enumerate(sorted(notes)):
+            out.append({"track_idx": k, "program": held, "is_drum": channel == DRUM_CHANNEL, "note_idx": n, "pitch": pitch, "velocity": velocity, "start_s": when(start), "end_s": when(end)})
+    return out
+
+
+MESSAGE_SCHEMA = "path string, track_idx int, seq int, tick long, type string, is_meta boolean, fields array<struct<name:string,value:string>>, ticks_per_beat int"
+
+#: Fixed values of the format: channel messages by the upper half of their status, and meta messages by their type, each with its fields.
+CHANNEL_MESSAGES = {
+    0x80: ("note_off", ["note", "velocity"]), 0x90: ("note_on", ["note", "velocity"]), 0xA0: ("polytouch", ["note", "value"]),
+    0xB0: ("control_change", ["control", "value"]), 0xC0: ("program_change", ["program"]), 0xD0: ("aftertouch", ["value"]), 0xE0: ("pitchwheel", ["pitch"]),
+}
+META_MESSAGES = {
+    0x00: ("sequence_number", ["number"]), 0x01: ("text", ["text"]), 0x02: ("copyright", ["text"]), 0x03: ("track_name", ["name"]), 0x04: ("instrument_name", ["name"]),
+    0x05: ("lyrics", ["text"]), 0x06: ("marker", ["text"]), 0x07: ("cue_marker", ["text"]), 0x09: ("device_name", ["name"]), 0x20: ("channel_prefix", ["channel"]), 0x21: ("midi_port", ["port"]),
+    0x2F: ("end_of_track", []), 0x51: ("set_tempo", ["tempo"]), 0x58: ("time_signature", ["numerator", "denominator", "clocks_per_click", "notated_32nd_notes_per_beat"]), 0x59: ("key_signature", ["key"]), 0x7F: ("sequencer_specific", ["data"]),
+}
+_TEXTS = {"text", "copyright", "track_name", "instrument_name", "lyrics", "marker", "cue_marker", "device_name"}
+
+
+def _key_name(sharps: int, minor: int) -> str:
+    """The key with so many sharps (flats, if negative), by the circle of fifths."""
+    octave, letter = divmod(sharps + (4 if minor else 1), 7)
+    return "FCGDAEB"[letter] + "#" * octave + "b" * -octave + "m" * minor
+
+
+def _meta_values(kind: str, data: bytes) -> list[str]:
+    if kind in _TEXTS:
+        return [data.decode("latin-1")]
+    if kind == "time_signature":
+        return [str(data[0]), str(1 << data[1]), str(data[2]), str(data[3])]
+    if kind == "key_signature":
+        return [_key_name(struct.unpack("b", data[:1])[0], data[1])]
+    if kind == "sequencer_specific":
+        return [str(tuple(data))]
+    return [str(int.from_bytes(data, "big"))]
+
+
+def messages(data: bytes) -> list[dict]:
+    """All messages of a file but system exclusive ones: track, place in it, tick, type and fields in the order of the format."""
+    division, parsed = _tracks(data)
+    out = []
+    for k, events in enumerate(parsed):
+        for n, (tick, status, d) in enumerate(events):
+            if status == 0xFF:
+                kind, names = META_MESSAGES.get(d[0], ("unknown_meta", ["type_byte", "data"]))
+                values = [str(d[0]), str(tuple(d[1:]))] if kind == "unknown_meta" else _meta_values(kind, d[1:]) if names else []
+            else:
+                kind, names = CHANNEL_MESSAGES[status & 0xF0]
+                names = ["channel", *names]
+                values = [str(status & 0x0F), *([str((d[1] << 7 | d[0]) - 8192)] if kind == "pitchwheel" else map(str, d))]
+            out.append({"track_idx": k, "seq": n, "tick": tick, "type": kind, "is_meta": status == 0xFF, "fields": [{"name": a, "value": b} for a, b in zip(names, values)], "ticks_per_beat": division})
     return out
 
 
+def load_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of all MIDI files of a folder; files that are not MIDI are left out."""
+    return _parsed(spark, folder, messages, MESSAGE_SCHEMA)
+
+
+_STATUS = {name: status for status, (name, _) in CHANNEL_MESSAGES.items()}
+_META_TYPE = {name: kind for kind, (name, _) in META_MESSAGES.items()}
+
+
+def _message_bytes(kind: str, values: list[str]) -> bytes:
+    """One message, without its gap. Key signatures and data of unknown form can't be written."""
+    if kind in _STATUS:
+        channel, *rest = map(int, values)
+        body = [(rest[0] + 8192) & 0x7F, (rest[0] + 8192) >> 7] if kind == "pitchwheel" else rest
+        return bytes([_STATUS[kind] | channel, *body])
+    if kind in _TEXTS:
+        body = values[0].encode("latin-1", "replace")
+    elif kind == "time_signature":
+        body = bytes([int(values[0]), int(values[1]).bit_length() - 1, int(values[2]), int(values[3])])
+    elif kind == "end_of_track":
+        body = b""
+    else:
+        width = {"set_tempo": 3, "sequence_number": 2}.get(kind, 1)
+        body = int(values[0]).to_bytes(width, "big")
+    return bytes([0xFF, _META_TYPE[kind]]) + _as_varlen(len(body)) + body
+
+
+def write_messages(rows: list[dict], division: int = 480) -> bytes:
+    """A file of messages (track_idx, seq, tick, type, fields); every track ends with an end_of_track, made if there is none."""
+    tracks = []
+    for k in sorted({r["track_idx"] for r in rows}):
+        body, last, kind = b"", 0, ""
+        for r in sorted((r for r in rows if r["track_idx"] == k), key=lambda r: (r["tick"], r["seq"])):
+            kind = r["type"]
+            body += _as_varlen(r["tick"] - last) + _message_bytes(kind, [f["value"] for f in r["fields"]])
+            last = r["tick"]
+        tracks.append(body if kind == "end_of_track" else body + b"\x00\xff\x2f\x00")
+    return b"MThd" + struct.pack(">IHHH", 6, 1, len(tracks), division) + b"".join(b"MTrk" + struct.pack(">I", len(t)) + t for t in tracks)
+
+
 def _as_varlen(value: int) -> bytes:
     out = bytearray([value & 0x7F])
     while value := value >> 7:
@@ -122,22 +220,25 @@ def write(notes: list[dict], division: int = 480, tempo_bpm: float = 120.0) -> b
     return head + b"".join(b"MTrk" + struct.pack(">I", len(t)) + t for t in tracks)
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame:
-    """Notes of all MIDI files of a folder, read by Spark; files that are not MIDI are left out."""
+def _parsed(spark: SparkSession, folder: str, parser, schema: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mid*").load(folder).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in NOTE_SCHEMA.split(", ")]
+        names = [c.split(" ")[0] for c in schema.split(", ")]
         for batch in batches:
-            rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    rows += [{"path": path, **n} for n in parse(bytes(content))]
-                except (ValueError, IndexError, struct.error):
+                    rows = [{"path": path, **n} for n in parser(bytes(content))]
+                except (ValueError, IndexError, KeyError, struct.error):
                     continue
-            yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame(rows, columns=names)
+
+    return files.mapInPandas(run, schema)
 
-    return files.mapInPandas(run, NOTE_SCHEMA)
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes of all MIDI files of a folder, read by Spark; files that are not MIDI are left out."""
+    return _parsed(spark, folder, parse, NOTE_SCHEMA)
 
 
 def save(notes: DataFrame, folder: str) -> DataFrame:

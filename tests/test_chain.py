@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from drift_atlas.operators import chain
+from drift_atlas.sources.staging import staged
 from drift_atlas.sources import metadata, midi
 
 
@@ -21,11 +22,12 @@ def test_files_to_study(spark, tmp_path):
     files = table.select("file_id").distinct()
     tempos = files.withColumn("tempo_bpm", F.lit(100.0))
     beats = files.select("file_id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k")).select("file_id", F.col("k").cast("long").alias("k"), (F.col("k") * 0.6 + 0.02 * (F.col("k") % 3)).alias("t"))
-    embedded = chain.perturbed_embeddings(table, tempos, beats, {"bars": ("patches-bars", None), "remi": ("tokens", "REMI")}).persist()
+    embedded = chain.perturbed_embeddings(table, tempos, beats, {"bars": ("patches-bars", None), "remi": ("tokens", "REMI")})
+    embedded = staged(embedded, "embedded")
     names = {r.perturbation for r in embedded.select("perturbation").distinct().collect()}
     assert embedded.count() == 24 * 2 * len(names)
     sets = files.select("file_id", F.regexp_extract("file_id", r"/d(\d)/", 1).cast("long").alias("set_id"), F.regexp_extract("file_id", r"f(\d+)\.mid", 1).cast("long").alias("row_id"))
-    out = {(r.dataset, r.configuration, r.perturbation): r for r in chain.perturbation_study(embedded, sets, "original", 5).collect()}
+    out = {(r.dataset, r.configuration, r.perturbation): r for r in chain.perturbation_study(embedded, sets, "original", 5, 5, 9).collect()}
     assert set(out) == {(d, c, p) for d in (0, 1) for c in ("bars", "remi") for p in names - {"original"}}
     for d in (0, 1):
         # ABC text has no velocities: equal vectors, summed in another order.

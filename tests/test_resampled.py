@@ -83,7 +83,8 @@ def resamples(rows, plan):
 @pytest.mark.parametrize("plan", [Plan("halves", 9, "t"), Plan("drawn", 7, "t"), Plan("drawn", 7, "t", cap=20), Plan("relabelled", 11, "t")], ids=lambda p: f"{p.kind}-{p.cap}")
 def test_distances_of_resamples(both, plan, monkeypatch):
     """Rows that are folded in small steps, partials of few repetitions, and merges in a tree change nothing."""
-    monkeypatch.setattr(resampled, "BROADCAST_ROWS", 3 if plan.cap else 1000)
+    settled = resampled.order.settled
+    monkeypatch.setattr(resampled.order, "settled", lambda table: settled(table, 3 if plan.cap else 1000))
     want = resamples(both, plan)
     got = {}
     for r in resampled.distances(both, ["configuration", "set_id"], plan).collect():
