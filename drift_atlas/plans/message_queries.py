@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from drift_atlas.operators import messages as ms
 from drift_atlas.operators import rendering as rd
 from drift_atlas.operators.relations import TEXT_META, music_messages
 from drift_atlas.plans.note_queries import _warp_sql
+from drift_atlas.sources import committed, midi
 from drift_atlas.sources import fixtures as fx
-from drift_atlas.sources import midi
+from drift_atlas.sources.staging import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -55,6 +58,19 @@ def s07_round_trip(spark, sf):
     return _messages(spark, sf).groupBy("file_id").applyInPandas(run, "file_id long, type string, n long, ticks long, numbers long")
 
 
+@query("s08_midi_sink", f"{_MS} SELECT file_id, type, count(*) AS n, CAST(sum(tick) AS BIGINT) AS ticks FROM ms GROUP BY file_id, type")
+def s08(spark, sf):
+    """Every file written as a MIDI file through the committing sink, found again by Spark and parsed."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"name": [f"{int(group['file_id'].iloc[0]) % 10}/{group['file_id'].iloc[0]}.mid"], "content": [midi.write_messages(group.to_dict("records"))]})
+
+    folder = f"{shared_folder(spark)}/midi-{uuid.uuid4().hex}"
+    committed.save_files(_messages(spark, sf).groupBy("file_id").applyInPandas(run, "name string, content binary"), folder)
+    parsed = midi.load_messages(spark, folder).withColumn("file_id", F.regexp_extract("path", r"/(\d+)\.mid$", 1).cast("long"))
+    return parsed.groupBy("file_id", "type").agg(F.count("*").alias("n"), F.sum("tick").alias("ticks"))
+
+
 @query("s07_programs_of_notes", f"""{_MS}, pn AS (SELECT *, CAST(string_split(vals, ' ')[1] AS BIGINT) AS c, CAST(string_split(vals, ' ')[2] AS BIGINT) AS v FROM ms WHERE type IN ('note_on', 'program_change')),
 pl AS (SELECT *, last_value(CASE WHEN type = 'program_change' THEN v END IGNORE NULLS) OVER (PARTITION BY file_id, track_idx, c ORDER BY tick, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM pn)
 SELECT file_id, track_idx, seq, CAST(v AS INTEGER) AS note, CAST(coalesce(p, 0) AS INTEGER) AS program FROM pl WHERE type = 'note_on' AND string_split(vals, ' ')[3] <> '0'""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,10 +12,12 @@ from drift_atlas.functions import scalar as sc
 from drift_atlas.operators import encoders as enc
 from drift_atlas.operators import moments as mom
 from drift_atlas.plans import distance_queries as dq
+from drift_atlas.sources import committed
 from drift_atlas.sources import fixtures as fx
 from drift_atlas.sources import listing as ls
 from drift_atlas.sources import metadata as md
 from drift_atlas.sources import midi
+from drift_atlas.sources.staging import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -130,6 +134,17 @@ def s15(spark, sf):
     return ls.copy_plan(files, present).select("dataset", "target", "path", "size_bytes")
 
 
+@query("s15_copy_files", f"{_F}, nm AS (SELECT 'd' || (file_id % 3) || '/' || file_id || '.html' AS name, p.html FROM files JOIN pages p ON p.page_id = file_id) SELECT name, CAST(strlen(html) AS BIGINT) AS size_bytes, md5(html) AS digest FROM nm WHERE html <> '' AND (name LIKE 'd1/%' OR name LIKE 'd2/%')")
+def s15_copy(spark, sf):
+    """Pages as files, and those of two datasets copied by a plan to another folder, as they are found there."""
+    base = f"{shared_folder(spark)}/copies-{uuid.uuid4().hex}"
+    name = F.concat(F.lit("d"), F.col("page_id") % 3, F.lit("/"), F.col("page_id"), F.lit(".html"))
+    committed.save_files(fx.load(spark, sf, "pages").select(name.alias("name"), F.encode("html", "UTF-8").alias("content")), f"{base}/from")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/from").select(F.col("path").alias("source"), F.substring_index("path", "/", -2).alias("name"))
+    committed.copy_files(there.where("not name like 'd0/%'"), f"{base}/to")
+    return committed.read_files(spark, f"{base}/to").select("name", F.octet_length("content").cast("long").alias("size_bytes"), F.md5("content").alias("digest"))
+
+
 QUERIES["j13_copied_skip"], SQL["j13_copied_skip"] = QUERIES["s15_copy_plan"], SQL["s15_copy_plan"]
 
 
