@@ -75,8 +75,27 @@ class ProjectionEncoder:
         return out / np.where(length > 0, length, 1) if self.normalize else out
 
 
+@dataclass(frozen=True)
+class HistogramEncoder:
+    """Shares of the codes that fall on each remainder by the dimension: an embedding that any engine can compute."""
+
+    name: str
+    dim: int = 64
+
+    def encode(self, codes: np.ndarray) -> np.ndarray:
+        """codes: patches x positions. An item without patches is the zero vector."""
+        return self.encode_batch(codes, np.array([0, len(codes)]))[0]
+
+    def encode_batch(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(ends) - 1
+        owner = np.repeat(np.arange(n), np.diff(ends))[:, None] * self.dim
+        counts = np.bincount((owner + codes % self.dim).ravel(), minlength=n * self.dim).reshape(n, self.dim) if codes.size else np.zeros((n, self.dim))
+        return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+
+
 #: Name to encoder: the token-like ones keep the scale, the patch-like ones are on the unit sphere.
 REGISTRY: dict[str, Encoder] = {
+    "histogram": HistogramEncoder("histogram"),
     "tokens": ProjectionEncoder("tokens", classes=1024),
     "tokens-large": ProjectionEncoder("tokens-large", dim=96, classes=1024),
     "text": ProjectionEncoder("text"),
@@ -149,16 +168,3 @@ def content_key(items: DataFrame, model: str, codes_col: str = "patches") -> Dat
     """Add the cache key of every item: the model and a hash of what is really encoded."""
     text = F.to_json(F.col(codes_col))
     return items.withColumns({"model": F.lit(model), "content_hash": F.md5(F.coalesce(text, F.lit("")).cast("binary"))})
-
-
-def encode_cached(items: DataFrame, cache: DataFrame, model: str, id_col: str = "file_id", codes_col: str = "patches") -> tuple[DataFrame, DataFrame]:
-    """Embed what the cache does not hold: all embeddings by id, and the new cache rows.
-
-    The cache has model, content_hash and embedding. Items of equal content are encoded once.
-    """
-    keyed = content_key(items, model, codes_col)
-    known = cache.where(F.col("model") == model).select("content_hash", "embedding")
-    misses = keyed.join(known, "content_hash", "left_anti").groupBy("content_hash").agg(F.first(codes_col).alias(codes_col))
-    made = encode(misses, model, "content_hash", codes_col)
-    all_rows = keyed.select(id_col, "content_hash").join(known.unionByName(made), "content_hash").select(id_col, "embedding")
-    return all_rows, made.select(F.lit(model).alias("model"), "content_hash", "embedding")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from drift_atlas.operators import messages as ms
 from drift_atlas.operators import moments as mom
 from drift_atlas.operators import notes as note_ops
 from drift_atlas.operators import rendering as rd
+from drift_atlas.operators.cache import EmbeddingStore, encode_through
 from drift_atlas.sources import fixtures as fx
+from drift_atlas.sources.staging import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -274,15 +278,27 @@ def e07(spark, sf):
     return _shown(enc.encode(items, "patches-messages"))
 
 
-@query("e10_extract_with_cache", " SELECT DISTINCT file_id, true AS same FROM n")
+_SHARES = f"{_token_sql('REMI')}, tz AS (SELECT file_id, list_slice(string_split(tokens, ' '), 1, 512) AS ts FROM tk), tc AS (SELECT file_id, CAST(unnest(ts) AS BIGINT) % 64 AS i, len(ts) AS k FROM tz)"
+
+
+@query("e02_encode_histogram", f"{_SHARES} SELECT file_id, i, round(count(*) / CAST(max(k) AS DOUBLE), 4) AS share FROM tc GROUP BY file_id, i")
+def e02_histogram(spark, sf):
+    """Token lists through an encoder that SQL can follow: its coordinates that are not 0."""
+    out = enc.encode(token_items(spark, sf), "histogram").select("file_id", F.posexplode("embedding").alias("i", "share"))
+    return out.where("share > 0").select("file_id", F.col("i").cast("long").alias("i"), F.round(F.col("share").cast("double"), 4).alias("share"))
+
+
+@query("e10_extract_with_cache", f"""{_SHARES}, hs AS (SELECT file_id, i, count(*) AS c, max(k) AS k FROM tc GROUP BY file_id, i), dg AS (SELECT file_id, md5(string_agg(i || ':' || CAST(CAST(round(c * CAST(10000 AS DOUBLE) / k, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY i)) AS digest FROM hs GROUP BY file_id),
+ct AS (SELECT count(DISTINCT CASE WHEN file_id % 2 = 0 THEN ts END) AS evens, count(DISTINCT ts) AS every FROM tz)
+SELECT file_id, digest, evens AS encoded_first, every - evens AS encoded_second, 0 AS encoded_third FROM dg, ct""")
 def e10(spark, sf):
-    """Embeddings from the cache equal fresh ones; half of the items are in the cache."""
+    """Embeddings through a store that outlives its plans: half of the items, then all, then all again, which encodes nothing."""
     items = token_items(spark, sf)
-    fresh = enc.encode(items, "tokens").withColumnRenamed("embedding", "fresh")
-    keyed = enc.content_key(items, "tokens").where("file_id % 2 = 0").select("file_id", "model", "content_hash")
-    cache = keyed.join(fresh, "file_id").select("model", "content_hash", F.col("fresh").alias("embedding")).dropDuplicates(["content_hash"])
-    cached, _ = enc.encode_cached(items, cache, "tokens")
-    return cached.join(fresh, "file_id").select("file_id", (F.col("embedding") == F.col("fresh")).alias("same"))
+    store = EmbeddingStore(spark, f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}")
+    counts = [encode_through(part, store, "histogram")[1] for part in (items.where("file_id % 2 = 0"), items)]
+    found, last = encode_through(items, store, "histogram")
+    part = F.transform(F.filter(F.transform("embedding", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda p: p["v"] > 0), lambda p: F.concat(p["i"], F.lit(":"), F.round(p["v"].cast("double") * 10000).cast("long")))
+    return found.select("file_id", F.md5(F.array_join(part, ",").cast("binary")).alias("digest"), *[F.lit(n).cast("long").alias(f"encoded_{k}") for k, n in zip(("first", "second", "third"), (*counts, last))])
 
 
 QUERIES["s26_embedding_cache"], SQL["s26_embedding_cache"] = QUERIES["e10_extract_with_cache"], SQL["e10_extract_with_cache"]
