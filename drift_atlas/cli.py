@@ -1,4 +1,4 @@
-"""Command line: run studies and single queries, list what there is, or show a demonstration."""
+"""Command line: run studies, configured studies and single queries, list what there is, or show a demonstration."""
 
 from __future__ import annotations
 
@@ -43,9 +43,10 @@ def demo(spark: SparkSession) -> float:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="drift_atlas", description=__doc__)
-    parser.add_argument("mode", choices=["study", "query", "list", "demo"])
-    parser.add_argument("names", nargs="*", help="queries to run")
-    parser.add_argument("--data", help="folder of the tables")
+    parser.add_argument("mode", choices=["study", "run", "query", "list", "demo"])
+    parser.add_argument("names", nargs="*", help="queries to run, or steps of a configured study")
+    parser.add_argument("--data", help="folder of the tables; for run, the table of vectors")
+    parser.add_argument("--config", help="TOML or JSON file of a configured study")
     parser.add_argument("--out")
     args = parser.parse_args(argv)
     if args.mode == "list":
@@ -55,10 +56,18 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.mode in ("study", "query") and not args.data:
         parser.error("--data names the folder of the tables")
+    if args.mode == "run" and not (args.data and args.config and args.out):
+        parser.error("run takes --data, --config and --out")
     spark = SparkSession.builder.appName("drift_atlas").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.mode == "demo":
         print(f"{demo(spark):.6f}")
         return 0
+    if args.mode == "run":
+        from drift_atlas.operators import compiled
+
+        report = compiled.Study(compiled.load(args.config), spark.read.parquet(args.data), args.out).run(args.names)
+        print("\n".join(" ".join(filter(None, (r["status"], r["step"], r["dataset"], r["configuration"], r["problem"]))) for r in report))
+        return int(any(r["status"] in ("failed", "blocked") for r in report))
     return int(bool(run_steps(spark, args.data, STUDY if args.mode == "study" else args.names, args.out)))
 
 

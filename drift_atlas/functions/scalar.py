@@ -20,12 +20,6 @@ def bold_if(test: Column, text: Column) -> Column:
     return F.when(test, F.concat(F.lit("\\textbf{"), text, F.lit("}"))).otherwise(text)
 
 
-def ascii_fold(text: Column) -> Column:
-    """Common accented letters without their accents; other characters beyond ASCII become ?."""
-    plain = F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
-    return F.regexp_replace(F.replace(plain, F.lit("ß"), F.lit("ss")), r"[^\x00-\x7F]", "?")
-
-
 def half_even(value: Column) -> Column:
     """The nearest integer, halves to the even one."""
     return F.rint(value).cast("long")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drift_atlas.functions.transliterate import to_ascii
+
 #: Fixed values of the formats.
 PITCH_CLASSES = ["C", "^C", "D", "^D", "E", "F", "^F", "G", "^G", "A", "^A", "B"]
 BAR_DELIMITERS = r"(\|:|::|:\||\[\||\|\||\|\]|\|)"
@@ -81,8 +83,8 @@ def bar_patch(bar: Column, size: int) -> Column:
 
 
 def abc_patches(texts: DataFrame, size: int, special: bool = False, truncate: bool = True) -> DataFrame:
-    """Patches of ABC text: header lines whole, other lines by bars; file_id, patch_idx, codes."""
-    lines = F.filter(F.regexp_extract_all("abc", F.lit(r"[^\n]*\n|[^\n]+$"), 0), lambda x: x != "")
+    """Patches of ABC text, in ASCII: header lines whole, other lines by bars; file_id, patch_idx, codes."""
+    lines = F.filter(F.regexp_extract_all(to_ascii(F.col("abc")), F.lit(r"[^\n]*\n|[^\n]+$"), 0), lambda x: x != "")
 
     def of_line(x: Column) -> Column:
         header = ((F.length(x) > 1) & x.rlike(r"^\p{L}:")) | x.startswith("%%")
@@ -113,13 +115,13 @@ def pack_messages(text: str, size: int) -> list[str]:
 
 
 def message_patches(texts: DataFrame, size: int) -> DataFrame:
-    """Patches of message text: file_id, patch_idx, patch. The fold has state, so it runs in Arrow batches."""
+    """Patches of message text, in ASCII: file_id, patch_idx, patch. The fold has state, so it runs in Arrow batches."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(f, k, p) for f, t in zip(batch["file_id"], batch["text"], strict=True) for k, p in enumerate(pack_messages(t or "", size))]
             yield pd.DataFrame(rows, columns=["file_id", "patch_idx", "patch"])
 
-    return texts.select("file_id", "text").mapInPandas(run, "file_id long, patch_idx long, patch string")
+    return texts.select("file_id", to_ascii(F.col("text")).alias("text")).mapInPandas(run, "file_id long, patch_idx long, patch string")
 
 
 # Event tokenizers -----------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drift_atlas.functions import scalar as sc
+from drift_atlas.functions.transliterate import to_ascii
 from drift_atlas.operators import distance as dist
 from drift_atlas.operators import encoders as enc
 from drift_atlas.operators import relations as rel
@@ -241,3 +242,9 @@ def f06(spark, sf):
     k = F.col("row_id") % 4
     broken = F.when(k == 1, F.lit(float("nan"))).when(k == 2, F.lit(float("inf"))).otherwise(F.col("x"))
     return rows.select("row_id", F.round(sc.norm(F.col("embedding")), 6).alias("norm"), F.round(sc.at_least(F.col("x"), 0.0), 6).alias("clipped"), F.round(sc.finite_or(broken), 6).alias("finite"))
+
+
+@query("f03_ascii_fold", "SELECT doc_id, md5(regexp_replace(replace(strip_accents(text), 'ß', 'ss'), '[^\\x00-\\x7F]', '', 'g')) AS folded FROM documents")
+def f03(spark, sf):
+    """Every text in ASCII."""
+    return fx.load(spark, sf, "documents").select("doc_id", F.md5(to_ascii(F.col("text")).cast("binary")).alias("folded"))
