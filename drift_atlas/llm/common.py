@@ -104,6 +104,8 @@ def rows_with_ids(rows: DataFrame, id_col: str, ids: DataFrame, among: bool = Tr
     """Rows whose id is (or is not) in the one column of a written table; null equals null.
 
     The condition names both sides' own columns, so any column name of ``rows`` is harmless.
+    Ids grow with the rows, so they are met by a shuffle at every size and never broadcast.
     """
+    ids = ids.hint("merge")
     same = rows[id_col].eqNullSafe(ids[ids.columns[0]])
     return rows.join(ids, same, "left_semi" if among else "left_anti")
