@@ -197,38 +197,6 @@ def blocks(vectors: DataFrame, rows: int | None = None) -> DataFrame:
     return dealt.groupBy("set_id", "block").agg(F.flatten(F.collect_list("embedding")).alias("flat"), F.count("*").alias("n"))
 
 
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For two blocks each row's distance to its nearest row in the other block."""
-    for batch in batches:
-        found = ([], [])
-        for k in range(batch.num_rows):
-            x, y = (np.array(batch.column(c)[k].values, float).reshape(batch.column(c + 1)[k].as_py(), -1) for c in (4, 6))
-            near = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T)
-            # The product finds the nearest row; its distance is then taken from the difference.
-            found[0].append(np.sqrt(((x - y[near.argmin(axis=1)]) ** 2).sum(axis=1)))
-            found[1].append(np.sqrt(((y - x[near.argmin(axis=0)]) ** 2).sum(axis=1)))
-        lists = [pa.array(f, pa.list_(pa.float64())) for f in found]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], names=["a", "b", "block_a", "block_b", "near_a", "near_b"])
-
-
-def hausdorff_pairs(vectors: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Hausdorff distance of all pairs of sets a < b.
-
-    Sets are packed into blocks and every two blocks of a pair meet in one row, so a
-    task holds two blocks, whatever the sets' sizes; one matrix product serves both
-    directions. A row's minima are combined before they are shuffled.
-    """
-    packed = blocks(vectors, rows)
-    a, b = (packed.select(F.col("set_id").alias(s), F.col("block").alias(f"block_{s}"), F.col("flat").alias(f"flat_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    met = a.join(b, F.col("a") < F.col("b")).select("a", "b", "block_a", "block_b", "flat_a", "n_a", "flat_b", "n_b")
-    kind = met.schema["a"].dataType.simpleString()
-    near = met.mapInArrow(_nearest, f"a {kind}, b {kind}, block_a long, block_b long, near_a array<double>, near_b array<double>")
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"block_{s}").alias("block"), F.col(f"near_{s}").alias("near")) for s in "ab"])
-    minima = near.select("a", "b", F.inline(sides)).select("a", "b", "side", "block", F.posexplode("near").alias("place", "d"))
-    minima = minima.groupBy("a", "b", "side", "block", "place").agg(F.min("d").alias("d"))
-    return minima.groupBy("a", "b").agg(F.max("d").alias("hausdorff"))
-
-
 def placed(rows: DataFrame, value: str, tie: str) -> DataFrame:
     """Rows of a report, largest value first, with their places; a report is few rows."""
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(value), tie)).cast("long"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drift_atlas.operators import distance as dist
+from drift_atlas.operators import hausdorff
 from drift_atlas.operators import hypothesis as hyp
 from drift_atlas.operators import moments as mom
 from drift_atlas.operators import relations as rel
@@ -135,7 +136,7 @@ _DIST = "sqrt(list_sum(list_transform(range(len(p.v)), lambda i: (p.v[i + 1] - q
 f AS (SELECT a, b, min(d) AS m FROM d GROUP BY a, b, r), g AS (SELECT a, b, min(d) AS m FROM d GROUP BY a, b, s)
 SELECT a, b, round(max(m), 6) AS hausdorff FROM (SELECT * FROM f UNION ALL SELECT * FROM g) GROUP BY a, b""")
 def m05(spark, sf):
-    return _round(dist.hausdorff_pairs(_sets(spark, sf)), "hausdorff")
+    return _round(hausdorff.hausdorff_pairs(_sets(spark, sf)), "hausdorff")
 
 
 QUERIES["a18_minmax_reduction"], SQL["a18_minmax_reduction"] = QUERIES["m05_hausdorff"], SQL["m05_hausdorff"]

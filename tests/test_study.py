@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from drift_atlas.functions import scalar as sc
 from drift_atlas.operators import distance as dist
 from drift_atlas.operators import encoders as enc
+from drift_atlas.operators import hausdorff
 from drift_atlas.operators import hypothesis as hyp
 from drift_atlas.operators import moments as mom
 from drift_atlas.operators import relations as rel
@@ -141,16 +142,38 @@ def test_complete_shifts_need_every_condition_and_enough_files(spark):
     assert all(abs(r["shift"]) < 1e-9 for r in got)
 
 
-@pytest.mark.parametrize("rows", [3, 512])
-def test_hausdorff_by_blocks(spark, vectors, rows):
+@pytest.mark.parametrize("rows, most", [(7, 9), (512, 9), (7, 1)])
+def test_hausdorff_by_blocks(spark, vectors, rows, most, monkeypatch):
+    """Blocks of any size, with pivots and without, against all pairs of rows."""
+    monkeypatch.setattr(dist, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(hausdorff, "MOST_SETS", most)
     x = {k[1]: v for k, v in sets_of(vectors).items() if k[0] == "wide"}
-    got = {(r.a, r.b): r.hausdorff for r in dist.hausdorff_pairs(vectors.where("configuration = 'wide'"), rows).collect()}
+    got = {(r.a, r.b): r.hausdorff for r in hausdorff.hausdorff_pairs(vectors.where("configuration = 'wide'")).collect()}
     for a, b in itertools.combinations(sorted(x), 2):
         d = np.sqrt(((x[a][:, None] - x[b][None]) ** 2).sum(axis=2))
         assert got[a, b] == pytest.approx(max(d.min(axis=0).max(), d.min(axis=1).max()), rel=1e-12)
     assert len(got) == 6
 
 
+def test_hausdorff_leaves_out_far_blocks(spark, monkeypatch):
+    """Of clustered sets few pairs of blocks are met, and the distance is that of all pairs; equal sets have none."""
+    monkeypatch.setattr(dist, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 30, (12, 6))
+    sets = {s: np.concatenate([c + rng.normal(0, 0.3, (20, 6)) for c in centres]) for s in (0, 1)}
+    sets[0][5] += 4
+    sets[2] = sets[1]
+    rows = spark.createDataFrame([(s, k, v.tolist()) for s, x in sets.items() for k, v in enumerate(x)] + [(None, 1, [0.0] * 6), (0, 999, None)], "set_id long, row_id long, embedding array<double>")
+    packed = hausdorff.blocks(rows).persist()
+    pairs = hausdorff.block_pairs(packed).where("a = 0 and b = 1")
+    every = pairs.count()
+    assert every > 100 and pairs.where("look_a or look_b").count() < every / 5
+    got = {(r.a, r.b): r.hausdorff for r in hausdorff.hausdorff_pairs(rows).collect()}
+    d = np.sqrt(((sets[0][:, None] - sets[1][None]) ** 2).sum(axis=2))
+    assert got[0, 1] == pytest.approx(max(d.min(axis=0).max(), d.min(axis=1).max()), rel=1e-12) and got[1, 2] == 0 and len(got) == 3
+    assert hausdorff.hausdorff_pairs(rows.limit(0)).count() == 0
+
+
 def test_batch_encoding_equals_one_hot_times_projection(spark):
     rng = np.random.default_rng(2)
     items = [(k, [rng.integers(-3, 140, 6).tolist() for _ in range(k % 4)] or None if k % 7 else None) for k in range(300)]
