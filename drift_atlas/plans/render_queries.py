@@ -14,6 +14,7 @@ from drift_atlas.operators import messages as ms
 from drift_atlas.operators import moments as mom
 from drift_atlas.operators import notes as note_ops
 from drift_atlas.operators import rendering as rd
+from drift_atlas.operators import spectral as sp
 from drift_atlas.operators.cache import EmbeddingStore, encode_through
 from drift_atlas.sources import fixtures as fx
 from drift_atlas.sources.staging import shared_folder
@@ -331,3 +332,23 @@ def s25(spark, sf):
     """Embeddings with their counters, as they would be written."""
     out = enc.encode(token_items(spark, sf), "tokens")
     return out.agg(F.count("*").alias("total"), F.count_if(F.size("embedding") > 0).alias("successful"))
+
+
+_SPECTRAL = f""", sn AS (SELECT file_id, pitch, velocity, start_s, least(end_s, CAST({sp.SECONDS} AS DOUBLE)) AS end_s FROM n),
+sf AS (SELECT *, unnest(range(CAST(floor(start_s * {sp.FRAMES_A_SECOND}) AS BIGINT), greatest(CAST(floor(start_s * {sp.FRAMES_A_SECOND}) AS BIGINT), CAST(ceil(end_s * {sp.FRAMES_A_SECOND}) AS BIGINT) - 1) + 1)) AS frame FROM sn WHERE start_s >= 0 AND start_s < end_s),
+sh AS (SELECT *, greatest(0, least(end_s, (frame + 1) / CAST({sp.FRAMES_A_SECOND} AS DOUBLE)) - greatest(start_s, frame / CAST({sp.FRAMES_A_SECOND} AS DOUBLE))) * {sp.FRAMES_A_SECOND} AS share, unnest(range(1, {sp.HARMONICS + 1})) AS h FROM sf),
+sb AS (SELECT file_id, frame, CAST(floor({sp.BANDS_AN_OCTAVE} * log2(h * {sp.CONCERT_HZ} * power(2, (pitch - {sp.CONCERT_PITCH}) / CAST(12 AS DOUBLE)) / {sp.LOWEST_HZ}) + 1e-9) AS BIGINT) AS band, share * power(velocity / CAST(127 AS DOUBLE) / h, 2) AS e FROM sh),
+se AS (SELECT file_id, frame, band, sum(e) AS energy FROM sb WHERE band BETWEEN 0 AND {sp.BANDS - 1} GROUP BY file_id, frame, band),
+sl AS (SELECT file_id, greatest(1, ceil(least(max(end_s), CAST({sp.SECONDS} AS DOUBLE)) * {sp.FRAMES_A_SECOND})) AS frames FROM n GROUP BY file_id)"""
+
+
+@query("e05_band_energies", f"{_SPECTRAL} SELECT file_id, frame, band, round(energy, 6) AS energy FROM se")
+def e05_energies(spark, sf):
+    return sp.band_energies(fx.notes(spark, sf)).select("file_id", "frame", "band", F.round("energy", 6).alias("energy"))
+
+
+@query("e05_spectral_embedding", f"{_SPECTRAL}, sv AS (SELECT file_id, band, sum(ln(1 + energy)) AS v FROM se GROUP BY file_id, band) SELECT sl.file_id, b.band, round(coalesce(v, 0) / frames, 6) AS value FROM sl JOIN (SELECT unnest(range({sp.BANDS})) AS band) b ON true LEFT JOIN sv ON sv.file_id = sl.file_id AND sv.band = b.band")
+def e05(spark, sf):
+    """How every file sounds in its first seconds, band by band."""
+    rows = sp.embed(fx.notes(spark, sf)).select("file_id", F.posexplode("embedding").alias("band", "value"))
+    return rows.select("file_id", F.col("band").cast("long").alias("band"), F.round("value", 6).alias("value"))
