@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drift_atlas.operators import order
+from drift_atlas.operators.order import met, numbered
 
 #: Hex digits of a key by which a group's rows are counted before any are put in order.
 CUT_DIGITS = 2
@@ -35,15 +35,6 @@ def sample(df: DataFrame, k: int, seed: str, by: list[str], id_col: str) -> Data
     return df.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k).drop("__place")
 
 
-def _met(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows beside the table's one row of their keys; null meets null."""
-    other = table.withColumnsRenamed({k: f"__{k}" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return rows.join(other, same).drop(*[f"__{k}" for k in keys])
-
-
 def with_cuts(df: DataFrame, keys: list[str], seed: str, id_col: str, places: list[Column], reps: int | None = None) -> DataFrame:
     """Rows with ``__order``, where they stand in their group's random order, and ``__at0``, ``__at1``, ..., what stands at the places.
 
@@ -66,11 +57,11 @@ def with_cuts(df: DataFrame, keys: list[str], seed: str, id_col: str, places: li
 
     counted = (repeated(thin, reps) if reps else thin).groupBy(*group, digits.alias("__digits")).agg(F.count("*").alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy(*group).orderBy("__digits"))
-    coarse = _met(counted.withColumn("__upto", upto), asked, keys).select(*group, "__digits", "__n", "__upto", F.posexplode("__places").alias("__which", "__place"))
+    coarse = met(counted.withColumn("__upto", upto), asked, keys).select(*group, "__digits", "__n", "__upto", F.posexplode("__places").alias("__which", "__place"))
     coarse = coarse.withColumn("__rest", F.col("__place") - F.col("__upto") + F.col("__n")).where("__rest between 1 and __n")
     wanted = coarse.groupBy(*keys).agg(F.collect_list(F.struct(*group[len(keys) :], "__which", "__digits", "__rest")).alias("__wanted"))
 
-    close = _met(thin, wanted, keys).select(*keys, id_col, F.inline("__wanted")).where(digits == F.col("__digits")).withColumn("__order", order)
+    close = met(thin, wanted, keys).select(*keys, id_col, F.inline("__wanted")).where(digits == F.col("__digits")).withColumn("__order", order)
     place = F.row_number().over(Window.partitionBy(*group, "__which").orderBy("__order"))
     found = close.withColumn("__place", place).where("__place = __rest").select(*group, "__which", "__order")
     every = asked.select(*keys)
@@ -79,8 +70,8 @@ def with_cuts(df: DataFrame, keys: list[str], seed: str, id_col: str, places: li
     cuts = found.groupBy(*group).agg(*at)
     if reps:
         cuts = cuts.groupBy(*keys).agg(F.collect_list(F.struct("rep", *[f"__at{k}" for k in range(len(places))])).alias("__cuts"))
-        return _met(df, cuts, keys).select(*df.columns, F.inline("__cuts")).withColumn("__order", order)
-    return _met(df, cuts, keys).withColumn("__order", order)
+        return met(df, cuts, keys).select(*df.columns, F.inline("__cuts")).withColumn("__order", order)
+    return met(df, cuts, keys).withColumn("__order", order)
 
 
 def split_half(df: DataFrame, seed: str, keys: list[str], id_col: str = "row_id", reps: int | None = None) -> DataFrame:
@@ -93,7 +84,7 @@ def split_half(df: DataFrame, seed: str, keys: list[str], id_col: str = "row_id"
 
 def indexed(df: DataFrame, keys: list[str], id_col: str = "row_id") -> DataFrame:
     """Rows numbered from 0 within their group."""
-    return order.numbered(df, keys, id_col, "idx")
+    return numbered(df, keys, id_col, "idx")
 
 
 def bootstrap(df: DataFrame, reps: int, seed: str, cap: int | None = None) -> DataFrame:
