@@ -102,11 +102,12 @@ def j02(spark, sf):
     return rel.ordered_pairs(dq.q01(spark, sf).select("configuration").distinct(), "configuration", "configuration")
 
 
-@query("j03_model_pairs", f"WITH m(place, model) AS (VALUES {_MODEL_ROWS}), f AS (SELECT *, CASE WHEN model LIKE 'patches%' THEN 'notes' ELSE 'tokens' END AS family FROM m) SELECT a.model AS model_a, b.model AS model_b FROM f a JOIN f b ON a.family = b.family AND a.place < b.place")
+@query("j03_model_pairs", f"WITH a AS (SELECT DISTINCT {_CUST_MODEL} AS model FROM customer), m(place, model) AS (VALUES {_MODEL_ROWS}), f AS (SELECT m.*, CASE WHEN m.model LIKE 'patches%' THEN 'notes' ELSE 'tokens' END AS family FROM m JOIN a ON a.model = m.model) SELECT a.model AS model_a, b.model AS model_b FROM f a JOIN f b ON a.family = b.family AND a.place < b.place")
 def j03(spark, sf):
-    """Models of one family, in the order of their registry."""
+    """Models of one family that customers ask for, in the order of their registry."""
     notes = enc.requires_notes(enc.default_format(F.col("model")))
-    return rel.ordered_pairs(_models(spark).withColumn("family", F.when(notes, "notes").otherwise("tokens")), "place", "model", within="family")
+    asked = _models(spark).join(_asked(spark, sf).select("model").distinct(), "model", "left_semi")
+    return rel.ordered_pairs(asked.withColumn("family", F.when(notes, "notes").otherwise("tokens")), "place", "model", within="family")
 
 
 @query("j04_key_lookup", "WITH e AS (SELECT label AS s, vec_id, unnest(['cfg_a', 'cfg_b', 'cfg_c']) AS configuration FROM embeddings), n AS (SELECT s, configuration, count(*) AS n FROM e WHERE NOT (configuration = 'cfg_b' AND s = 1) GROUP BY s, configuration) SELECT x.configuration, x.n AS a, y.n AS b FROM n x JOIN n y ON x.configuration = y.configuration AND x.s = 0 AND y.s = 1")
@@ -147,11 +148,13 @@ def j10(spark, sf):
     return out.select("configuration", "pair", F.isnan("floor").alias("missing"), F.round(sc.finite_or(F.col("floor")), 4).alias("floor"))
 
 
-@query("j14_registry_intersection", "SELECT 'some' AS wanted, unnest(['tokens', 'patches-bars']) AS model UNION ALL SELECT 'none', unnest(['tokens', 'tokens-large', 'text', 'patches-bars', 'patches-messages'])")
+@query("j14_registry_intersection", f"""WITH m(place, model) AS (VALUES {_MODEL_ROWS}), a AS (SELECT c_mktsegment, {_CUST_MODEL} AS model FROM customer), s AS (SELECT DISTINCT model FROM a WHERE c_mktsegment = 'BUILDING' AND model <> 'text')
+SELECT 'some' AS wanted, m.model FROM m JOIN s ON s.model = m.model UNION ALL SELECT 'none', model FROM m""")
 def j14(spark, sf):
-    """What a configuration names and the registry has; the whole registry if that is nothing."""
-    asked = {"some": ["patches-bars", "unheard-of", "tokens"], "none": ["unheard-of"]}
-    frames = [rel.in_registry(spark.createDataFrame([(m,) for m in names], "model string"), _models(spark), "model", "place").select(F.lit(k).alias("wanted"), "model") for k, names in asked.items()]
+    """What customers name and the registry has; the whole registry if that is nothing."""
+    asked = _asked(spark, sf).join(fx.load(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    named = {"some": asked.where("c_mktsegment = 'BUILDING' and model <> 'text'"), "none": asked.where("model = 'nothing'")}
+    frames = [rel.in_registry(rows.select("model").distinct(), _models(spark), "model", "place").select(F.lit(k).alias("wanted"), "model") for k, rows in named.items()]
     return rel.concat_frames(frames)
 
 

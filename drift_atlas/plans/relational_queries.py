@@ -216,23 +216,33 @@ QUERIES["j09_tag_lookup"], SQL["j09_tag_lookup"] = QUERIES["p10_canonical_tags"]
 QUERIES["f08_map_lookup"], SQL["f08_map_lookup"] = QUERIES["p10_canonical_tags"], SQL["p10_canonical_tags"]
 
 
-@query("u05_map_override", f"WITH {_MAPV}, o(tag, canonical) AS (VALUES ('building', 'home'), ('household', 'home')) SELECT coalesce(m.tag, o.tag) AS tag, coalesce(o.canonical, m.canonical) AS canonical FROM m FULL JOIN o ON m.tag = o.tag")
+@query("u05_map_override", """WITH m AS (SELECT lower(p_type) AS tag, min(lower(p_brand)) AS canonical FROM part GROUP BY 1), o AS (SELECT lower(p_type) AS tag, max(lower(p_brand)) AS canonical FROM part WHERE p_size > 45 GROUP BY 1)
+SELECT coalesce(m.tag, o.tag) AS tag, coalesce(o.canonical, m.canonical) AS canonical FROM m FULL JOIN o ON m.tag = o.tag""")
 def u05(spark, sf):
-    return md.merge_mapping(_mapping(spark), spark.createDataFrame([("building", "home"), ("household", "home")], "tag string, canonical string"))
+    """The brand of every type, and that of its large parts where there are such."""
+    part = fx.load(spark, sf, "part").select(F.lower("p_type").alias("tag"), F.lower("p_brand").alias("brand"), "p_size")
+    return md.merge_mapping(part.groupBy("tag").agg(F.min("brand").alias("canonical")), part.where("p_size > 45").groupBy("tag").agg(F.max("brand").alias("canonical")))
 
 
-@query("p15_validate_configuration", """WITH m(model, fmt) AS (VALUES ('tokens', 'MIDITOK'), ('text', 'TEXT'), ('patches-bars', 'ABC'), ('patches-messages', 'MTF'), ('patches-messages', 'ABC'))
-SELECT a.model, b.fmt, CAST(count(*) FILTER (WHERE m.fmt = b.fmt) > 0 AS BOOLEAN) AS valid FROM (SELECT DISTINCT model FROM m) a, (SELECT DISTINCT fmt FROM m) b, m WHERE m.model = a.model GROUP BY a.model, b.fmt""")
+_FORMATS = ["MIDITOK", "TEXT", "ABC", "MTF", "REMI"]
+
+
+@query("p15_validate_configuration", """WITH c AS (SELECT c_custkey, ['tokens', 'text', 'patches-bars', 'patches-messages', 'nothing'][1 + c_custkey % 5] AS model, ['MIDITOK', 'TEXT', 'ABC', 'MTF', 'REMI'][1 + c_nationkey % 5] AS fmt FROM customer)
+SELECT c_custkey, model, fmt, (model = 'tokens' AND fmt IN ('MIDITOK', 'REMI')) OR (model = 'text' AND fmt = 'TEXT') OR (model = 'patches-bars' AND fmt = 'ABC') OR (model = 'patches-messages' AND fmt IN ('MTF', 'ABC')) AS valid FROM c""")
 def p15(spark, sf):
-    rows = []
-    for model in ("tokens", "text", "patches-bars", "patches-messages"):
-        for fmt in ("MIDITOK", "TEXT", "ABC", "MTF"):
+    """What customers ask for, checked: every model and format once, and the answers met by all rows."""
+    models, formats = ["tokens", "text", "patches-bars", "patches-messages", "nothing"], _FORMATS
+    verdicts = []
+    for model in models:
+        for fmt in formats:
             try:
                 enc.validate(model, fmt, "REMI" if fmt == "MIDITOK" else None, ("REMI", "TSD"))
-                rows.append((model, fmt, True))
+                verdicts.append((model, fmt, True))
             except ValueError:
-                rows.append((model, fmt, False))
-    return spark.createDataFrame(rows, "model string, fmt string, valid boolean")
+                verdicts.append((model, fmt, False))
+    pick = lambda names, k: F.get(F.array(*map(F.lit, names)), (k % len(names)).cast("int"))
+    asked = fx.load(spark, sf, "customer").select("c_custkey", pick(models, F.col("c_custkey")).alias("model"), pick(formats, F.col("c_nationkey")).alias("fmt"))
+    return asked.join(F.broadcast(spark.createDataFrame(verdicts, "model string, fmt string, valid boolean")), ["model", "fmt"]).select("c_custkey", "model", "fmt", "valid")
 
 
 @query("p18_detected", f"WITH q AS ({dq.SQL['q03_perturbation_sensitivity']}) SELECT dataset, significant FROM q")

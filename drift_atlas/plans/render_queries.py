@@ -185,10 +185,11 @@ def t10(spark, sf):
     return rd.tokenize(*_notes(spark, sf), "REMI").select("file_id", F.size("tokens").cast("long").alias("length"))
 
 
-@query("t11_vocab_size", f" SELECT CAST({rd.VOCABULARY} AS BIGINT) AS vocab_size FROM (SELECT 1)")
+@query("t11_vocab_size", f"{_token_sql('REMI')}, u AS (SELECT DISTINCT CAST(unnest(string_split(tokens, ' ')) AS BIGINT) AS t FROM tk) SELECT count(*) AS used, CAST({rd.VOCABULARY} AS BIGINT) AS vocab_size, count(*) FILTER (WHERE t BETWEEN 37 AND 124) AS pitches, count(*) FILTER (WHERE t >= {rd.VOCABULARY}) AS unknown FROM u")
 def t11(spark, sf):
-    vocabulary = spark.range(rd.VOCABULARY + 10).select(rd.token_name(F.col("id")).alias("name")).where(~F.col("name").startswith("UNK_"))
-    return vocabulary.agg(F.count("*").alias("vocab_size"))
+    """How much of the vocabulary the files' tokens use."""
+    used = rd.tokenize(*_notes(spark, sf), "REMI").select(F.explode("tokens").alias("t")).distinct().select(rd.token_name(F.col("t")).alias("name"))
+    return used.agg(F.count("*").alias("used"), F.lit(rd.VOCABULARY).cast("long").alias("vocab_size"), F.count_if(F.col("name").startswith("Pitch_")).alias("pitches"), F.count_if(F.col("name").startswith("UNK_")).alias("unknown"))
 
 
 def _compare_sql() -> str:
