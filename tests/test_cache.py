@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from drift_atlas.operators import encoders as enc
 from drift_atlas.operators.cache import EmbeddingStore, encode_through
+from drift_atlas.plans.render_queries import _share
 
 
 @pytest.fixture
@@ -52,3 +53,11 @@ def test_a_failed_addition_is_invisible(spark, items, tmp_path):
         encode_through(uneven, store, "histogram")
     assert store.parts() == [] and store.read().count() == 0
     assert encode_through(items, store, "histogram")[1] == 17
+
+
+def test_shares_that_are_kept_as_floats_round_as_they_were(spark):
+    """Every share of up to 512 tokens rounds to the fourth place like the quotient itself, halves included."""
+    rows = [(c, k) for k in range(1, 513) for c in range(1, k + 1)]
+    frame = spark.createDataFrame(rows, "c int, k int").select("c", "k", F.expr("round(cast(10000 * c as double) / k)").alias("want"), (F.col("c") / F.col("k")).cast("float").alias("v"))
+    off = frame.where((F.round(_share(F.col("v")), 4) * 10000 + 0.5).cast("long") != F.col("want"))
+    assert off.count() == 0 and frame.where(F.round(F.col("v").cast("double") * 10000) != F.col("want")).count() > 0
