@@ -11,9 +11,10 @@ Plan
     pairs far below the threshold go, the rest are confirmed on full sets.
     Confirmed links are contracted to components.
  4. What is left to compare in a bucket are members of different components: all
-    such pairs are met in a join whose condition holds the size bound and the
-    estimate of a longer odd sketch, made for these members only, and that yields
-    a pair in the first of its common buckets only; they are confirmed too. So every pair that shares a bucket is
+    such pairs are met in a join whose condition holds the size bound, the
+    estimate of a longer odd sketch, made for these members only, and at last the
+    comparison of the full sets, and that yields
+    a link in the first of its common buckets only. So every pair that shares a bucket is
     either already in one component or has been compared; a bucket has no cap.
  5. Components over all confirmed links give each class its component.
 
@@ -132,11 +133,15 @@ def _lists(rows: np.ndarray, blank: np.ndarray) -> pa.Array:
 
 
 def _fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The longer sketch and the whole shingle set of every text."""
     for batch in batches:
         made = np.zeros((batch.num_rows, FINE_BITS // 64), np.int64)
-        for k, own in enumerate(_sets(*textkit.buffers(batch.column(1)))):
+        sets = list(_sets(*textkit.buffers(batch.column(1))))
+        for k, own in enumerate(sets):
             made[k] = odd_sketch(minhash(own, FINE_SAMPLES), FINE_BITS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(made, np.zeros(batch.num_rows, bool))], names=["id", "fine"])
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        whole = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, U64), *sets]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(made, np.zeros(batch.num_rows, bool)), whole], names=["id", "fine", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,20 +222,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_members = _open_members(shared, joined)
     common.discard(shared)
     open_texts = _texts_of(open_members.select("id"), texts)
-    fine = open_texts.mapInArrow(_fine_sketches, "id long, fine array<long>")
+    fine = open_texts.mapInArrow(_fine_sketches, "id long, fine array<long>, shingles array<long>")
     fine = common.materialize(fine.join(reps.select("id", "n_shingles", "bands", "sketch"), "id"), "fine-sketches")
     common.discard(open_texts, reps)
     members = common.materialize(open_members.join(fine, "id"), "cross-members")
     common.discard(open_members, fine)
-    x, y = (members.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "bands", "sketch", "fine")]) for s in "xy")
+    x, y = (members.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "bands", "sketch", "fine", "shingles")]) for s in "xy")
     likely = _apart("sketch_x", "sketch_y") <= sketch_limit(THRESHOLD_PERCENT / 100, ESTIMATE_MARGIN)
     near = (F.col("component_x") < F.col("component_y")) & _sizes_fit("n_shingles_x", "n_shingles_y") & likely
     near = near & (_apart_long("fine_x", "fine_y") <= sketch_limit(THRESHOLD_PERCENT / 100, FINE_MARGIN, FINE_SAMPLES, FINE_BITS))
     near = near & (F.col("bucket") == F.array_min(F.array_intersect("bands_x", "bands_y")))
-    pairs = x.join(y, "bucket").where(near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
-    pairs = common.materialize(pairs, "cross-pairs")
+    # Many pairs of a large group may lie just below the threshold, so whole sets decide before a pair becomes a row.
+    both = F.size(F.array_intersect("shingles_x", "shingles_y"))
+    near = near & ((100 + THRESHOLD_PERCENT) * both >= THRESHOLD_PERCENT * (F.col("n_shingles_x") + F.col("n_shingles_y")))
+    links = x.join(y, "bucket").where(near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+    links = common.materialize(links, "cross-links")
     common.discard(members)
-    joined = _contracted(joined, _confirmed(pairs, texts))
+    joined = _contracted(joined, links)
 
     labelled = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
     labelled = common.materialize(labelled, "class-components")

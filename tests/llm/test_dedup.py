@@ -190,3 +190,33 @@ def test_word_hashes_do_not_depend_on_the_cut(monkeypatch):
 
 def test_shared_folder_is_the_sessions(spark):
     assert common.shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_pairs_just_below_the_threshold_are_no_rows(spark, monkeypatch):
+    """A crowd of variants of one text that are no links: only links leave the join of a bucket's members."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(400, 6, replace=False):
+            words[at] = f"x{i}v{at}"
+        rows.append((i, " ".join(words)))
+    rows.append((60, rows[59][1] + " more"))
+    sets = {i: set(near_dedup.shingle_set(t).tolist()) for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    made, write = {}, common.materialize
+
+    def noted(df, label):
+        out = write(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "materialize", noted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(H.documents(spark, rows)).collect()}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+    assert max(n for label, n in made.items() if label in ("cross-pairs", "cross-links")) <= len(linked)
