@@ -4,6 +4,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from drift_atlas.operators import asof
 from drift_atlas.operators import messages as ms
@@ -116,3 +117,12 @@ def test_merged_text_of_two_tracks(spark):
     whole = {r.file_id: r.text for r in ms.text(frame, 96, music=False).collect()}
     assert "marker marker m 10\nnote_on note_on 0 0 60 64\nlyrics lyrics la 10" in whole[1]
     assert ms.text(frame.limit(0)).count() == 0
+
+
+def test_beats_are_made_by_many_tasks(spark):
+    """Ids are few bytes, but their beats are not: adaptive execution must not leave all files to one task."""
+    from drift_atlas.sources import fixtures
+
+    files = spark.range(500).select(F.col("id").alias("file_id"))
+    made = fixtures.beats(files).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 500 * fixtures.BEATS and max(r["count"] for r in made) < 500 * fixtures.BEATS / 3
