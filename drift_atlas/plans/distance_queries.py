@@ -10,7 +10,7 @@ from drift_atlas.operators import hausdorff
 from drift_atlas.operators import hypothesis as hyp
 from drift_atlas.operators import moments as mom
 from drift_atlas.operators import relations as rel
-from drift_atlas.operators import order
+from drift_atlas.operators import order, pairwise
 from drift_atlas.operators import resample as rs
 from drift_atlas.sources import fixtures as fx
 
@@ -183,7 +183,7 @@ def _two(spark, sf):
 
 @query("m11_pairwise_euclidean", f" SELECT p.row_id AS row_a, q.row_id AS row_b, round({_DIST}, 6) AS distance FROM e p, e q WHERE p.set_id = 0 AND q.set_id = 1")
 def m11(spark, sf):
-    return _round(dist.pairwise_distances(*_two(spark, sf)), "distance")
+    return _round(pairwise.pairwise_distances(*_two(spark, sf)), "distance")
 
 
 _DOT = lambda p, q: f"list_sum(list_transform(range(len({p}.v)), lambda i: {p}.v[i + 1] * {q}.v[i + 1]))"
@@ -192,7 +192,7 @@ _COS = lambda p, q, e: f"1 - {_DOT(p, q)} / ((sqrt({_DOT(p, p)}) + CAST({e} AS D
 
 @query("m12_pairwise_cosine", f" SELECT p.row_id AS row_a, q.row_id AS row_b, round({_COS('p', 'q', '1e-8')}, 6) AS distance FROM e p, e q WHERE p.set_id = 0 AND q.set_id = 1")
 def m12(spark, sf):
-    return _round(dist.pairwise_distances(*_two(spark, sf), metric="cosine"), "distance")
+    return _round(pairwise.pairwise_distances(*_two(spark, sf), metric="cosine"), "distance")
 
 
 QUERIES["j12_pairwise_cross"], SQL["j12_pairwise_cross"] = QUERIES["m11_pairwise_euclidean"], SQL["m11_pairwise_euclidean"]
