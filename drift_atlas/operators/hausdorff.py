@@ -6,7 +6,7 @@ blocks are at least (centres' distance less both radii) and at most (with both r
 apart. So of a block X only those blocks can hold the nearest row whose lower bound
 is at most X's least upper bound; and X matters for the maximum only if that bound reaches the
 largest of all blocks' least lower bounds. Only centres are compared for this; vectors move for
-the pairs of blocks that are left, and one product of matrices serves both directions.
+the pairs of blocks that are left, by groups of blocks, and one product of matrices serves both directions.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from drift_atlas.operators import distance as dist
 from drift_atlas.operators.order import settled
@@ -24,6 +25,8 @@ from drift_atlas.sources.staging import staged
 
 #: Pivots of a set, sets whose pivots are sent to all tasks (with more, rows go to blocks by their hash), and what rounding may shift a bound by.
 PIVOTS, MOST_SETS, SLACK = 32, 2000, 1e-9
+#: Rows of a group of blocks, of which one task compares two at a time.
+GROUP_ROWS = 16384
 
 
 def _by_pivot(vectors: DataFrame) -> DataFrame:
@@ -92,34 +95,66 @@ def block_pairs(packed: DataFrame) -> DataFrame:
     return met.select("a", "b", "block_a", "block_b", *[test.alias(name) for name, test in look.items()])
 
 
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For two blocks each row's distance to its nearest row in the other block, on the sides that look."""
-    for batch in batches:
-        at = {c: batch.column(c) for c in batch.schema.names}
-        found: dict[str, list] = {"a": [], "b": []}
-        for k in range(batch.num_rows):
-            x, y = (np.array(at[f"flat_{s}"][k].values, float).reshape(at[f"n_{s}"][k].as_py(), -1) for s in "ab")
-            near = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T)
-            # The product finds the nearest row; its distance is then taken from the difference.
-            found["a"].append(np.sqrt(((x - y[near.argmin(axis=1)]) ** 2).sum(axis=1)) if at["look_a"][k].as_py() else np.zeros(0))
-            found["b"].append(np.sqrt(((y - x[near.argmin(axis=0)]) ** 2).sum(axis=1)) if at["look_b"][k].as_py() else np.zeros(0))
-        lists = [pa.array(found[s], pa.list_(pa.float64())) for s in "ab"]
-        yield pa.RecordBatch.from_arrays([*(at[c] for c in ("a", "b", "block_a", "block_b")), *lists], names=["a", "b", "block_a", "block_b", "near_a", "near_b"])
+def _grouped(packed: DataFrame) -> DataFrame:
+    """Blocks with the number of their group, neighbouring blocks of a set with about so many rows in all: set_id, block, part."""
+    before = F.sum("n").over(Window.partitionBy("set_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    return packed.select("set_id", "block", F.floor(F.coalesce(before, F.lit(0)) / F.lit(GROUP_ROWS)).alias("part"))
+
+
+def _nearest(kind: pa.DataType):
+    """For two groups of blocks each row's distance to its nearest row in the blocks of the other group that are left, block by block."""
+    schema = pa.schema([("a", kind), ("b", kind), ("side", pa.string()), ("block", pa.string()), ("near", pa.list_(pa.float64()))])
+
+    def held(table: pa.Table, s: str) -> dict[str, np.ndarray]:
+        flat = table[f"flat_{s}"].combine_chunks()
+        return {name: np.array(flat[k].values, float).reshape(n, -1) for k, (name, n) in enumerate(zip(table[f"block_{s}"].to_pylist(), table[f"n_{s}"].to_pylist()))}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        rows, found = {"a": held(left, "a"), "b": held(right, "b")}, {}
+        squares = {s: {name: (x * x).sum(axis=1) for name, x in rows[s].items()} for s in "ab"}
+        for block_a, others in zip(left["block_a"].to_pylist(), left["others"].to_pylist()):
+            x = rows["a"][block_a]
+            for other in others:
+                y = rows["b"][other["block_b"]]
+                near = squares["a"][block_a][:, None] + squares["b"][other["block_b"]] - 2 * (x @ y.T)
+                # The product finds the nearest row; its distance is then taken from the difference.
+                for s, block, own, theirs, axis in (("a", block_a, x, y, 1), ("b", other["block_b"], y, x, 0)):
+                    if other[f"look_{s}"]:
+                        d = np.sqrt(((own - theirs[near.argmin(axis=axis)]) ** 2).sum(axis=1))
+                        found[s, block] = np.minimum(found[s, block], d) if (s, block) in found else d
+        sets = [pa.array([table[name][0].as_py()] * len(found), kind) for table, name in ((left, "a"), (left, "b"))]
+        return pa.Table.from_arrays([*sets, pa.array([s for s, _ in found], pa.string()), pa.array([block for _, block in found], pa.string()), pa.array(list(found.values()), pa.list_(pa.float64()))], schema=schema)
+
+    return run
 
 
 def hausdorff_pairs(vectors: DataFrame) -> DataFrame:
     """Hausdorff distance of all pairs of sets a < b.
 
-    A task holds two blocks at a time, whatever the sets' sizes. A row's minima are
-    combined before they are shuffled.
+    Blocks travel by groups: two groups that have a pair of blocks left meet in one task, which holds
+    these two, whatever the sets' sizes. So a block is sent once for each group that it meets, not for each block.
     """
     packed = staged(blocks(vectors), "blocks")
-    side = lambda s: packed.select(F.col("set_id").alias(s), F.col("block").alias(f"block_{s}"), F.col("flat").alias(f"flat_{s}"), F.col("n").alias(f"n_{s}"))
-    left = staged(block_pairs(packed).where("look_a or look_b"), "block-pairs")
-    met = left.join(side("a"), ["a", "block_a"]).join(side("b"), ["b", "block_b"])
-    kind = packed.schema["set_id"].dataType.simpleString()
-    near = met.mapInArrow(_nearest, f"a {kind}, b {kind}, block_a string, block_b string, near_a array<double>, near_b array<double>")
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"block_{s}").alias("block"), F.col(f"near_{s}").alias("near")) for s in "ab"])
-    minima = near.select("a", "b", F.inline(sides)).select("a", "b", "side", "block", F.posexplode("near").alias("place", "d"))
+    parts = settled(_grouped(packed))
+    part = lambda s: parts.select(F.col("set_id").alias(s), F.col("block").alias(f"block_{s}"), F.col("part").alias(f"part_{s}"))
+    left = staged(block_pairs(packed).where("look_a or look_b").join(part("a"), ["a", "block_a"]).join(part("b"), ["b", "block_b"]), "block-pairs")
+    meet = ["a", "part_a", "b", "part_b"]
+    pairs = {
+        "a": left.groupBy(*meet, "block_a").agg(F.collect_list(F.struct("block_b", "look_a", "look_b")).alias("others")),
+        "b": left.select(*meet, "block_b").distinct(),
+    }
+
+    def sent(s: str, more: list[str]) -> DataFrame:
+        side = packed.select(F.col("set_id").alias(s), F.col("block").alias(f"block_{s}"), F.col("flat").alias(f"flat_{s}"), F.col("n").alias(f"n_{s}"))
+        met = pairs[s].join(side, [s, f"block_{s}"])
+        # Columns of both sides of a cogroup need names of their own.
+        return met.select(*[F.col(c).alias(c if s == "a" else f"their_{c}") for c in meet], f"block_{s}", f"flat_{s}", f"n_{s}", *more)
+
+    kind = packed.schema["set_id"].dataType
+    met = sent("a", ["others"]).groupBy(*meet).cogroup(sent("b", []).groupBy(*[f"their_{c}" for c in meet]))
+    near = met.applyInArrow(_nearest(to_arrow_type(kind)), f"a {kind.simpleString()}, b {kind.simpleString()}, side string, block string, near array<double>")
+    minima = near.select("a", "b", "side", "block", F.posexplode("near").alias("place", "d"))
     minima = minima.groupBy("a", "b", "side", "block", "place").agg(F.min("d").alias("d"))
     return minima.groupBy("a", "b").agg(F.max("d").alias("hausdorff"))
