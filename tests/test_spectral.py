@@ -41,3 +41,13 @@ def test_many_notes(spark):
     for f in range(4):
         assert got[f] == pytest.approx(brute([r for r in rows if r[0] == f]), rel=1e-9, abs=1e-12)
     assert sp.embed(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_frames_and_bands_are_not_shuffled(spark):
+    """Notes lie by file already; their frames and bands, many times as many rows, stay there."""
+    from drift_atlas.sources import fixtures
+
+    notes = fixtures.notes(spark, "/root/testdata/sf0.001")
+    for out in (sp.band_energies(notes), sp.embed(notes)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
