@@ -46,28 +46,28 @@ def of_notes(notes: DataFrame, tempos: DataFrame, extra: DataFrame | None = None
     channel = F.when(F.col("is_drum"), DRUM_CHANNEL).otherwise(0)
     program = F.col("program") if "program" in notes.columns else F.lit(0)
     timed = notes.join(tempos, "file_id")
-    at = lambda t, m: F.struct(t.alias("tick"), m.alias("m"))
-    of_note = F.array(
-        at(tick(F.col("start_s")), message("note_on", channel=channel, note=F.col("pitch"), velocity=F.col("velocity"))),
-        at(tick(F.col("end_s")), message("note_on", channel=channel, note=F.col("pitch"), velocity=0).withField("order", F.lit(_ORDER["note_off"]))),
-    )
-    rows = timed.select("file_id", "track", F.col("note_id").alias("tie"), F.inline(of_note))
+    # Starts and ends of notes stay numbers until they are placed, as messages are several times larger.
+    of_note = F.array(*[F.struct(tick(F.col(t)).alias("tick"), F.lit(_ORDER[kind]).alias("order")) for t, kind in (("start_s", "note_on"), ("end_s", "note_off"))])
+    rows = timed.select("file_id", "track", F.col("note_id").alias("tie"), channel.alias("channel"), "pitch", "velocity", F.lit(True).alias("of_note"), F.inline(of_note))
     tracks = timed.groupBy("file_id", "track").agg(F.max("is_drum").alias("is_drum"), F.max(program).alias("program"))
     begins = F.array(message("track_name", name=F.col("track")), message("program_change", channel=channel, program=F.col("program")))
     zero = F.lit(0).cast("long")
-    rows = rows.unionByName(tracks.select("file_id", "track", zero.alias("tie"), zero.alias("tick"), F.explode(begins).alias("m")))
+    others = [tracks.select("file_id", "track", zero.alias("tie"), zero.alias("tick"), F.explode(begins).alias("m"))]
     us = F.rint(F.lit(60e6) / F.col("tempo_bpm")).cast("long")
     meter = message("time_signature", numerator=4, denominator=4, clocks_per_click=24, notated_32nd_notes_per_beat=8)
-    rows = rows.unionByName(tempos.select("file_id", F.lit(None).cast("string").alias("track"), zero.alias("tie"), zero.alias("tick"), F.explode(F.array(message("set_tempo", tempo=us), meter)).alias("m")))
+    others += [tempos.where(F.col("file_id").isNotNull()).select("file_id", F.lit(None).cast("string").alias("track"), zero.alias("tie"), zero.alias("tick"), F.explode(F.array(message("set_tempo", tempo=us), meter)).alias("m"))]
     if extra is not None:
-        rows = rows.unionByName(extra.join(tempos, "file_id").select("file_id", "track", F.col("tie"), tick(F.col("time_s")).alias("tick"), F.col("message").alias("m")))
-    ends = rows.groupBy("file_id", "track").agg(F.max("tick").alias("tick")).select("file_id", "track", zero.alias("tie"), "tick", message(END).alias("m"))
-    rows = rows.unionByName(ends)
-    names = rows.select("file_id", "track").distinct().withColumn("track_idx", (F.row_number().over(Window.partitionBy("file_id").orderBy(F.col("track").asc_nulls_first())) - 1))
-    names = names.select(F.col("file_id").alias("__file"), F.col("track").alias("__track"), "track_idx")
-    placed = rows.join(names, (F.col("file_id") == F.col("__file")) & F.col("track").eqNullSafe(F.col("__track")))
-    order = Window.partitionBy("file_id", "track_idx").orderBy("tick", "m.order", "tie")
-    return placed.select("file_id", "track_idx", (F.row_number().over(order) - 1).alias("seq"), "tick", "m.type", "m.is_meta", "m.fields")
+        others += [extra.join(tempos, "file_id").select("file_id", "track", F.col("tie"), tick(F.col("time_s")).alias("tick"), F.col("message").alias("m"))]
+    for other in others:
+        rows = rows.unionByName(other.withColumns({"order": F.col("m.order"), "of_note": F.lit(False)}), allowMissingColumns=True)
+    # Both windows go by one sort. An end_of_track comes after all else, so it is made beside the last message.
+    order = Window.partitionBy("file_id", "track").orderBy("tick", "order", "tie")
+    placed = rows.withColumns({"seq": F.row_number().over(order) - 1, "is_last": F.lead(F.lit(True)).over(order).isNull()})
+    placed = placed.withColumn("track_idx", F.dense_rank().over(Window.partitionBy("file_id").orderBy(F.col("track").asc_nulls_first())) - 1)
+    velocity = F.when(F.col("order") == _ORDER["note_off"], "0").otherwise(F.col("velocity").cast("string"))
+    own = F.when(F.col("of_note"), message("note_on", channel=F.col("channel"), note=F.col("pitch"), velocity=velocity)).otherwise(F.col("m"))
+    with_end = F.when(F.col("is_last"), F.array(F.struct("seq", own.alias("m")), F.struct((F.col("seq") + 1).alias("seq"), message(END).alias("m")))).otherwise(F.array(F.struct("seq", own.alias("m"))))
+    return placed.select("file_id", "track_idx", "tick", F.inline(with_end)).select("file_id", "track_idx", "seq", "tick", "m.type", "m.is_meta", "m.fields")
 
 
 def merged(messages: DataFrame) -> DataFrame:

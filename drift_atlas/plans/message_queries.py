@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from drift_atlas.operators import messages as ms
@@ -32,6 +33,8 @@ def query(name: str, sql: str | None = None):
 _MS = f"WITH {fx.NOTES_CTE}, {fx.MESSAGES_CTE}"
 _TEXTS = ", ".join(f"'{k}'" for k in TEXT_META)
 _NUMBERS = "list_sum(list_transform(string_split(vals, ' '), lambda x: CAST(x AS BIGINT)))"
+#: Columns of what a file's messages sum up to.
+_SUMS = {"file_id": pa.int64(), "type": pa.string(), "n": pa.int64(), "ticks": pa.int64(), "numbers": pa.int64()}
 
 
 def _messages(spark, sf):
@@ -49,24 +52,30 @@ def s07(spark, sf):
 def s07_round_trip(spark, sf):
     """The messages of a file written as a MIDI file and parsed again: none is lost, all keep their ticks and numbers."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        parsed = pd.DataFrame(midi.messages(midi.write_messages(group.to_dict("records"))))
-        parsed["numbers"] = [0 if t in TEXT_META else sum(int(f["value"]) for f in fields) for t, fields in zip(parsed["type"], parsed["fields"])]
-        out = parsed.groupby("type").agg(n=("tick", "size"), ticks=("tick", "sum"), numbers=("numbers", "sum")).reset_index()
-        return out.assign(file_id=group["file_id"].iloc[0])[["file_id", "type", "n", "ticks", "numbers"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file_id, content in zip(*(batch.column(c).to_pylist() for c in ("file_id", "content"))):
+                sums: dict[str, list[int]] = {}
+                for m in midi.messages(content):
+                    own = sums.setdefault(m["type"], [0, 0, 0])
+                    own[0] += 1
+                    own[1] += m["tick"]
+                    own[2] += 0 if m["type"] in TEXT_META else sum(int(f["value"]) for f in m["fields"])
+                out += [(file_id, kind, *own) for kind, own in sums.items()]
+            columns = list(zip(*out)) or [()] * len(_SUMS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SUMS.values())], names=list(_SUMS))
 
-    return _messages(spark, sf).groupBy("file_id").applyInPandas(run, "file_id long, type string, n long, ticks long, numbers long")
+    return midi.files_of_messages(_messages(spark, sf)).mapInArrow(run, "file_id long, type string, n long, ticks long, numbers long")
 
 
 @query("s08_midi_sink", f"{_MS} SELECT file_id, type, count(*) AS n, CAST(sum(tick) AS BIGINT) AS ticks FROM ms GROUP BY file_id, type")
 def s08(spark, sf):
     """Every file written as a MIDI file through the committing sink, found again by Spark and parsed."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"name": [f"{int(group['file_id'].iloc[0]) % 10}/{group['file_id'].iloc[0]}.mid"], "content": [midi.write_messages(group.to_dict("records"))]})
-
     folder = f"{shared_folder(spark)}/midi-{uuid.uuid4().hex}"
-    committed.save_files(_messages(spark, sf).groupBy("file_id").applyInPandas(run, "name string, content binary"), folder)
+    name = F.concat((F.col("file_id") % 10).cast("string"), F.lit("/"), F.col("file_id").cast("string"), F.lit(".mid"))
+    committed.save_files(midi.files_of_messages(_messages(spark, sf)).select(name.alias("name"), "content"), folder)
     parsed = midi.load_messages(spark, folder).withColumn("file_id", F.regexp_extract("path", r"/(\d+)\.mid$", 1).cast("long"))
     return parsed.groupBy("file_id", "type").agg(F.count("*").alias("n"), F.sum("tick").alias("ticks"))
 

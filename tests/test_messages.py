@@ -126,3 +126,51 @@ def test_beats_are_made_by_many_tasks(spark):
     files = spark.range(500).select(F.col("id").alias("file_id"))
     made = fixtures.beats(files).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in made) == 500 * fixtures.BEATS and max(r["count"] for r in made) < 500 * fixtures.BEATS / 3
+
+
+def test_tasks_of_notes_grow_with_their_count_and_messages_stay_there(spark, monkeypatch):
+    """Few bytes of events are many notes: more of them make more tasks, and messages of a file are made where its notes are."""
+    from drift_atlas.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "NOTES_OF_A_TASK", 50)
+    made = fixtures.notes(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() == -(-made.count() // 50) > spark.sparkContext.defaultParallelism
+    plan = fixtures.messages(made)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_files_of_messages_in_batches(spark, monkeypatch):
+    """More files than are taken at a time, rows in any order, a track without an end, and a text that is no Latin-1."""
+    monkeypatch.setattr(midi, "_FILES_AT_A_TIME", 3)
+    field = lambda **v: [(k, str(x)) for k, x in v.items()]
+    rows = [(f, k, n, 200 * n, "note_on", False, field(channel=0, note=60 + f, velocity=n)) for f in range(8) for k in (1, 2) for n in range(1, 5 + f)]
+    rows += [(f, 0, 0, 0, "track_name", True, field(name=f"\u00e9 {f} \u0416")) for f in range(8)] + [(f, 1, 99, 9000, "end_of_track", True, []) for f in range(4)]
+    random.Random(3).shuffle(rows)
+    names = ["file_id", "track_idx", "seq", "tick", "type", "is_meta", "fields"]
+    frame = spark.createDataFrame(rows, "file_id long, track_idx int, seq int, tick long, type string, is_meta boolean, fields array<struct<name:string,value:string>>").repartition(2)
+    got = {r.file_id: bytes(r.content) for r in midi.files_of_messages(frame).collect()}
+    assert len(got) == 8
+    for f, content in got.items():
+        own = [dict(zip(names, r)) | {"fields": [{"name": a, "value": b} for a, b in r[-1]]} for r in rows if r[0] == f]
+        assert content == midi.write_messages(own)
+        back = midi.messages(content)
+        assert [m["tick"] for m in back if m["track_idx"] == 2 and m["type"] == "note_on"] == [200 * n for n in range(1, 5 + f)]
+        assert back[0]["fields"][0]["value"] == f"\u00e9 {f} ?" and sum(m["type"] == "end_of_track" for m in back) == 3
+    assert midi.files_of_messages(frame.limit(0)).count() == 0
+
+
+def test_placed_messages_of_notes_by_hand(spark):
+    """Every track ends after its last message, also the track of tempos, one of extra messages alone and one that ends with ties."""
+    notes = spark.createDataFrame([(1, 7, "b", False, 60, 9, 0.0, 1.0), (1, 8, "b", False, 62, 9, 0.5, 1.0), (2, 9, None, True, 40, 5, 0.25, 0.5)], "file_id long, note_id long, track string, is_drum boolean, pitch long, velocity long, start_s double, end_s double")
+    tempos = spark.createDataFrame([(1, 60.0), (2, 120.0), (3, 60.0)], "file_id long, tempo_bpm double")
+    extra = spark.createDataFrame([(1, "a", 5, 2.0)], "file_id long, track string, tie long, time_s double").withColumn("message", ms.message("lyrics", text="x"))
+    got = [(r.file_id, r.track_idx, r.seq, r.tick, r.type, " ".join(f["value"] or "" for f in r.fields)) for r in ms.of_notes(notes, tempos, extra).orderBy("file_id", "track_idx", "seq").collect()]
+    assert got == [
+        (1, 0, 0, 0, "set_tempo", "1000000"), (1, 0, 1, 0, "time_signature", "4 4 24 8"), (1, 0, 2, 0, "end_of_track", ""),
+        (1, 1, 0, 960, "lyrics", "x"), (1, 1, 1, 960, "end_of_track", ""),
+        (1, 2, 0, 0, "track_name", "b"), (1, 2, 1, 0, "program_change", "0 0"), (1, 2, 2, 0, "note_on", "0 60 9"), (1, 2, 3, 240, "note_on", "0 62 9"),
+        (1, 2, 4, 480, "note_on", "0 60 0"), (1, 2, 5, 480, "note_on", "0 62 0"), (1, 2, 6, 480, "end_of_track", ""),
+        (2, 0, 0, 0, "track_name", ""), (2, 0, 1, 0, "set_tempo", "500000"), (2, 0, 2, 0, "time_signature", "4 4 24 8"), (2, 0, 3, 0, "program_change", "9 0"),
+        (2, 0, 4, 240, "note_on", "9 40 5"), (2, 0, 5, 480, "note_on", "9 40 0"), (2, 0, 6, 480, "end_of_track", ""),
+        (3, 0, 0, 0, "set_tempo", "1000000"), (3, 0, 1, 0, "time_signature", "4 4 24 8"), (3, 0, 2, 0, "end_of_track", ""),
+    ]
