@@ -115,6 +115,7 @@ def programs_of_notes(messages: DataFrame) -> DataFrame:
     The program is that of the last change before it, 0 if there is none.
     """
     order = Window.partitionBy("file_id", "track_idx", "channel").orderBy("tick", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = messages.withColumn("channel", field("channel")).withColumn("program", F.last(field("program"), True).over(order))
-    starts = rows.where((F.col("type") == "note_on") & (field("velocity") != "0"))
-    return starts.select("file_id", "track_idx", "seq", field("note").cast("int").alias("note"), F.coalesce(F.col("program").cast("int"), F.lit(0)).alias("program"))
+    # Only what the window needs is sorted.
+    rows = messages.select("file_id", "track_idx", "seq", "tick", field("channel").alias("channel"), field("program").alias("change"), F.when((F.col("type") == "note_on") & (field("velocity") != "0"), F.struct(field("note").cast("int").alias("note"))).alias("start"))
+    rows = rows.where(F.col("start").isNotNull() | F.col("change").isNotNull()).withColumn("program", F.last("change", True).over(order))
+    return rows.where(F.col("start").isNotNull()).select("file_id", "track_idx", "seq", "start.note", F.coalesce(F.col("program").cast("int"), F.lit(0)).alias("program"))

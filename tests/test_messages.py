@@ -174,3 +174,23 @@ def test_placed_messages_of_notes_by_hand(spark):
         (2, 0, 4, 240, "note_on", "9 40 5"), (2, 0, 5, 480, "note_on", "9 40 0"), (2, 0, 6, 480, "end_of_track", ""),
         (3, 0, 0, 0, "set_tempo", "1000000"), (3, 0, 1, 0, "time_signature", "4 4 24 8"), (3, 0, 2, 0, "end_of_track", ""),
     ]
+
+
+def test_programs_of_notes_sort_only_what_they_need(spark):
+    """Channels of a track have their own programs; ends of notes have none; neither fields nor other messages reach the window."""
+    from drift_atlas.sources import fixtures
+
+    field = lambda **v: [(k, str(x)) for k, x in v.items()]
+    rows = [
+        (1, 0, 0, 0, "note_on", False, field(channel=0, note=50, velocity=9)), (1, 0, 1, 5, "program_change", False, field(channel=0, program=7)), (1, 0, 2, 5, "note_on", False, field(channel=1, note=51, velocity=9)),
+        (1, 0, 3, 5, "control_change", False, field(channel=0, control=64, value=1)), (1, 0, 4, 6, "note_on", False, field(channel=0, note=50, velocity=0)), (1, 0, 5, 9, "note_on", False, field(channel=0, note=52, velocity=9)),
+        (1, 1, 0, 9, "note_on", False, field(channel=0, note=53, velocity=9)), (1, 1, 1, 9, "end_of_track", True, []),
+    ]
+    frame = spark.createDataFrame(rows, "file_id long, track_idx int, seq int, tick long, type string, is_meta boolean, fields array<struct<name:string,value:string>>")
+    out = ms.programs_of_notes(frame)
+    assert sorted((r.track_idx, r.seq, r.note, r.program) for r in out.collect()) == [(0, 0, 50, 0), (0, 2, 51, 0), (0, 5, 52, 7), (1, 0, 53, 0)]
+    plan = ms.programs_of_notes(fixtures.messages(fixtures.notes(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().optimizedPlan()
+    while not plan.toString().startswith("Window [last("):
+        plan = plan.children().apply(0)
+    below = plan.children().apply(0).output().toString()
+    assert "change" in below and "fields" not in below and "type" not in below
