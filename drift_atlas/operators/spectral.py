@@ -3,8 +3,8 @@
 A note is a few harmonics of its pitch, the h-th with amplitude velocity / 127 / h. Time
 is cut into frames; a harmonic adds the square of its amplitude, times the share of the frame that the
 note sounds, to the frame's energy in its band. A file's embedding is the mean over its
-frames of log(1 + energy) of every band. Notes meet as sums by (file, frame, band),
-combined before the shuffle, so a long file is many small groups.
+frames of log(1 + energy) of every band. Notes meet as sums by (file, frame, band):
+notes that lie by file are not shuffled again, and of others sums are combined before the shuffle.
 """
 
 from __future__ import annotations
