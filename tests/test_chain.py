@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from drift_atlas.operators import chain
+from drift_atlas.operators import notes as note_ops
 from drift_atlas.sources.staging import staged
 from drift_atlas.sources import metadata, midi
 
@@ -50,3 +51,26 @@ def test_written_tables_are_read_back(spark, tmp_path):
     listing = spark.createDataFrame([("a.mid",)], "path string")
     (tmp_path / "m.csv").write_text("filename,genre\na.mid,Rock\nb.mid,Jazz\n")
     assert [tuple(r) for r in metadata.read_csv_tags(spark, str(tmp_path / "m.csv"), listing).collect()] == [("Rock", "a.mid")]
+
+
+def test_perturbed_notes_are_made_once(spark):
+    """All configurations read the staged notes, and neither the beats nor the perturbed notes are collected to be broadcast."""
+    notes = spark.createDataFrame([(f, i, "a", False, 50 + i, 64, 0.3 * i, 0.3 * i + 0.2) for f in range(3) for i in range(8)], "file_id long, note_id long, track string, is_drum boolean, pitch long, velocity long, start_s double, end_s double")
+    tempos = notes.select("file_id").distinct().withColumn("tempo_bpm", F.lit(100.0))
+    beats = tempos.select("file_id", F.explode(F.array(*[F.lit(k).cast("long") for k in range(6)])).alias("k")).withColumn("t", F.col("k") * 0.5)
+    out = chain.perturbed_embeddings(notes, tempos, beats, {"bars": ("patches-bars", None), "remi": ("tokens", "REMI")})
+    assert out.count() == 3 * 5 * 2
+    read = out.inputFiles()
+    assert read and all("/versions-" in p for p in read)
+
+
+def test_beat_marks_are_not_broadcast(spark):
+    rows = [(1, k, 0.5 * k) for k in range(4)] + [(2, 0, 1.0), (None, 0, 0.1), (None, 1, 0.2), (3, 0, None), (3, 1, 2.0), (3, 2, None)]
+    marks = note_ops.beat_marks(spark.createDataFrame(rows, "file_id long, k long, t double"))
+    plan = marks._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") == 1
+    none, low = None, float("-inf")
+    same = {1: (4, 0.0, 1.5, 1.0), 2: (1, 1.0, 1.0, None), 3: (3, None, None, None), None: (2, 0.1, 0.2, 0.1)}
+    want = [(f, low, -1, none, *same[f]) for f in same] + [(1, 0.5 * k, k, 0.5 * k + 0.5 if k < 3 else none, *same[1]) for k in range(4)]
+    want += [(2, 1.0, 0, none, *same[2]), (3, none, 0, 2.0, *same[3]), (3, 2.0, 1, none, *same[3]), (3, none, 2, none, *same[3])]
+    assert sorted(map(tuple, marks.collect()), key=repr) == sorted(want, key=repr)
