@@ -48,11 +48,11 @@ def dataset_info(datasets: DataFrame, name: str) -> DataFrame:
 def copy_plan(files: DataFrame, present: DataFrame, tie: str = "size_bytes") -> DataFrame:
     """Files to copy: those whose name and size are not there yet; a name taken twice gets a hash of its path in front.
 
-    Of files with one path, the one with the smallest ``tie`` comes first.
+    Of files with one path, the one with the smallest ``tie`` comes first, and of equal ones the smallest file.
     """
     name = F.element_at(F.split("path", "/"), -1)
     named = files.withColumn("name", name)
-    twin = F.row_number().over(Window.partitionBy("dataset", "name").orderBy("path", tie)) > 1
+    twin = F.row_number().over(Window.partitionBy("dataset", "name").orderBy("path", tie, "size_bytes")) > 1
     target = F.when(twin, F.concat(F.substring(F.md5(F.col("path").cast("binary")), 1, 8), F.lit("_"), F.col("name"))).otherwise(F.col("name"))
     planned = named.withColumn("target", target)
     return planned.join(present.select("dataset", F.col("name").alias("target"), "size_bytes"), ["dataset", "target", "size_bytes"], "left_anti")
